@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fablespark.llm import quality, simhash, toxicity
+from fablespark.llm import chat_format, decontaminate, html_extract, mixing, quality, simhash, topk_search, toxicity, url_filter
 from fablespark.llm.common import held_out, table
 
 
@@ -17,24 +17,63 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model, columns=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model, columns=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    special = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_conversations(talks.unionByName(special)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_topk": op2_topk,
+        "op3_mixing": op3_mixing,
         "op4_toxicity": op4_toxicity,
+        "op5_html": op5_html,
+        "op6_decontaminate": op6_decontaminate,
+        "op7_url_filter": op7_url_filter,
         "op8_simhash": op8_simhash,
+        "op9_chat_format": op9_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express on whole tables."""
+    return {
+        "op2_topk": topk_search.ORACLE_SQL,
+        "op3_mixing": mixing.oracle_sql(),
+        "op6_decontaminate": decontaminate.ORACLE_SQL,
+        "op7_url_filter": url_filter.ORACLE_SQL,
+        "op9_chat_format": chat_format.ORACLE_SQL,
+    }
