@@ -22,19 +22,27 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % HOLDOUT_FOLDS == 0, F.lit(False))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage that every executor shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset and the session is a local one (tests) a temporary folder serves.
+    Only where that is unset and the session is a local one (tests) a temporary
+    folder serves.
     """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="fablespark-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through reliable storage that every executor shares."""
+    folder = shared_folder(df.sparkSession)
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="fablespark-checkpoint-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

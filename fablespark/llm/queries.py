@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fablespark.llm import chat_format, decontaminate, html_extract, mixing, quality, simhash, topk_search, toxicity, url_filter
+from fablespark.llm import chat_format, decontaminate, html_extract, license_scan, mixing, quality, simhash, topk_search, toxicity, url_filter
 from fablespark.llm.common import held_out, table
 
 
@@ -54,6 +54,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(talks.unionByName(special)))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_filter": op7_url_filter,
         "op8_simhash": op8_simhash,
         "op9_chat_format": op9_chat_format,
+        "op10_license_scan": op10_license_scan,
     }
 
 
@@ -76,4 +81,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": decontaminate.ORACLE_SQL,
         "op7_url_filter": url_filter.ORACLE_SQL,
         "op9_chat_format": chat_format.ORACLE_SQL,
+        "op10_license_scan": license_scan.oracle_sql(),
     }
