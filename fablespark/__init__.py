@@ -1,0 +1,8 @@
+"""Evidence-anchored graph analytics over long-form text, on Spark.
+
+functions   column expressions
+operators   DataFrame to DataFrame
+sources     tables, uploads, ontology, stores
+plans       ingestion chain, question answering, registered queries
+streaming   telemetry and conversation streams
+"""
