@@ -47,6 +47,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def columns_but(df: DataFrame, *names: str) -> list[str]:
+    """The frame's columns without those named, upper or lower case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their exact names, dots included."""
+    return [F.col(f"`{c}`") for c in names]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -31,9 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fablespark.llm.common import checkpointed
+from fablespark.llm.common import checkpointed, columns_but, quoted
 
 LEAF = ("domain", "lang", "source")
+#: Tables of leaves up to this many rows are broadcast; larger ones meet the documents salted.
+BROADCAST_LEAVES = 50_000
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -108,6 +111,14 @@ def leaf_budgets(leaves: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
     return _shared_out(caps.join(lang, ["domain", "lang"]), ["domain", "lang"], "source", plan.sources, plan.other).select(*LEAF, "supply", "budget")
 
 
+def _at_leaves(rows: DataFrame, leaves: DataFrame, names: list[str], small: bool) -> DataFrame:
+    """``rows`` with the columns of their leaf. A hot leaf's rows stay where they are, or are spread over salts."""
+    if small:
+        return rows.join(F.broadcast(leaves), names)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    return salted.join(leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*names, "_salt"]).drop("_salt")
+
+
 def _place(doc_id: Column, epoch: Column, seed: int) -> Column:
     key = F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")))
     return F.md5(key.cast("binary"))
@@ -115,11 +126,12 @@ def _place(doc_id: Column, epoch: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
     """``docs`` with domain, n_tokens and epoch: one row for each time a text is taken."""
-    names = [c for c in docs.columns if c not in ("domain", "epoch", "n_tokens")]
+    names = columns_but(docs, "domain", "epoch", "n_tokens")
     leaf = [domain_of(F.col("source"), plan.n_domains).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")]
     slim = checkpointed(docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), *leaf, token_count(F.col("text")).alias("n_tokens")).filter("n_tokens > 0"))
     supply = slim.groupBy(*LEAF).agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("n"))
-    counts = supply.agg(F.max("n")).first()[0] or 0
+    counts, n_leaves = supply.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
+    small = n_leaves <= BROADCAST_LEAVES
     plans = leaf_budgets(supply.select(*LEAF, "supply"), plan)
     # Whole epochs, and the budget of the one after them.
     parts = checkpointed(plans.select(*LEAF, F.call_function("div", F.col("budget"), F.col("supply")).cast("int").alias("whole"), (F.col("budget") % F.col("supply")).alias("rest")))
@@ -127,25 +139,26 @@ def mix(docs: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
     digits = 1
     while digits < 8 and counts > 1000 * 16**digits:
         digits += 1
-    placed = slim.join(parts, list(LEAF)).select(*LEAF, "rest", "n_tokens", "id", _place(F.col("id"), F.col("whole"), plan.seed).alias("place")).withColumn("slot", F.substring("place", 1, digits))
+    placed = _at_leaves(slim, parts, list(LEAF), small).select(*LEAF, "rest", "n_tokens", "id", _place(F.col("id"), F.col("whole"), plan.seed).alias("place")).withColumn("slot", F.substring("place", 1, digits))
     slots = placed.groupBy(*LEAF, "slot", "rest").agg(F.sum("n_tokens").alias("tokens"))
     upto = F.sum("tokens").over(Window.partitionBy(*LEAF).orderBy("slot"))
     edge = slots.withColumn("upto", upto).filter("upto > rest").groupBy(*LEAF).agg(F.min(F.struct("slot", "upto", "tokens")).alias("e"))
     edge = edge.select(*LEAF, F.col("e.slot").alias("slot"), (F.col("e.upto") - F.col("e.tokens")).alias("before"))
-    inside = placed.join(edge, [*LEAF, "slot"])
+    edge = checkpointed(edge)
+    inside = placed.join(F.broadcast(edge) if small else edge, [*LEAF, "slot"])
     # Rows with one place in the order count together.
     same = inside.groupBy(*LEAF, "slot", "before", "rest", "place", "id").agg(F.sum("n_tokens").alias("tokens"))
     run = F.sum("tokens").over(Window.partitionBy(*LEAF, "slot").orderBy("place", "id"))
     last = same.withColumn("run", F.col("before") + run).filter("run <= rest").groupBy(*LEAF).agg(F.max(F.struct("place", "id")).alias("last"))
-    cuts = parts.join(edge, list(LEAF), "left").join(last, list(LEAF), "left").select(*[F.col(c).alias(f"_{c}") for c in LEAF], "whole", "slot", "last")
+    cuts = parts.join(edge, list(LEAF), "left").join(last, list(LEAF), "left").select(*[F.col(c).alias(f"_{c}") for c in [*LEAF, "whole", "slot", "last"]])
     full = docs.select("*", *[c.alias(f"_{n}") for c, n in zip(leaf, LEAF, strict=True)], token_count(F.col("text")).alias("_n")).filter("_n > 0")
-    rows = full.join(checkpointed(cuts), [f"_{c}" for c in LEAF])
+    rows = _at_leaves(full, checkpointed(cuts), [f"_{c}" for c in LEAF], small)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    place = _place(name, F.col("whole"), plan.seed)
+    place = _place(name, F.col("_whole"), plan.seed)
     # Rows before the edge slot are in; within it, those up to the last that fits.
-    taken = F.when(F.col("slot").isNull(), True).otherwise((F.substring(place, 1, digits) < F.col("slot")) | F.coalesce((F.substring(place, 1, digits) == F.col("slot")) & (F.struct(place.alias("place"), name.alias("id")) <= F.col("last")), F.lit(False)))
-    epochs = F.filter(F.sequence(F.lit(0), F.col("whole")), lambda e: (e < F.col("whole")) | taken)
-    return rows.select(*[F.col(f"`{c}`") for c in names], F.col("_domain").alias("domain"), F.col("_n").alias("n_tokens"), F.explode(epochs).alias("epoch"))
+    taken = F.when(F.col("_slot").isNull(), True).otherwise((F.substring(place, 1, digits) < F.col("_slot")) | F.coalesce((F.substring(place, 1, digits) == F.col("_slot")) & (F.struct(place.alias("place"), name.alias("id")) <= F.col("_last")), F.lit(False)))
+    epochs = F.filter(F.sequence(F.lit(0), F.col("_whole")), lambda e: (e < F.col("_whole")) | taken)
+    return rows.select(*quoted(names), F.col("_domain").alias("domain"), F.col("_n").alias("n_tokens"), F.explode(epochs).alias("epoch"))
 
 
 def _case(name: str, weights: dict[str, int], other: int) -> str:
