@@ -39,7 +39,9 @@ LEVELS = 24
 CANDIDATE_BLOCK = 6000
 QUERY_BLOCK = 1024
 #: Rows that are rescored at once rather than by further segments.
-FEW = 48
+FEW = 150
+#: In how many parts the segments are processed; each ends with a test of the proof.
+STEPS = 6
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -61,56 +63,62 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.rows: list[np.ndarray] = []
-        dims, tops, lows = [], [], []
+        postings, dims, tops, lows = [], [], [], []
         for d in range(self.vectors.shape[1]):
             col = self.vectors[:, d]
-            by_value = np.argsort(col, kind="stable").astype(np.int32)
+            by_value = np.argsort(col, kind="stable")
             ordered = col[by_value]
             width = max(1, -(-(int(ordered[-1]) - int(ordered[0]) + 1) // levels))
             cuts = np.flatnonzero(np.diff(ordered // width)) + 1
             for part, value in zip(np.split(by_value, cuts), np.split(ordered, cuts), strict=True):
-                self.rows.append(part)
+                postings.append(part)
                 dims.append(d)
                 lows.append(value[0])
                 tops.append(value[-1])
+        self.rows = np.concatenate(postings)
+        self.sizes = np.fromiter(map(len, postings), np.int64, len(postings))
+        self.ends = np.cumsum(self.sizes)
         self.dims, self.tops, self.lows = np.array(dims), np.array(tops), np.array(lows)
 
-    def top(self, query: np.ndarray, own_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but the query's own, best first."""
-        n = len(self.ids)
+    def _ranked(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segments of positive impact from the highest down, their impacts, and
+        what the dimensions can still add to any one row after each of them."""
         q = query[self.dims]
         impact = np.maximum(np.where(q > 0, q * self.tops, q * self.lows), 0)
-        order = np.argsort(-impact, kind="stable")
-        order = order[: np.count_nonzero(impact)]
-        bound = np.zeros(n, np.int64)
-        # What the dimensions can still add after each step: their next impacts.
+        order = np.argsort(-impact, kind="stable")[: np.count_nonzero(impact)]
+        impact = impact[order]
+        # The next impact of the same dimension takes the place of the one just processed.
+        by_dim = np.argsort(self.dims[order], kind="stable")
+        same = np.append(self.dims[order][by_dim][1:] == self.dims[order][by_dim][:-1], False)
         following = np.zeros(len(order), np.int64)
-        later: dict[int, int] = {}
-        dims, impacts = self.dims[order].tolist(), impact[order].tolist()
-        left = 0
-        for i in range(len(order) - 1, -1, -1):
-            following[i] = left
-            left += impacts[i] - later.get(dims[i], 0)
-            later[dims[i]] = impacts[i]
-        rest, least, done, look = left, None, 0, max(8, len(order) // 6)
-        exact = np.full(n, np.iinfo(np.int64).min)
+        following[by_dim[:-1]] = impact[by_dim[1:]]
+        following[by_dim[~same]] = 0
+        first = np.ones(len(order), bool)
+        first[by_dim[1:][same[:-1]]] = False
+        return order, impact, impact[first].sum() - np.cumsum(impact - following)
+
+    def top(self, query: np.ndarray, own_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows but the query's own, best first."""
+        n = len(self.ids)
+        order, impact, rest = self._ranked(query)
+        bound, least, done = np.zeros(n, np.int64), None, 0
+        step = max(1, len(order) // STEPS)
         while True:
-            for i in range(done, min(done + look, len(order))):
-                bound[self.rows[order[i]]] += impacts[i]
-            done = min(done + look, len(order))
-            if done:
-                rest = following[done - 1]
-            likely = np.argpartition(-bound, min(4 * k, n - 1))[: 4 * k + 1] if n > 4 * k else np.arange(n)
-            exact[likely] = self.vectors[likely] @ query
-            found = exact[likely[self.ids[likely] != own_id]]
-            if len(found) >= k:
-                here = np.partition(found, len(found) - k)[len(found) - k]
+            now = order[done : done + step]
+            if len(now):
+                sizes = self.sizes[now]
+                offsets = np.repeat(self.ends[now] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+                np.add.at(bound, self.rows[offsets], np.repeat(impact[done : done + step], sizes))
+                done += len(now)
+            left = rest[done - 1] if done else 0
+            likely = np.argpartition(-bound, 4 * k)[: 4 * k + 1] if n > 4 * k + 1 else np.arange(n)
+            likely = likely[self.ids[likely] != own_id]
+            if len(likely) >= k:
+                here = np.partition(self.vectors[likely] @ query, len(likely) - k)[len(likely) - k]
                 least = here if least is None else max(least, here)
-            possible = np.flatnonzero(bound + rest >= least) if least is not None else np.arange(n)
-            if len(possible) <= max(FEW, 4 * k) or done == len(order):
+            possible = np.flatnonzero(bound + left >= least) if least is not None else np.arange(n)
+            if len(possible) <= FEW or done == len(order):
                 break
-            look = max(8, len(order) // 12)
         possible = possible[self.ids[possible] != own_id]
         score = self.vectors[possible] @ query
         best = np.lexsort((self.ids[possible], -score))[:k]
