@@ -19,13 +19,13 @@ from fablespark.llm.common import shared_folder, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+    return toxicity.keep_clean(docs, model)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,10 +25,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fablespark.llm.common import columns_but, quoted
+
 # Elements of HTML by role, and words that name page furniture.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -176,15 +178,13 @@ def main_text(html: str | None) -> str:
 
 def extract_text(pages: DataFrame, keep_html: bool = False) -> DataFrame:
     """``pages`` (with html) and text, n_chars; the html itself goes unless asked for."""
-    names = [c for c in pages.columns if c not in ("text", "n_chars") and (keep_html or c != "html")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = [main_text(h) for h in f["_source"]]
-            out = f.drop(columns="_source")
-            out["text"], out["n_chars"] = texts, np.array([len(t) for t in texts], dtype=np.int64)
-            yield out
-
-    source = pages.select(*[F.col(f"`{c}`") for c in names], F.col("html").alias("_source"))
-    schema = ", ".join([f"`{k}` {v}" for k, v in source.dtypes if k != "_source"] + ["text string", "n_chars long"])
-    return source.mapInPandas(run, schema)
+    names = columns_but(pages, "text", "n_chars", *([] if keep_html else ["html"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [main_text(h.as_py()) for h in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
+
+    kinds = dict(pages.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + ["text string", "n_chars long"])
+    return pages.select(*quoted(names), F.col("html").alias("_source")).mapInArrow(run, schema)

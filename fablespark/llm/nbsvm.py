@@ -18,10 +18,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fablespark.llm.common import held_out
+from fablespark.llm.common import columns_but, held_out, quoted
 from fablespark.llm.ngram_features import indicators, runs
 
 
@@ -30,7 +31,8 @@ class NbSvmSettings:
     """``max_rows`` bounds the labelled sample that a model is fitted on.
 
     ``max_weights`` is the number of strongest weights that the fitted model
-    keeps; the sigmoid is fitted on what these give.
+    keeps; the sigmoid is fitted on what these give. ``balanced`` fits the
+    sigmoid as if both classes were equally frequent.
     """
 
     max_rows: int = 5000
@@ -42,6 +44,7 @@ class NbSvmSettings:
     rounds: int = 30
     tolerance: float = 1e-3
     calibration_share: float = 0.25
+    balanced: bool = False
     seed: int = 7
 
 
@@ -115,22 +118,23 @@ def hinge_descent(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, y
     return w
 
 
-def sigmoid_fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def sigmoid_fit(margin: np.ndarray, y: np.ndarray, balanced: bool = False) -> tuple[float, float]:
     """Platt's sigmoid by Newton steps; y is 0 or 1, targets are smoothed."""
     pos, neg = y.sum(), len(y) - y.sum()
+    weight = np.where(y == 1, len(y) / (2 * max(pos, 1)), len(y) / (2 * max(neg, 1))) if balanced else np.ones(len(y))
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     scale = max(np.abs(margin).max(initial=0), 1e-9)
     x = np.column_stack([margin / scale, np.ones(len(y))])
-    beta = np.array([0.0, np.log((pos + 1) / (neg + 1))])
+    beta = np.array([0.0, 0.0 if balanced else np.log((pos + 1) / (neg + 1))])
 
     def loss(b: np.ndarray) -> float:
         z = x @ b
-        return float(np.sum(np.logaddexp(0, z) - t * z) + 1e-6 * b[0] ** 2)
+        return float(np.sum(weight * (np.logaddexp(0, z) - t * z)) + 1e-6 * b[0] ** 2)
 
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
-        grad = x.T @ (p - t) + [2e-6 * beta[0], 0]
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag([2e-6, 1e-9])
+        grad = x.T @ (weight * (p - t)) + [2e-6 * beta[0], 0]
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([2e-6, 1e-9])
         step, size, now = np.linalg.solve(hess, grad), 1.0, loss(beta)
         while size > 1e-6 and loss(beta - size * step) > now:
             size /= 2
@@ -208,7 +212,7 @@ def fit(extractor, texts: list[str | None], labels: np.ndarray, s: NbSvmSettings
         w[weak] = 0.0
     rows = np.flatnonzero(apart) if apart.any() else np.arange(len(y))
     margin = np.array([np.dot(w[cols[starts[i] : starts[i + 1]]], values[starts[i] : starts[i + 1]]) for i in rows])
-    slope, offset = sigmoid_fit(margin, y[rows])
+    slope, offset = sigmoid_fit(margin, y[rows], s.balanced)
     weight = w[:-1] * ratio
     strong = np.abs(weight) > 1e-9
     return NbSvmModel(code[strong], weight[strong], float(w[-1]), slope, offset)
@@ -248,21 +252,40 @@ def train(docs: DataFrame, labels: DataFrame, label: str, extractor, settings: N
     return pickle.loads(rows[0]["model"]) if rows else NbSvmModel()
 
 
+def _over_texts(docs: DataFrame, names: list[str], schema: str, work) -> DataFrame:
+    """Arrow batches of the named columns and the texts through ``work``; other columns are never converted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield work(b.select(range(b.num_columns - 1)), b.column(b.num_columns - 1).to_pylist())
+
+    return docs.select(*quoted(names), F.col("text").alias("_text_to_score")).mapInArrow(run, schema)
+
+
+def _schema(docs: DataFrame, names: list[str]) -> list[str]:
+    kinds = dict(docs.dtypes)
+    return [f"`{c}` {kinds[c]}" for c in names]
+
+
 def score(docs: DataFrame, extractor, model: NbSvmModel, threshold: float, columns: list[str] | None = None) -> DataFrame:
     """The columns (all, if none are named) with score and predicted; one pass, no shuffle.
 
     A null text scores as an empty one.
     """
-    names = [c for c in (columns if columns is not None else docs.columns) if c not in ("score", "predicted")]
-    texts = "_text_to_score"
+    names = columns if columns is not None else columns_but(docs, "score", "predicted")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = model.scores(extractor, list(f[texts]))
-            out = f.drop(columns=texts)
-            out["score"], out["predicted"] = got, (got >= threshold).astype(np.int32)
-            yield out
-
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias(texts))
-    schema = ", ".join([f"`{k}` {v}" for k, v in source.dtypes if k != texts] + ["score double", "predicted int"])
-    return source.mapInPandas(run, schema)
+    def work(rest: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        got = model.scores(extractor, texts)
+        return pa.RecordBatch.from_arrays([*rest.columns, pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+
+    return _over_texts(docs, names, ", ".join([*_schema(docs, names), "score double", "predicted int"]), work)
+
+
+def keep(docs: DataFrame, extractor, model: NbSvmModel, threshold: float, predicted: int) -> DataFrame:
+    """The rows of ``docs`` with that prediction, and no more columns; one pass, no shuffle."""
+    names = docs.columns
+
+    def work(rest: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        return rest.filter(pa.array((model.scores(extractor, texts) >= threshold) == bool(predicted)))
+
+    return _over_texts(docs, names, ", ".join(_schema(docs, names)), work)

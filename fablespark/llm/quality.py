@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from fablespark.llm.nbsvm import NbSvmModel, NbSvmSettings, score, train
+from fablespark.llm.nbsvm import NbSvmModel, NbSvmSettings, keep, score, train
 from fablespark.llm.ngram_features import TokenShapes
 
 #: Documents that score less are rejected.
@@ -28,3 +28,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, settings: NbSvmSettings =
 def score_quality(docs: DataFrame, model: NbSvmModel, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
     """``docs`` with score (0 to 1, higher: better) and predicted (1: keep)."""
     return score(docs, FEATURES, model, threshold, columns)
+
+
+def keep_good(docs: DataFrame, model: NbSvmModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't reject, columns unchanged."""
+    return keep(docs, FEATURES, model, threshold, 1)

@@ -30,12 +30,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fablespark.llm.common import checkpointed
+from fablespark.llm.common import checkpointed, quoted
 from fablespark.llm.components import star_components
 
 SHINGLE_WORDS = 3
@@ -75,11 +75,12 @@ def fingerprint_of(text: str | None, width: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp long) of every row, in one pass over whole texts."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "fp": np.array([fingerprint_of(t, width) for t in f["text"]], dtype=np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [fingerprint_of(t.as_py(), width) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def shared_bytes(a: Column, b: Column) -> Column:
@@ -156,6 +157,6 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("component_id").alias("_component"))
     kept = found.filter("doc_id = _component").select(F.col("doc_id").alias("_kept"), "_n")
     joined = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"))
-    single = joined.filter("_n = 1").select(*docs.columns)
-    repeated = joined.filter("_n > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    single = joined.filter("_n = 1").select(*quoted(docs.columns))
+    repeated = joined.filter("_n > 1").select(*quoted(docs.columns)).dropDuplicates(["doc_id"])
     return single.unionByName(repeated).unionByName(docs.filter("doc_id is null"))

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from fablespark.llm.nbsvm import NbSvmModel, NbSvmSettings, score, train
+from fablespark.llm.nbsvm import NbSvmModel, NbSvmSettings, keep, score, train
 from fablespark.llm.ngram_features import CharNgrams
 
 #: Documents that score this or more are toxic.
 THRESHOLD = 0.5
-SETTINGS = NbSvmSettings(max_rows=5000, max_weights=4000)
-FEATURES = CharNgrams((4, 5))
+SETTINGS = NbSvmSettings(max_rows=5000, max_weights=4000, min_df=3, cost=0.1, balanced=True)
+#: Long n-grams tell word beginnings that are insults from the same letters within words.
+FEATURES = CharNgrams((4, 6, 8))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, settings: NbSvmSettings = SETTINGS) -> NbSvmModel:
@@ -28,3 +29,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, settings: NbSvmSettings =
 def score_toxicity(docs: DataFrame, model: NbSvmModel, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
     """``docs`` with score (0 to 1, higher: more toxic) and predicted (1: toxic)."""
     return score(docs, FEATURES, model, threshold, columns)
+
+
+def keep_clean(docs: DataFrame, model: NbSvmModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't reject, columns unchanged."""
+    return keep(docs, FEATURES, model, threshold, 0)

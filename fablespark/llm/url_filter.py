@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fablespark.llm.common import shuffle_width
+from fablespark.llm.common import columns_but, quoted, shuffle_width
 
 #: (host, path, verdict).
 DEFAULT_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -89,15 +89,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None, default_verdic
     if (n := rules.limit(MAX_RULES + 1).count()) > MAX_RULES:
         raise ValueError(f"{n} rules or more; at most {MAX_RULES} can be copied to each partition")
     parts = shuffle_width(spark)
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    names = columns_but(pages, "host", "path", "rule", "verdict")
     url = F.col("url")
-    rows = pages.select(*[F.col(f"`{c}`") for c in names], url_host(url).alias("host"), url_path(url).alias("path"))
+    rows = pages.select(*quoted(names), url_host(url).alias("host"), url_path(url).alias("path"))
     rows = rows.select(F.struct("*").alias("page"), host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.pmod(F.xxhash64(F.col(f"`{spread_by}`"), url), F.lit(parts)).cast("int").alias("part"))
     events = rule_events(rules).select("key", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "stack")
     sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = rows.unionByName(events, allowMissingColumns=True).withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
     best = F.array_max(F.filter("active", lambda r: F.startswith(F.col("page.path"), r["path"])))
-    return swept.select("page.*", best.alias("_best")).select(*[F.col(f"`{c}`") for c in names], "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default_verdict)).alias("verdict"))
+    return swept.select("page.*", best.alias("_best")).select(*quoted(names), "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default_verdict)).alias("verdict"))
 
 
 ORACLE_SQL = r"""
