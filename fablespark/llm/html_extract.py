@@ -187,4 +187,4 @@ def extract_text(pages: DataFrame, keep_html: bool = False) -> DataFrame:
 
     kinds = dict(pages.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + ["text string", "n_chars long"])
-    return pages.select(*quoted(names), F.col("html").alias("_source")).mapInArrow(run, schema)
+    return pages.select(*[c.alias(f"c{i}") for i, c in enumerate(quoted(names))], F.col("html").alias("source")).mapInArrow(run, schema)

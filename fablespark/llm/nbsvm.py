@@ -259,7 +259,8 @@ def _over_texts(docs: DataFrame, names: list[str], schema: str, work) -> DataFra
         for b in batches:
             yield work(b.select(range(b.num_columns - 1)), b.column(b.num_columns - 1).to_pylist())
 
-    return docs.select(*quoted(names), F.col("text").alias("_text_to_score")).mapInArrow(run, schema)
+    # By position, as mapInArrow can't take names with dots; the schema gives the names back.
+    return docs.select(*[c.alias(f"c{i}") for i, c in enumerate(quoted(names))], F.col("text").alias("t")).mapInArrow(run, schema)
 
 
 def _schema(docs: DataFrame, names: list[str]) -> list[str]:
@@ -286,6 +287,7 @@ def keep(docs: DataFrame, extractor, model: NbSvmModel, threshold: float, predic
     names = docs.columns
 
     def work(rest: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        return rest.filter(pa.array((model.scores(extractor, texts) >= threshold) == bool(predicted)))
+        kept = rest.filter(pa.array((model.scores(extractor, texts) >= threshold) == bool(predicted)))
+        return pa.RecordBatch.from_arrays(kept.columns, names=names)
 
     return _over_texts(docs, names, ", ".join(_schema(docs, names)), work)
