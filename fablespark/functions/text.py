@@ -153,7 +153,8 @@ def formal_name(name: Column, nicknames: dict[str, str] | None = None) -> Column
 
 def locate_quote(text: Column, quote: Column, max_distance_share: float = 0.1) -> Column:
     """struct(method, at): where a quote stands in a text (from 1), exactly, after
-    normalising, or nearly (edit distance over windows that start at a word); else nulls."""
+    normalising, or nearly (edit distance over windows that start at a word, unless the
+    share of edits allowed is 0); else nulls."""
     exact = F.instr(text, quote)
     flat_text, flat_quote = normal_name(text), normal_name(quote)
     normal = F.instr(flat_text, flat_quote)
@@ -161,7 +162,7 @@ def locate_quote(text: Column, quote: Column, max_distance_share: float = 0.1) -
     size = F.size(F.split(flat_quote, " "))
     starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
     limit = F.floor(F.length(flat_quote) * max_distance_share).cast("int")
-    near = F.filter(starts, lambda i: F.levenshtein(F.array_join(F.slice(words, i, size), " "), flat_quote) <= limit)
+    near = F.array().cast("array<int>") if max_distance_share <= 0 else F.filter(starts, lambda i: F.levenshtein(F.array_join(F.slice(words, i, size), " "), flat_quote) <= limit)
     blank = F.coalesce(F.length(flat_quote), F.lit(0)) == 0
     return (
         F.when(blank, F.struct(F.lit(None).cast("string").alias("method"), F.lit(None).cast("int").alias("at")))

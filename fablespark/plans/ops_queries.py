@@ -184,6 +184,24 @@ def conversation_sessions(d: Domain) -> DataFrame:
     return streams.sessions(rows, gap="12 hours").select("user_id", F.round(F.unix_micros("start") / 1e6).cast("long").alias("start_s"), "turns", "peak")
 
 
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN event_type || '-' || event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS carried_scope FROM events")
+def carried_scope(d: Domain) -> DataFrame:
+    rows = d["events"].withColumn("scope", F.when(F.col("event_type") == "view", F.concat_ws("-", "event_type", "event_id")))
+    return streams.carried_scope(rows, "user_id", "event_id", "scope").select("event_id", "carried_scope")
+
+
+@query("SELECT event_id AS task_id FROM events WHERE event_type = 'error' AND event_id % 3 <> 1")
+def pending_threads(d: Domain) -> DataFrame:
+    tasks = d["events"].filter("event_type = 'error'").select(F.col("event_id").alias("task_id"))
+    return streams.pending_threads(tasks, d["events"].filter("event_id % 3 = 1").select(F.col("event_id").alias("task_id")))
+
+
+@query("SELECT user_id, max(ts) AS updated_at FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 24 HOURS")
+def expired_threads(d: Domain) -> DataFrame:
+    threads = d["events"].groupBy("user_id").agg(F.max("ts").alias("updated_at"))
+    return streams.expired(threads, "2024-01-30 12:00:00")
+
+
 @query("WITH w AS (SELECT CAST(ts AS DATE) AS day, stage, round(sum(cost), 4) AS spend, count(*) AS n FROM stage GROUP BY ALL) SELECT * FROM w WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM stage) - INTERVAL 2 DAYS")
 def stream_spend(d: Domain) -> DataFrame:
     """Daily spend from the stream: windows that the 48-hour watermark has passed."""

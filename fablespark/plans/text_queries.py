@@ -10,6 +10,7 @@ from fablespark.functions import text as T
 from fablespark.operators import chapters, characters, relations, retrieval
 from fablespark.plans import ask as asking
 from fablespark.plans.domain import Domain, query
+from fablespark.plans.graph_queries import ALL_EDGES
 from fablespark.sources import ontology, schema, stores
 
 # Heading forms with what each must be read as: text, is_chapter, number, title.
@@ -375,9 +376,37 @@ def ask_events(d: Domain) -> DataFrame:
     return asking.ask(d.spark, "Is Nation 3 married to someone?", people, d["assertion"], 2, 6)
 
 
-@query()
+@query(f"{ALL_EDGES} SELECT subject, predicate, object, confidence, evidence_count FROM edges WHERE subject = 3 OR object = 3")
+def template_relations_of(d: Domain) -> DataFrame:
+    rows = asking.run_template(d.spark, "relations_of", relations.aggregate_edges(d["assertion"]), character=3)
+    return rows.select("subject", "predicate", "object", F.round(F.col("confidence") + F.lit(1e-9), 6).alias("confidence"), "evidence_count")
+
+
+@query(f"{ALL_EDGES} SELECT predicate, count(*) AS n FROM edges GROUP BY predicate")
 def template_counts(d: Domain) -> DataFrame:
-    return asking.run_template(d.spark, "relations_of", relations.aggregate_edges(d["assertion"]), character=3)
+    return asking.run_template(d.spark, "count_by_predicate", relations.aggregate_edges(d["assertion"]))
+
+
+@query("SELECT conv_id, turn, 'KNOWN CHARACTERS' || chr(10) || CASE WHEN turn % 2 = 0 THEN role ELSE '(none yet)' END || chr(10) || chr(10) || 'PRECEDING CONTEXT' || chr(10) || '(none)' || chr(10) || chr(10) || 'CURRENT SPAN' || chr(10) || text AS prompt FROM conversations")
+def prompt_assembly(d: Domain) -> DataFrame:
+    rows = d["conversations"].select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.array("role")).otherwise(F.array().cast("array<string>")).alias("known_names"), F.array().cast("array<string>").alias("previous_texts"), F.array("text").alias("texts"))
+    return characters.extraction_prompts(rows).select("conv_id", "turn", "prompt")
+
+
+@query("SELECT mention_id, character_id, CAST(row_number() OVER (PARTITION BY character_id ORDER BY book_order, chapter, page, mention_id) AS INT) AS context_no FROM (SELECT DISTINCT * FROM mention) QUALIFY row_number() OVER (PARTITION BY character_id ORDER BY book_order, chapter, page, mention_id) <= 3")
+def mention_contexts(d: Domain) -> DataFrame:
+    return characters.top_contexts(d["mention"].distinct(), 3).select("mention_id", "character_id", "context_no")
+
+
+@query("SELECT p_partkey AS character_id, p_type AS attribute, p_size AS page FROM part WHERE p_size > 5")
+def cited_attributes(d: Domain) -> DataFrame:
+    rows = d["part"].select(F.col("p_partkey").alias("character_id"), F.col("p_type").alias("attribute"), F.when(F.col("p_size") > 5, F.col("p_size")).alias("page"))
+    return characters.cited_attributes(rows)
+
+
+@query(f"WITH {HYBRID} SELECT doc_id, CAST(doc_id % 17 AS BIGINT) AS rerank_score FROM hy ORDER BY doc_id % 17 DESC, doc_id LIMIT 8")
+def reranked(d: Domain) -> DataFrame:
+    return retrieval.rerank(_hybrid(d), F.col("doc_id") % 17, 8, "doc_id").select("doc_id", "rerank_score")
 
 
 @query("WITH a AS (SELECT c_nationkey AS k, list(DISTINCT c_mktsegment) AS s FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1), b AS (SELECT c_nationkey AS k, list(DISTINCT c_mktsegment) AS s FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1) SELECT k, array_to_string(list_sort(list_distinct(list_concat(a.s, b.s))), ',') AS united, array_to_string(list_sort(list_intersect(a.s, b.s)), ',') AS shared FROM a JOIN b USING (k)")

@@ -110,3 +110,15 @@ def test_ontology():
     assert ontology.inverse_of("child_of") == "parent_of" and ontology.inverse_of("sibling_of") == "sibling_of" and ontology.inverse_of("unrequited_love_for") is None
     assert ontology.is_legal_transition("rival_of", "friend_of") and not ontology.is_legal_transition("friend_of", "rival_of")
     assert ontology.family_of("betrayed") == "adversarial" and "co_occurs_with" not in ontology.prompt_fragment()
+
+
+def test_position_reaches_the_scan_and_columns_are_pruned(spark, tmp_path):
+    facts(spark, [(1, "friend_of", 2, 1, 1)]).write.parquet(f"file://{tmp_path}/a")
+    plan = graph.edges_at(spark.read.parquet(f"file://{tmp_path}/a"), 2, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(book_order,2)" in plan and "chunk_id" not in plan.split("ReadSchema")[1] and "Python" not in plan
+
+
+def test_links_between_many_copies_stay_linear(spark):
+    """A group of n equal names gives n - 1 links, not all pairs."""
+    names = spark.range(500).select(F.lit(1).alias("project_id"), F.col("id").alias("node"), F.lit("Kei").alias("name"))
+    assert characters.match_links(names).count() == 499
