@@ -196,10 +196,10 @@ def pending_threads(d: Domain) -> DataFrame:
     return streams.pending_threads(tasks, d["events"].filter("event_id % 3 = 1").select(F.col("event_id").alias("task_id")))
 
 
-@query("SELECT user_id, max(ts) AS updated_at FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 24 HOURS")
+@query("SELECT user_id FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 24 HOURS")
 def expired_threads(d: Domain) -> DataFrame:
     threads = d["events"].groupBy("user_id").agg(F.max("ts").alias("updated_at"))
-    return streams.expired(threads, "2024-01-30 12:00:00")
+    return streams.expired(threads, "2024-01-30 12:00:00").select("user_id")
 
 
 @query("WITH w AS (SELECT CAST(ts AS DATE) AS day, stage, round(sum(cost), 4) AS spend, count(*) AS n FROM stage GROUP BY ALL) SELECT * FROM w WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM stage) - INTERVAL 2 DAYS")

@@ -228,7 +228,7 @@ def name_resolution(d: Domain) -> DataFrame:
 
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS cluster_key, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey WHEN s_suppkey % 3 = 1 AND s_suppkey % 2 = 0 THEN s_suppkey END AS character_id,
 NOT (s_suppkey % 3 = 0 OR (s_suppkey % 3 = 1 AND s_suppkey % 2 = 0)) AS created_new, CASE WHEN s_suppkey % 3 = 0 THEN 'exact' WHEN s_suppkey % 3 = 1 AND s_suppkey % 2 = 0 THEN 'honorific' END AS method,
-CASE WHEN s_suppkey % 3 = 0 THEN 1.0 WHEN s_suppkey % 3 = 1 AND s_suppkey % 2 = 0 THEN 0.85 ELSE 0.0 END AS confidence, CASE WHEN s_suppkey % 3 = 1 AND s_suppkey % 2 = 1 THEN 'death' END AS blocked_by FROM supplier""")
+CAST(CASE WHEN s_suppkey % 3 = 0 THEN 1.0 WHEN s_suppkey % 3 = 1 AND s_suppkey % 2 = 0 THEN 0.85 ELSE 0.0 END AS DOUBLE) AS confidence, CASE WHEN s_suppkey % 3 = 1 AND s_suppkey % 2 = 1 THEN 'death' END AS blocked_by FROM supplier""")
 def cross_book_reconcile(d: Domain) -> DataFrame:
     s = d["supplier"]
     name = F.concat(F.lit("person "), F.col("s_suppkey").cast("string"))
