@@ -12,6 +12,9 @@ control string (those of this template and of widespread ones: anything with
 So no control string occurs inside an escaped text, and reading back is exact:
 a doubled backslash stands for one, a single one for nothing.
 
+As each example repeats all turns before it, the output grows with the square
+of the turns of one conversation; that is the method.
+
 Cases: rows are ordered by turn, ties by role and text (nulls first); repeated
 rows are turns of their own; a null role or text counts as empty; rows with a
 null conv_id form one conversation; empty and very long texts are written

@@ -222,7 +222,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     """(text, label) of at most ``max_rows`` labelled ids that are not held out.
 
     Ids are taken in order of a hash, so the choice is the same on every run.
-    Ids with a null label, or with labels that contradict, take no part.
+    Ids with a null label, or with labels that contradict, take no part. Where
+    rows of ``docs`` repeat an id, its least text counts, so that the sample is
+    bounded whatever repeats.
     """
     ids = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
@@ -235,7 +237,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         .select("_id", "_y")
     )
     # max_rows pairs of numbers at most: safe to broadcast at any input size.
-    return docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(ids), "_id")
+    return docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, extractor, settings: NbSvmSettings) -> NbSvmModel:
@@ -243,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, extractor, settings: N
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [f for f in frames if len(f)]
-        data = pd.concat(got).drop_duplicates(["_id", "text"]).sort_values(["_id", "text"], na_position="first") if got else pd.DataFrame({"text": [], "_y": []})
+        data = pd.concat(got).sort_values("_id") if got else pd.DataFrame({"text": [], "_y": []})
         model = fit(extractor, list(data["text"]), data["_y"].to_numpy(dtype=np.int64), settings)
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
