@@ -130,3 +130,9 @@ def with_context(rows: DataFrame, book: list[str], at: str, text: str, before: i
     """A row's text with its neighbours', in order (sentence or chunk context)."""
     w = Window.partitionBy(*book).orderBy(at).rowsBetween(-before, after)
     return rows.withColumn(out, F.array_join(F.collect_list(text).over(w), " "))
+
+
+def page_spans(items: DataFrame, page: int | None = None) -> DataFrame:
+    """(book_id, page, chunk_id, x0, y0, x1, y1): the box that a chunk's items take on each page."""
+    rows = items if page is None else items.filter(F.col("page") == page)
+    return rows.groupBy("book_id", "page", "chunk_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

@@ -292,3 +292,14 @@ def order_independence(d: Domain) -> DataFrame:
 def graph_rebuild(d: Domain) -> DataFrame:
     edges = relations.require_evidence(relations.aggregate_edges(d["assertion"]))
     return edges.agg(F.count("*").alias("n"), F.count_if(F.col("evidence_count") < 1).cast("int").alias("without_evidence"))
+
+
+@query(f"{ALL_EDGES} SELECT subject, predicate, object FROM edges e WHERE EXISTS (SELECT 1 FROM canonical c WHERE c.book_order <> 4 AND c.subject = e.subject AND c.predicate = e.predicate AND c.object = e.object)")
+def graph_reset(d: Domain) -> DataFrame:
+    return graph.reset_book(relations.aggregate_edges(d["assertion"]), relations.canonical(d["assertion"]), 4).select("subject", "predicate", "object")
+
+
+@query(f"{ALL_EDGES} SELECT sha256(subject || '|' || predicate || '|' || object) AS id, subject, object FROM edges")
+def graph_projection(d: Domain) -> DataFrame:
+    people = d["nation"].select(F.col("n_nationkey").alias("character_id"), F.col("n_name").alias("name"))
+    return graph.graph_tables(people, relations.aggregate_edges(d["assertion"]))[1].select("id", "subject", "object")

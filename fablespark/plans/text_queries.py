@@ -425,3 +425,9 @@ def ingestion_chain(d: Domain) -> DataFrame:
     for stage in (ingest.parse_and_chunk, ingest.segment_chapters, ingest.embed_chunks, ingest.extract_characters):
         t |= stage(t)
     return t["mention"].groupBy("book_order").agg(F.count_distinct("node").alias("n_nodes"), F.sum("n").alias("n_mentions"))
+
+
+@query("SELECT l_orderkey AS book_id, CAST(l_quantity AS INT) AS page, l_suppkey AS chunk_id, min(l_tax) AS x0, min(l_discount) AS y0, max(l_tax + 1) AS x1, max(l_discount + 1) AS y1 FROM lineitem GROUP BY ALL")
+def page_spans(d: Domain) -> DataFrame:
+    items = d["lineitem"].select(F.col("l_orderkey").alias("book_id"), F.col("l_quantity").cast("int").alias("page"), F.col("l_suppkey").alias("chunk_id"), F.col("l_tax").alias("x0"), F.col("l_discount").alias("y0"), (F.col("l_tax") + 1).alias("x1"), (F.col("l_discount") + 1).alias("y1"))
+    return chapters.page_spans(items)
