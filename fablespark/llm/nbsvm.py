@@ -12,7 +12,6 @@ Scoring runs over every whole text, on the executors.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -247,11 +246,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str, extractor, settings: N
         got = [f for f in frames if len(f)]
         data = pd.concat(got).sort_values("_id") if got else pd.DataFrame({"text": [], "_y": []})
         model = fit(extractor, list(data["text"]), data["_y"].to_numpy(dtype=np.int64), settings)
-        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+        yield pd.DataFrame({"codes": [model.codes.tobytes()], "weights": [model.weights.tobytes()], "intercept": [model.intercept], "slope": [model.slope], "offset": [model.offset]})
 
     sample = labelled_sample(docs, labels, label, settings.max_rows)
-    rows = sample.repartition(1).mapInPandas(run, "model binary").collect()
-    return pickle.loads(rows[0]["model"]) if rows else NbSvmModel()
+    rows = sample.repartition(1).mapInPandas(run, "codes binary, weights binary, intercept double, slope double, offset double").collect()
+    if not rows:
+        return NbSvmModel()
+    r = rows[0]  # one task, one model
+    return NbSvmModel(np.frombuffer(r["codes"], np.uint64), np.frombuffer(r["weights"], np.float64), r["intercept"], r["slope"], r["offset"])
 
 
 def _over_texts(docs: DataFrame, names: list[str], schema: str, work) -> DataFrame:
