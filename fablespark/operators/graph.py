@@ -57,7 +57,8 @@ def neighbourhood(edges: DataFrame, start, depth: int = 2) -> DataFrame:
 
 def hop_counts(links: DataFrame, start, max_hops: int = 4) -> DataFrame:
     """(node, hops) of all nodes within ``max_hops`` of the start; a frontier join a hop, visited nodes dropped."""
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    # Each hop joins the links again; they are made once.
+    both = cut_lineage(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     seen = links.sparkSession.createDataFrame([(start, 0)], f"node {dict(links.dtypes)['u']}, hops int")
     frontier = seen
     for hop in range(1, max_hops + 1):

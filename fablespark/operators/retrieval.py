@@ -33,24 +33,24 @@ def postings(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("term", key, "doc_len").agg(F.count("*").alias("tf"))
 
 
-def _times(word: str) -> Column:
-    return F.size(F.filter("t", lambda x: x == F.lit(word)))
+def _times(words: Column, word: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == F.lit(word)))
 
 
 def bm25_top(chunks: DataFrame, query: str, k: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The k best by BM25. Only the query's terms are counted in a chunk; nothing is exploded."""
     terms = sorted({w for w in query.lower().split() if w})
-    t = tokens(F.col(text))
-    rows = chunks.select(key, t.alias("t")).filter(F.size("t") > 0)
-    counted = rows.select(key, F.size("t").alias("doc_len"), *[_times(w).alias(f"tf{i}") for i, w in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    # The one-element array binds the words to a name, so that a text is cut once and not for each term.
+    bound = F.transform(F.array(tokens(F.col(text))), lambda t: F.struct(F.size(t).alias("doc_len"), *[_times(t, w).alias(f"tf{i}") for i, w in enumerate(terms)]))
+    counted = chunks.filter(F.col(text).isNotNull()).select(key, F.inline(bound))
+    stats = counted.agg(F.count_if(F.col("doc_len") > 0).alias("n"), F.avg(F.when(F.col("doc_len") > 0, F.col("doc_len"))).alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     n, avg = stats["n"], stats["avg_len"] or 1.0
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = math.log(1 + (n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
         tf = F.col(f"tf{i}").cast("double")
         score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.lit(float(avg))))
-    return counted.select(key, score.alias("score")).filter("score > 0").orderBy(F.desc("score"), key).limit(k)
+    return counted.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k).filter("score > 0")
 
 
 def ranked(top: DataFrame, score: str, key: str, out: str) -> DataFrame:
