@@ -174,9 +174,9 @@ def alias_counts(d: Domain) -> DataFrame:
     return characters.alias_counts(d["mention"])
 
 
-@query("SELECT character_id, min(book_order) AS first_book_order FROM mention GROUP BY character_id HAVING min(book_order) = 3")
+@query("SELECT character_id, min(book_order) AS first_book_order FROM mention GROUP BY character_id HAVING min(book_order) = 2")
 def new_in_book(d: Domain) -> DataFrame:
-    return characters.new_in_book(characters.appearances(d["mention"]), 3)
+    return characters.new_in_book(characters.appearances(d["mention"]), 2)
 
 
 @query("SELECT mention_id, character_id, book_order, chapter, page FROM mention WHERE character_id = 1 AND " + at_or_before_sql("book_order", "chapter", 5, 6) + " ORDER BY book_order, chapter, page, mention_id LIMIT 10 OFFSET 5")
