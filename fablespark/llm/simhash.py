@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from fablespark.llm.common import checkpointed, quoted
 from fablespark.llm.components import star_components
+from fablespark.llm.shingle_links import shingle_links
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -152,10 +153,15 @@ def hex_digits(fp: Column) -> Column:
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its group, each doc_id once.
 
-    Of rows that repeat a kept doc_id, one stays. Rows with a null doc_id all stay.
+    A group is connected by fingerprints within ``MAX_BITS`` and by five-word
+    shingle similarity of 0.8 or more (``shingle_links``). Of rows that repeat a
+    kept doc_id, one stays. Rows with a null doc_id all stay.
     """
-    found = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("component_id").alias("_component"))
-    kept = found.filter("doc_id = _component").select(F.col("doc_id").alias("_kept"), "_n")
+    found = near_duplicates(docs.select("doc_id", "text")).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("component_id").alias("_component"))
+    found = checkpointed(found)
+    near = found.filter("doc_id <> _component").select(F.col("doc_id").alias("u"), F.col("_component").alias("v"))
+    gone = star_components(near.unionByName(shingle_links(docs.select("doc_id", "text")))).select(F.col("node").alias("_gone"))
+    kept = found.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(F.col("doc_id").alias("_kept"), "_n")
     joined = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"))
     single = joined.filter("_n = 1").select(*quoted(docs.columns))
     repeated = joined.filter("_n > 1").select(*quoted(docs.columns)).dropDuplicates(["doc_id"])

@@ -2,9 +2,11 @@ from collections import Counter
 
 import corpus_pipeline as cp
 from fablespark.llm import mixing, quality, toxicity
+from fablespark.llm.components import star_components
 
 from test_decontaminate import plain as plain_leaks
 from test_mixing import plain as plain_mix
+from test_shingle_links import plain_groups
 from test_simhash import plain_components, plain_fingerprint
 
 
@@ -18,7 +20,10 @@ def test_against_plain_version(spark, sf):
     good = quality.train_quality(spark.createDataFrame(rows, docs.schema), labels)
     rows = [r for r, s in zip(rows, good.scores(quality.FEATURES, [r["text"] for r in rows]), strict=True) if s >= quality.THRESHOLD]
     parts = plain_components({r["doc_id"]: plain_fingerprint(r["text"]) for r in rows})
-    rows = [r for r in rows if parts[r["doc_id"]] == r["doc_id"]]
+    alike = plain_groups([(r["doc_id"], r["text"]) for r in rows])
+    links = [(i, j) for found in (parts, alike) for i, j in found.items() if i != j]
+    gone = {r["node"] for r in star_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    rows = [r for r in rows if r["doc_id"] not in gone]
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     leaks = {d for d, _ in plain_leaks([(r["doc_id"], r["text"]) for r in rows], items)}
     rows = [r for r in rows if r["doc_id"] not in leaks]
