@@ -43,7 +43,7 @@ ROWS = 6
 HASHES = 192
 LEAST_SHARED = 132
 _SEED = 7
-_PART = 4096
+_PART = 512
 _KEY = 0x9E3779B97F4A7C15
 
 
@@ -64,17 +64,18 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def _multipliers() -> np.ndarray:
-    return np.random.default_rng(_SEED).integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(_SEED).integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def signature(hashes: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """The least value of each of ``HASHES`` hash functions over the set."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), _PART):
-        part = hashes[None, at : at + _PART] * by[:, None]
-        part ^= part >> np.uint64(31)
-        least = np.minimum(least, (part * np.uint64(_KEY)).min(axis=1))
-    return least
+    """The least value of each of ``HASHES`` permutations of 32 bits over the set, mixed."""
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(high), _PART):
+        part = high[None, at : at + _PART] * by[:, None]
+        np.minimum(least, part.min(axis=1), out=least)
+    least ^= least >> np.uint32(16)
+    return least * np.uint32(0x85EBCA6B)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -95,7 +96,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 least = signature(s, by)
                 node.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
                 keys.append([xxhash.xxh64_intdigest(k.tobytes()) - (1 << 63) for k in least.reshape(-1, ROWS)])
-                sketches.append((least & np.uint64(255)).astype(np.uint8).tobytes())
+                sketches.append((least >> np.uint32(24)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 names=["doc_id", "text_hash", "node", "keys", "bytes"],
@@ -119,29 +120,36 @@ def _sharing(pairs: DataFrame, least_shared: int) -> DataFrame:
     return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _sets(texts: DataFrame) -> DataFrame:
+    """(node, hashes): each text's sorted shingle hashes, made once for all its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t.as_py()).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
+
+
 def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v, tu, tv) whose texts tu and tv reach the threshold."""
+    """Pairs (u, v, a, b) whose sets a and b reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, held = None, None
-            kept = []
-            for v, tu, tv in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if v != last:  # a sort-merge join gives rows by v: one set serves a run of them
-                    last, held = v, shingle_set(tv.as_py())
-                kept.append(similarity(shingle_set(tu.as_py()), held) >= threshold)
+            sets = ((np.frombuffer(x.as_py(), np.uint64) for x in batch.column(k)) for k in (2, 3))
+            kept = [similarity(x, y) >= threshold for x, y in zip(*sets, strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (u, v) of nodes (node, bytes) that pass the count filter and the threshold."""
     with_a = pairs.join(nodes.select(F.col("node").alias("u"), F.col("bytes").alias("a")), "u")
     with_b = with_a.join(nodes.select(F.col("node").alias("v"), F.col("bytes").alias("b")), "v")
     likely = checkpointed(_sharing(with_b, LEAST_SHARED))
-    left = texts.select(F.col("node").alias("u"), F.col("text").alias("tu"))
-    right = texts.select(F.col("node").alias("v"), F.col("text").alias("tv"))
+    left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
     return checkpointed(_alike(likely.join(left, "u").join(right, "v"), threshold))
 
 
@@ -154,8 +162,8 @@ def shingle_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = posts.groupBy("slot", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
     met = checkpointed(posts.join(least, ["slot", "key"]))
     wanted = nodes.select("node", "doc_id", "text_hash").join(met.select("node").distinct(), "node", "left_semi")
-    texts = checkpointed(_texts(docs).join(wanted, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
-    first = verified(met.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), nodes, texts, threshold)
+    sets = checkpointed(_sets(_texts(docs).join(wanted, ["doc_id", "text_hash"])).dropDuplicates(["node"]))
+    first = verified(met.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), nodes, sets, threshold)
     roots = star_components(first).withColumnRenamed("node", "_node")
     named = met.filter("n > 2").join(roots, met["node"] == roots["_node"], "left").select("slot", "key", "node", "least", F.coalesce("root", "node").alias("part"))
     sizes = named.groupBy("slot", "key", "part").agg(F.count("*").alias("m"))
@@ -166,7 +174,7 @@ def shingle_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Two outside the largest component meet once; pairs with the least member are done.
     unmet = unmet & ((F.col("b.part") == F.col("b.largest")) | (F.col("a.node") > F.col("b.node")))
     u, v = F.col("a.node"), F.col("b.node")
-    second = verified(a.join(b, unmet).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), nodes, texts, threshold)
+    second = verified(a.join(b, unmet).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), nodes, sets, threshold)
     ids = nodes.select("node", "doc_id")
     links = first.unionByName(second).join(ids.select(F.col("node").alias("u"), F.col("doc_id").alias("du")), "u").join(ids.select(F.col("node").alias("v"), F.col("doc_id").alias("dv")), "v")
     copies = signs.select("node", F.col("doc_id").alias("du")).join(ids.select("node", F.col("doc_id").alias("dv")), "node")
