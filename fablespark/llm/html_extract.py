@@ -2,9 +2,12 @@
 
 The standard library's parser streams a page's events into lines, one per
 block element. A line's text-to-tag ratio is its characters over its tags. The
-ratios are smoothed with a Gaussian kernel; lines over the threshold (a share
+ratios are smoothed with a Gaussian kernel, region by region; lines over the threshold (a share
 of the standard deviation of the smoothed ratios) form clusters, and clusters
-vote for the region (nearest sectioning element) that they lie in. Lines of
+vote for the region (nearest sectioning element) that they lie in. Votes in
+article and main count MAIN_WEIGHT times: if they outweigh the others, those of
+these regions that have votes are chosen, with the article or main around them;
+one without a vote (a card of links) is not. If not, the regions outside are. Lines of
 menus, notices, adverts, forms, comments and the like, told by element or by
 class, id or role, are no part of any region. The lines of the chosen regions
 are kept whole, low ratios included, as short paragraphs belong to an article.
@@ -49,6 +52,8 @@ SIGMA = 1.0
 THRESHOLD_SHARE = 0.5
 #: Regions with at least this share of the best region's votes are kept too.
 REGION_SHARE = 0.5
+#: Votes in article and main count this many times.
+MAIN_WEIGHT = 2.0
 
 
 class _Lines(HTMLParser):
@@ -59,6 +64,7 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # name, dropped, region, in main
         self.made = 0
+        self.parent: dict[int, int] = {}
         self.pieces: list[str] = []
         self.tags = 0
 
@@ -94,8 +100,10 @@ class _Lines(HTMLParser):
             return
         _, dropped, region, main = self.open[-1]
         if tag in REGIONS:
-            self.made += 1
-            region = self.made if not main or tag in MAIN else region
+            if not main or tag in MAIN:
+                self.made += 1
+                self.parent[self.made] = region
+                region = self.made
         main = main or tag in MAIN
         if not dropped:
             dropped = tag in DROPPED or tag == "header" and not main or self._furniture(tag, attrs)
@@ -154,7 +162,12 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(x[0]) / max(1, x[1]) for x in lines]))
+    raw = np.array([len(x[0]) / max(1, x[1]) for x in lines])
+    where = np.array([x[2] for x in lines])
+    order = np.argsort(where, kind="stable")
+    ratio = np.empty(len(lines))
+    for at in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+        ratio[at] = smoothed(raw[at])  # inside a region, so that a card beside an article gains nothing from it
     limit = THRESHOLD_SHARE * float(ratio.std())
     votes: dict[int, float] = defaultdict(float)
     texts: dict[int, float] = defaultdict(float)
@@ -165,17 +178,28 @@ def main_text(html: str | None) -> str:
             texts[region] += len(text)
             if main:
                 semantic.add(region)
-    if semantic:
-        votes = {k: votes[k] or texts[k] for k in semantic}
-    elif not any(votes.values()):
+    if not any(votes.values()):
         votes = texts
     if not votes:
         return ""
-    best = max(votes.values())
-    chosen = {k for k, v in votes.items() if v >= REGION_SHARE * best or k in semantic}
+    inside = sum(votes[k] for k in semantic)
+    outside = sum(votes.values()) - inside
+    if MAIN_WEIGHT * inside >= outside:
+        chosen = {k for k in semantic if votes[k]}
+        for k in list(chosen):
+            while (k := parser.parent.get(k, 0)) in semantic:
+                chosen.add(k)
+    else:
+        chosen = _outside(votes, semantic)
     return "\n\n".join(x[0] for x in lines if not x[4] and x[2] in chosen)
 
 
+def _outside(votes: dict[int, float], semantic: set[int]) -> set[int]:
+    """The regions chosen where the votes outside article and main prevail."""
+    best = max(v for k, v in votes.items() if k not in semantic)
+    return {k for k, v in votes.items() if v >= REGION_SHARE * best}
+
+
 def extract_text(pages: DataFrame, keep_html: bool = False) -> DataFrame:
     """``pages`` (with html) and text, n_chars; the html itself goes unless asked for."""
     names = columns_but(pages, "text", "n_chars", *([] if keep_html else ["html"]))

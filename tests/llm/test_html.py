@@ -51,6 +51,19 @@ def test_unclosed_menu_does_not_hide_the_article():
     assert main_text("<nav><ul><li>x<article><p>Words of the article.</p></article>") == "Words of the article."
 
 
+PROSE = "Long paragraph of real words about one matter. " * 6
+
+
+def test_votes_decide_on_pages_with_articles():
+    cards = "".join(f"<article><h3><a href='/{i}'>Card {i}</a></h3><ul><li><a href='/{i}'>More</a></li></ul></article>" for i in range(4))
+    assert main_text(SHELL.format(f"<main><h1>Title</h1><article><p>{PROSE}</p><p>{PROSE}</p><p>No.</p></article><p>{PROSE}</p>{cards}</main>")) == "\n\n".join(["Title", PROSE.strip(), PROSE.strip(), "No.", PROSE.strip()])
+    assert main_text(SHELL.format(f"<div><p>{PROSE}</p><p>{PROSE}</p></div><div>{cards}</div>")) == f"{PROSE.strip()}\n\n{PROSE.strip()}"
+
+
+def test_articles_outweigh_less_text_beside_them():
+    assert main_text(SHELL.format(f"<div><p>{PROSE}</p></div><article><p>{PROSE}</p><p>End.</p></article>")) == f"{PROSE.strip()}\n\nEnd."
+
+
 def test_smoothing_keeps_the_mean():
     r = np.array([0.0, 0, 0, 0, 10, 0, 0, 0, 0])
     s = html_extract.smoothed(r)
