@@ -7,7 +7,10 @@ of the standard deviation of the smoothed ratios) form clusters, and clusters
 vote for the region (nearest sectioning element) that they lie in. Votes in
 article and main count MAIN_WEIGHT times: if they outweigh the others, those of
 these regions that have votes are chosen, with the article or main around them;
-one without a vote (a card of links) is not. If not, the regions outside are. Lines of
+one without a vote (a card of links) is not. If not, the innermost region around
+all clusters outside is chosen, with everything in it: quotes, tables, short
+sections. A region whose neighbours hold more words than link text is a part of
+the element around them all, which is chosen instead (but not the whole body). Lines of
 menus, notices, adverts, forms, comments and the like, told by element or by
 class, id or role, are no part of any region. The lines of the chosen regions
 are kept whole, low ratios included, as short paragraphs belong to an article.
@@ -37,7 +40,7 @@ from fablespark.llm.common import columns_but, quoted
 # Elements of HTML by role, and words that name page furniture.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-REGIONS = frozenset("article main section body div td blockquote".split())
+REGIONS = frozenset("article main section body div".split())
 MAIN = frozenset(("article", "main"))
 DROPPED = frozenset("script style noscript template head title nav footer aside form button select textarea iframe svg object canvas menu dialog math audio video".split())
 ENDS_PARAGRAPH = BLOCKS - {"body", "html", "head"}
@@ -50,8 +53,6 @@ _NAME = re.compile(r"[A-Za-z]+")
 
 SIGMA = 1.0
 THRESHOLD_SHARE = 0.5
-#: Regions with at least this share of the best region's votes are kept too.
-REGION_SHARE = 0.5
 #: Votes in article and main count this many times.
 MAIN_WEIGHT = 2.0
 
@@ -65,6 +66,11 @@ class _Lines(HTMLParser):
         self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # name, dropped, region, in main
         self.made = 0
         self.parent: dict[int, int] = {}
+        self.bodies: set[int] = set()
+        self.links = 0  # 1 in an a element, which never nest
+        self.link_chars = 0
+        self.chars: dict[int, int] = defaultdict(int)
+        self.linked: dict[int, int] = defaultdict(int)
         self.pieces: list[str] = []
         self.tags = 0
 
@@ -73,7 +79,10 @@ class _Lines(HTMLParser):
         if text:
             _, dropped, region, main = self.open[-1]
             self.lines.append((text, self.tags, region, main, dropped))
-        self.pieces, self.tags = [], 0
+            if not dropped:
+                self.chars[region] += len(text)
+                self.linked[region] += min(len(text), self.link_chars)
+        self.pieces, self.tags, self.link_chars = [], 0, 0
 
     def _close(self, name: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -98,12 +107,15 @@ class _Lines(HTMLParser):
             self.pieces.append("\n")
         if tag in VOID:
             return
+        self.links = 1 if tag == "a" else self.links
         _, dropped, region, main = self.open[-1]
         if tag in REGIONS:
             if not main or tag in MAIN:
                 self.made += 1
                 self.parent[self.made] = region
                 region = self.made
+                if tag == "body":
+                    self.bodies.add(region)
         main = main or tag in MAIN
         if not dropped:
             dropped = tag in DROPPED or tag == "header" and not main or self._furniture(tag, attrs)
@@ -131,9 +143,12 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.pieces.append("\n")
+        self.links = 0 if tag == "a" else self.links
         self._close(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.links:
+            self.link_chars += len(data)
         self.pieces.append(data)
 
     def close(self) -> None:
@@ -190,14 +205,33 @@ def main_text(html: str | None) -> str:
             while (k := parser.parent.get(k, 0)) in semantic:
                 chosen.add(k)
     else:
-        chosen = _outside(votes, semantic)
+        chosen = _outside(parser, votes, semantic)
     return "\n\n".join(x[0] for x in lines if not x[4] and x[2] in chosen)
 
 
-def _outside(votes: dict[int, float], semantic: set[int]) -> set[int]:
+def _outside(parser: _Lines, votes: dict[int, float], semantic: set[int]) -> set[int]:
     """The regions chosen where the votes outside article and main prevail."""
-    best = max(v for k, v in votes.items() if k not in semantic)
-    return {k for k, v in votes.items() if v >= REGION_SHARE * best}
+    # Regions are numbered as they open, so that what is in one is a range of numbers.
+    last = list(range(parser.made + 1))
+    for k in range(parser.made, 0, -1):
+        up = parser.parent[k]
+        last[up] = max(last[up], last[k])
+
+    def words(a: int, b: int) -> tuple[int, int]:
+        own = [k for k in range(a, b) if k not in semantic]
+        return sum(parser.chars[k] for k in own), sum(parser.linked[k] for k in own)
+
+    voted = [k for k, v in votes.items() if v and k not in semantic]
+    around = min(voted)
+    while last[around] < max(voted):
+        around = parser.parent[around]
+    while (wider := parser.parent.get(around, 0)) and wider not in parser.bodies:
+        (before, linked_before), (after, linked_after) = words(wider, around), words(last[around] + 1, last[wider] + 1)
+        # An element with nothing but this region in it is passed by.
+        if before + after and 2 * (linked_before + linked_after) >= before + after:
+            break
+        around = wider
+    return {k for k in votes if around <= k <= last[around] and (votes[k] or k not in semantic)}
 
 
 def extract_text(pages: DataFrame, keep_html: bool = False) -> DataFrame:

@@ -64,6 +64,21 @@ def test_articles_outweigh_less_text_beside_them():
     assert main_text(SHELL.format(f"<div><p>{PROSE}</p></div><article><p>{PROSE}</p><p>End.</p></article>")) == f"{PROSE.strip()}\n\nEnd."
 
 
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f"<div><p>{PROSE}</p><blockquote>short quote</blockquote><section><p>short section</p></section></div>", [PROSE, "short quote", "short section"]),
+        (f"<div><div><p>{PROSE}</p><p>{PROSE}</p></div><div><h2>Part</h2><p>Shorter part.</p></div><div><p>{PROSE}</p></div><div><p>End.</p></div></div>", [PROSE, PROSE, "Part", "Shorter part.", PROSE, "End."]),
+        (f"<div><div><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div><div><p>One.</p></div></div><div><ul><li><a href='/'>Link</a></li></ul></div>", [PROSE, PROSE, PROSE, "One."]),
+        (f"<div><div><p>{PROSE}</p><p>{PROSE}</p></div><div><ul><li><a href='/'>Link</a></li><li><a href='/2'>Link two</a></li></ul></div></div>", [PROSE, PROSE]),
+        (f"<div><p>{PROSE}</p><table><tr><th>Year</th><th>Sum</th></tr><tr><td>1901</td><td>{PROSE}</td></tr></table></div>", [PROSE, "Year", "Sum", "1901", PROSE]),
+        (f"<div><section><p>{PROSE}</p><blockquote><p>a</p><div>b</div></blockquote></section><section><section><p>c</p></section></section></div>", [PROSE, "a", "b", "c"]),
+    ],
+)
+def test_nested_regions_without_article(body, want):
+    assert main_text(SHELL.format(body)) == "\n\n".join(x.strip() for x in want)
+
+
 def test_smoothing_keeps_the_mean():
     r = np.array([0.0, 0, 0, 0, 10, 0, 0, 0, 0])
     s = html_extract.smoothed(r)
