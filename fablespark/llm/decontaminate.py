@@ -21,7 +21,8 @@ characters, candidate pairs up to ``BROADCAST_ROWS``; beyond these the same
 joins shuffle.
 
 Cases: null and wordless texts and rows with a null id match nothing; repeated
-documents or items come back once an id (the greatest containment); of two
+documents or items come back once an id (the greatest containment; each text of
+an item has a signature of its own, however often it stands); of two
 items with one text both are found; very long documents are read whole; empty
 tables give an empty result; other columns are not read.
 """
@@ -56,22 +57,26 @@ def _hash_at(hashes: Column, i: Column, width: int) -> Column:
 
 
 def item_sets(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id, width, shingles, n): each item's distinct shingles and how many."""
+    """(item_id, width, shingles, n): each item's distinct shingles, in order, and how many.
+
+    Rows that repeat an item's set are one; other texts under one id are entries of their own.
+    """
     w = items.filter("item_id is not null").select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     sized = w.withColumn("width", F.least(F.size("words"), F.lit(width)))
-    return sized.select("item_id", "width", _shingles(F.col("words"), F.col("width")).alias("shingles")).withColumn("n", F.size("shingles"))
+    return sized.select("item_id", "width", F.array_sort(_shingles(F.col("words"), F.col("width"))).alias("shingles")).distinct().withColumn("n", F.size("shingles"))
 
 
 def signatures(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(width, hash, item_id): each item's least hashes, as many as its size partition asks for."""
     # The documents' hashes are made of word hashes; so are these.
-    by_words = sets.select("item_id", "width", "n", F.posexplode("shingles").alias("at", "shingle")).withColumn("h", F.transform(F.split("shingle", " "), lambda w: F.xxhash64(w)))
+    entries = sets.withColumn("entry", F.monotonically_increasing_id())  # one an item and set, each with a quota of its own
+    by_words = entries.select("entry", "item_id", "width", "n", F.posexplode("shingles").alias("at", "shingle")).withColumn("h", F.transform(F.split("shingle", " "), lambda w: F.xxhash64(w)))
     one = F.lit(None).cast("long")
     for k in range(1, WIDTH + 1):
         one = F.when(F.col("width") == k, _hash_at(F.col("h"), F.lit(0), k)).otherwise(one)
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double"))))
     length = F.floor(F.lit(1 - threshold) * upper + F.lit(1e-9)) + 1
-    ranked = by_words.select("item_id", "width", length.alias("length"), one.alias("hash")).withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("hash")))
+    ranked = by_words.select("entry", "item_id", "width", length.alias("length"), one.alias("hash")).withColumn("rank", F.row_number().over(Window.partitionBy("entry").orderBy("hash")))
     return ranked.filter("rank <= length").select("width", "hash", "item_id").distinct()
 
 

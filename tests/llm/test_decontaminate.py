@@ -69,6 +69,21 @@ def test_signatures_never_lose_a_pair(spark):
     assert dc.signatures(sets).count() > int(0.2 * n)
 
 
+@pytest.mark.parametrize("rows", [dc.BROADCAST_ROWS, 0])
+def test_repeated_items(spark, monkeypatch, rows):
+    """Equal rows and other texts under one id: documents that lack some shingles of one text."""
+    monkeypatch.setattr(dc, "BROADCAST_ROWS", rows)
+    items, docs = [], []
+    for i in range(12):
+        texts = [[f"i{i}t{t}w{k}" for k in range(20)] for t in range(2)]
+        items += [(i, " ".join(texts[0]))] * 4 + [(i, " ".join(w)) for w in texts]
+        for t, w in enumerate(texts):
+            docs += [(len(docs) + n, f"some {' '.join(x)} more") for n, x in enumerate([w, w[1:], w[:-1], w[3:], w[:-3], w[2:-1], w[4:]])]
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_shingles"]) for r in got} == plain(docs, items)
+    assert len(got) == 12 * 2 * 6 and min(r["containment"] for r in got) == 13 / 16
+
+
 def test_empty_tables(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
     assert {r["doc_id"] for r in dc.contaminated(odd_docs, items).collect()} == {1, 6}
