@@ -5,7 +5,9 @@ exclamation marks that white space or the end follows), which are normalised:
 lower case, every run of other than letters, digits and dots one space, dots at
 the ends cut off. A normalised sentence that is known, exactly or by one of the
 patterns for sentences that hold names or years, becomes its identifier; other
-sentences fall away. The document's sequence of identifiers is then matched
+sentences fall away. A sentence may be wrapped: lines in a row, with no blank
+line or sentence end between them, are joined where they are a known sentence
+together, the longest first; signs of comments before a line do not matter. The document's sequence of identifiers is then matched
 against the ordered licence rules: the rules are tried in order, longer ones
 first, each taking every place in the sequence where its identifiers stand one
 after the other, and an identifier that no rule takes is reported as itself.
@@ -23,6 +25,9 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +77,15 @@ PATTERNS = (
     ("copyright", r"^(copyright( c)?|c) ([0-9]{4}[ 0-9]*)( .*)?$"),
     ("all_rights", r"^(copyright( c)?|c) .* all rights reserved$"),
 )
+# Sentences that hold several identifiers, as the usual file header of Apache has them.
+_COMPLIANCE = "you may not use this file except in compliance with the license"
+_COPIES = [f"you may obtain a copy of the license at {s} www.apache.org licenses license 2.0" for s in ("http", "https")]
+_AS_IS = next(k for k, v in SENTENCES.items() if v == "apache_as_is")
+JOINED = (
+    {f"licensed under the apache license version 2.0 the license {_COMPLIANCE}": ("apache_line", "apache_compliance")}
+    | {c: ("apache_copy",) for c in _COPIES}
+    | {f"{c} {_AS_IS}": ("apache_copy", "apache_as_is") for c in _COPIES}
+)
 #: (licence, identifiers in a row), matched in this order.
 RULES = (
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
@@ -95,6 +109,8 @@ RULES = (
     ("Unlicense", ("unlicense_grant",)),
     ("All-Rights-Reserved", ("all_rights",)),
 )
+#: A copyright notice without a year runs over at most this many lines.
+NOTICE_LINES = 50
 TRIGGERS = ("licen", "copyright", "rights reserved", "permission", "warrant", "redistribut", "public domain", "(c)", "©")
 
 _untriggered = [s for s in SENTENCES if not any(t in s for t in TRIGGERS)]
@@ -102,25 +118,77 @@ if _untriggered:
     raise ValueError(f"known sentences without a trigger word: {_untriggered}")
 
 
-def _normal(sentence: Column) -> Column:
-    spaced = F.regexp_replace(F.regexp_replace(sentence, r"[^\p{L}\p{N}.©]+", " "), "©", "c")
-    return F.regexp_replace(spaced, r"^[ .]+|[ .]+$", "")
+_KNOWN = {k: (v,) for k, v in SENTENCES.items()} | JOINED
+_STARTS = {" ".join(w[:n]) for w in (k.split(" ") for k in _KNOWN) for n in range(1, len(w) + 1)}
+_PATTERNS = tuple((name, re.compile(pattern)) for name, pattern in reversed(PATTERNS))
+_END = re.compile(r"[.!?]+(?:[ \t\n\v\f\r]|$)")
+_OTHER = re.compile(r"(?:[^\w.©]|_)+")
+#: Comment words that a line can begin with; signs are no part of a normalised line.
+_COMMENT = re.compile(r"^[ \t]*(?:dnl|rem)[ \t]+(?=\S)", re.M)
+
 
+def _normal(sentence: str) -> str:
+    return _OTHER.sub(" ", sentence).replace("©", "c").strip(" .")
 
-def _identifier(sentence: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
+
+def _by_pattern(sentence: str) -> tuple[str, ...]:
     # The stricter pattern comes last in the table and is tested first.
-    out = F.try_element_at(known, sentence)
-    for name, pattern in reversed(PATTERNS):
-        out = F.coalesce(out, F.when(sentence.rlike(pattern), F.lit(name)))
+    return next(((name,) for name, pattern in _PATTERNS if pattern.search(sentence)), ())
+
+
+def _run_ids(lines: list[str]) -> Iterator[str]:
+    """Identifiers of the lines of one wrapped sentence, or of several that no sign ends."""
+    i = 0
+    while i < len(lines):
+        text, found, end = lines[i], _KNOWN.get(lines[i], ()) or _by_pattern(lines[i]), i + 1
+        j = i + 1
+        while j < len(lines) and text in _STARTS:
+            text = f"{text} {lines[j]}"
+            j += 1
+            if text in _KNOWN:
+                found, end = _KNOWN[text], j
+        if not found and lines[i].split(" ", 1)[0] in ("copyright", "c"):
+            found, end = _wrapped_notice(lines, i)
+        yield from found
+        i = end
+
+
+def _wrapped_notice(lines: list[str], i: int) -> tuple[tuple[str, ...], int]:
+    """A copyright notice over several lines, none of which is known by itself."""
+    text = lines[i]
+    for j in range(i + 1, min(len(lines), i + NOTICE_LINES)):
+        if lines[j] in _KNOWN or _by_pattern(lines[j]):
+            break
+        text = f"{text} {lines[j]}"
+        if found := _by_pattern(text):
+            return found, j + 1
+    return (), i + 1
+
+
+def text_ids(text: str) -> list[str]:
+    """The identifiers of a lower-cased text's known sentences, in order."""
+    out: list[str] = []
+    run: list[str] = []
+    for sentence in _END.sub("\n\n", _COMMENT.sub("", text)).split("\n"):
+        line = _normal(sentence)
+        if line:
+            run.append(line)
+        elif run:
+            out += _run_ids(run)
+            run = []
+    out += _run_ids(run)
     return out
 
 
-def sentence_ids(text: Column) -> Column:
-    """The identifiers of a text's known sentences, in order."""
-    cut = F.split(F.regexp_replace(F.lower(text), r"[.!?]+(\s|$)", "\n"), "\n")
-    near = F.filter(cut, lambda s: F.exists(F.array(*[F.lit(t) for t in TRIGGERS]), lambda t: F.contains(s, t)))
-    return F.filter(F.transform(near, lambda s: _identifier(_normal(s))), lambda x: x.isNotNull())
+def with_sentence_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id, ids) of ``docs`` (doc_id, lowered)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = pa.array([text_ids(t.as_py()) for t in b.column(1)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["doc_id", "ids"])
+
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<string>")
 
 
 def matched_licences(ids: Column) -> Column:
@@ -145,7 +213,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     near = F.lit(False)
     for t in TRIGGERS:
         near = near | F.contains(lowered, F.lit(t))
-    found = docs.filter(near).select("doc_id", sentence_ids(F.col("text")).alias("ids")).filter(F.size("ids") > 0)
+    found = with_sentence_ids(docs.filter(near).select("doc_id", lowered.alias("lowered"))).filter(F.size("ids") > 0)
     return found.select("doc_id", F.size("ids").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(matched_licences(F.col("ids")), ",").alias("licences"))
 
 

@@ -1,4 +1,7 @@
 import re
+import textwrap
+
+import pytest
 
 from fablespark.llm import license_scan as ls
 
@@ -44,5 +47,49 @@ def test_against_plain(spark):
     assert ls.scan_licences(df.limit(0)).count() == 0
 
 
+APACHE = [
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "    http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+]
+GPL = [
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+]
+BSD = [
+    "Copyright (c) 2019, Some One",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+]
+
+
+def wrapped(parts, width, prefix="", between=""):
+    lines = []
+    for p in parts:
+        lines += [prefix + x for x in textwrap.wrap(p.strip(), width)] + [prefix + between]
+    return "code here\n" + "\n".join(lines) + "\nmore code"
+
+
+@pytest.mark.parametrize("width", [40, 70, 80, 5000])
+@pytest.mark.parametrize("prefix", ["", " * ", "# ", "// ", "dnl "])
+def test_wrapped_texts(width, prefix):
+    for parts, ids in [
+        (APACHE, ["apache_line", "apache_compliance", "apache_copy", "apache_as_is", "apache_see"]),
+        (GPL, ["gpl3_later_grant", "gpl_hope", "gpl_see", "gpl_received"]),
+        (BSD, ["copyright", "bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"]),
+        (MIT.replace("One. ", "One\n").split("\n"), ["copyright", "mit_grant", "mit_notice", "mit_as_is"]),
+    ]:
+        assert ls.text_ids(wrapped(parts, width, prefix).lower()) == ids
+
+
+def test_wrapped_rows(spark):
+    texts = [wrapped(APACHE, 72, "# "), " ".join(x.strip() for x in APACHE), wrapped(GPL, 72), wrapped(BSD, 72, " * "), "Copyright Some One and many\nothers, all rights reserved."]
+    rows = ls.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licences"] for r in rows} == {0: "Apache-2.0", 1: "Apache-2.0", 2: "GPL-3.0-or-later", 3: "BSD-3-Clause,unmatched:copyright", 4: "All-Rights-Reserved"}
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert ls.scan_licences(odd_docs).count() == 0 and ls.scan_licences(no_docs).count() == 0
