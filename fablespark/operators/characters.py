@@ -152,18 +152,37 @@ def cited_attributes(attributes: DataFrame) -> DataFrame:
     return attributes.filter("page is not null")
 
 
+def deletion_variants(name: Column, max_edits: int) -> Column:
+    """The name and what is left of it without up to ``max_edits`` of its letters.
+
+    Two names within that many edits have a variant in common.
+    """
+    places = lambda x: F.when(F.length(x) > 0, F.sequence(F.lit(1), F.length(x))).otherwise(F.array().cast("array<int>"))
+    shorter = lambda x: F.transform(places(x), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    level = out = F.array(name)
+    for _ in range(max_edits):
+        level = F.array_distinct(F.flatten(F.transform(level, shorter)))
+        out = F.array_union(out, level)
+    return out
+
+
 def resolve_names(queries: DataFrame, characters: DataFrame, max_edits: int = 2) -> DataFrame:
     """(query, character_id, method, rank): the cheapest stage that hits, ties shown.
 
     Stages are exact name, alias, nickname, then edit distance. The fuzzy stage
-    is blocked by the first letter of the normalised name.
+    takes the queries that no earlier one hits, and compares those pairs of
+    normalised names that have a deletion variant in common, which loses none.
     """
     q = queries.select("query", normal_name(F.col("query")).alias("k"), formal_name(F.col("query")).alias("f"))
     names = characters.select("character_id", normal_name(F.col("canonical_name")).alias("k"), formal_name(F.col("canonical_name")).alias("f"))
     aliases = characters.select("character_id", F.explode("aliases").alias("alias")).select("character_id", normal_name(F.col("alias")).alias("k"))
     stage = lambda df, m, p: df.select("query", "character_id", F.lit(m).alias("method"), F.lit(p).alias("priority"))
-    fuzzy = q.withColumn("b", F.substring("k", 1, 1)).join(names.withColumnRenamed("k", "nk").withColumn("b", F.substring("nk", 1, 1)), "b").filter((F.abs(F.length("k") - F.length("nk")) <= max_edits) & (F.levenshtein("k", "nk") <= max_edits))
-    hits = stage(q.join(names, "k"), "exact", 1).unionByName(stage(q.join(aliases, "k"), "alias", 2)).unionByName(stage(q.join(names, "f"), "nickname", 3)).unionByName(stage(fuzzy, "fuzzy", 4))
+    hits = stage(q.join(names, "k"), "exact", 1).unionByName(stage(q.join(aliases, "k"), "alias", 2)).unionByName(stage(q.join(names, "f"), "nickname", 3))
+    rest = q.join(hits.select("query").distinct(), "query", "left_anti").select("query", "k").distinct()
+    variants = lambda df, k: df.withColumn("variant", F.explode(deletion_variants(F.col(k), max_edits)))
+    named = names.select("character_id", F.col("k").alias("nk"))
+    fuzzy = variants(rest, "k").join(variants(named, "nk"), "variant").filter(F.levenshtein("k", "nk") <= max_edits)
+    hits = hits.unionByName(stage(fuzzy, "fuzzy", 4))
     best = hits.groupBy("query", "character_id").agg(F.min(F.struct("priority", "method")).alias("m"))
     top = best.select("query", "character_id", F.col("m.method").alias("method"), F.dense_rank().over(Window.partitionBy("query").orderBy("m.priority")).alias("rank"))
     return top.filter("rank = 1")

@@ -205,7 +205,17 @@ k AS (SELECT least(s_suppkey, s_nationkey) AS u, greatest(s_suppkey, s_nationkey
 l AS (SELECT x.s_suppkey AS u, y.s_suppkey AS v, 'lifespan' AS reason FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey WHERE x.s_suppkey + 30 < y.s_suppkey)
 SELECT u, v, min(reason) AS reason FROM (SELECT * FROM t UNION ALL SELECT * FROM k UNION ALL SELECT * FROM l) GROUP BY u, v""")
 def cannot_links(d: Domain) -> DataFrame:
-    m = d["lineitem"].filter("l_orderkey < 200").select(F.col("l_orderkey").alias("scene_id"), (F.col("l_linenumber") % 2).alias("key"), F.col("l_suppkey").alias("node"))
+    return _cannot_links(d, d["lineitem"].filter("l_orderkey < 200"))
+
+
+@query()
+def cannot_links_all(d: Domain) -> DataFrame:
+    """The same over all scenes."""
+    return _cannot_links(d, d["lineitem"])
+
+
+def _cannot_links(d: Domain, items: DataFrame) -> DataFrame:
+    m = items.select(F.col("l_orderkey").alias("scene_id"), (F.col("l_linenumber") % 2).alias("key"), F.col("l_suppkey").alias("node"))
     kin = d["supplier"].filter("s_suppkey <> s_nationkey").select(F.col("s_suppkey").alias("u"), F.col("s_nationkey").cast("long").alias("v"))
     spans = d["supplier"].select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("first_at"), (F.col("s_suppkey") + 30).alias("last_at"))
     return characters.cannot_links(m, kin, spans)
@@ -221,7 +231,18 @@ def context_clusters(d: Domain) -> DataFrame:
 @query("""WITH q AS (SELECT c_custkey AS query_id, c_name AS query FROM customer WHERE c_custkey < 40)
 SELECT query, query_id AS character_id, 'exact' AS method, 1 AS rank FROM q""")
 def name_resolution(d: Domain) -> DataFrame:
-    q = d["customer"].filter("c_custkey < 40").select(F.lower("c_name").alias("low"), F.col("c_name").alias("query")).select("query")
+    return _name_resolution(d, d["customer"].filter("c_custkey < 40").select(F.col("c_name").alias("query")))
+
+
+@query()
+def name_resolution_all(d: Domain) -> DataFrame:
+    """All names: a third as they are, a third without the first letter, a third with two letters exchanged."""
+    n, key = F.col("c_name"), F.col("c_custkey")
+    query = F.when(key % 3 == 0, n).when(key % 3 == 1, F.expr("substring(c_name, 2)")).otherwise(F.concat(F.substring(n, 1, 2), F.substring(n, 4, 1), F.substring(n, 3, 1), F.expr("substring(c_name, 5)")))
+    return _name_resolution(d, d["customer"].select(query.alias("query")))
+
+
+def _name_resolution(d: Domain, q: DataFrame) -> DataFrame:
     people = d["customer"].select(F.col("c_custkey").alias("character_id"), F.col("c_name").alias("canonical_name"), F.array("c_mktsegment").alias("aliases"))
     return characters.resolve_names(q, people)
 

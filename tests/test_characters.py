@@ -1,6 +1,10 @@
+import itertools
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from fablespark.operators import characters as ch
 from fablespark.operators.components import connected_components
 
@@ -37,6 +41,42 @@ def test_two_of_one_name_in_a_scene_stay_apart(spark):
     assert apart[0] != apart[3] and apart[1] == apart[2] == 1
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_names_against_brute_force(spark):
+    rnd = random.Random(3)
+    names = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 7))) for _ in range(120)})
+    asked = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 8))) for _ in range(80)} - set(names))
+    people = spark.createDataFrame(list(enumerate(names)), "character_id int, canonical_name string").withColumn("aliases", F.array().cast("array<string>"))
+    got = {(r["query"], r["character_id"]) for r in ch.resolve_names(spark.createDataFrame([(x,) for x in asked], "query string"), people).collect() if r["method"] == "fuzzy"}
+    assert got == {(x, i) for x in asked for i, n in enumerate(names) if edits(x, n) <= 2}
+    assert any(x[0] != names[i][0] for x, i in got)
+
+
+def test_whole_table_queries_against_brute_force(spark, sf):
+    found = entry.queries()
+    customers = [(r["c_custkey"], r["c_name"]) for r in spark.read.parquet(f"{sf}/customer.parquet").collect()]
+    got = {(r["query"], r["character_id"], r["method"]) for r in found["name_resolution_all"](spark, sf).collect()}
+    form = lambda k, n: n if k % 3 == 0 else n[1:] if k % 3 == 1 else n[:2] + n[3] + n[2] + n[4:]
+    want = set()
+    for k, n in customers:
+        x = form(k, n)
+        want |= {(x, k, "exact")} if x == n else {(x, c, "fuzzy") for c, m in customers if edits(x.lower(), m.lower()) <= 2}
+    assert got == want and len({x for x, _, m in got if m == "fuzzy"}) == sum(k % 3 > 0 for k, _ in customers)
+    scenes = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey").collect():
+        scenes.setdefault((r[0], r[1] % 2), set()).add(r[2])
+    pairs = {p for x in scenes.values() for p in itertools.combinations(sorted(x), 2)}
+    assert pairs and pairs == {(r["u"], r["v"]) for r in found["cannot_links_all"](spark, sf).collect() if r["reason"] == "co_presence"}
+
+
 def test_resolution_shows_ties(spark):
     people = spark.createDataFrame([(1, "Elizabeth Bennet", ["Lizzy"]), (2, "Elizabeth Gardiner", []), (3, "Mary", []), (4, "Mary", [])], "character_id int, canonical_name string, aliases array<string>")
     q = spark.createDataFrame([("elizabeth bennet",), ("Lizzy",), ("Lizzy Bennet",), ("Mary",), ("Elizabet Gardiner",), ("Nobody",)], "query string")
