@@ -160,6 +160,12 @@ def mention_discovery(d: Domain) -> DataFrame:
     return characters.mentions(d["documents"].filter("lang = 'en'"), "doc_id")
 
 
+@query()
+def mention_discovery_all(d: Domain) -> DataFrame:
+    """The same over the documents of all languages."""
+    return characters.mentions(d["documents"], "doc_id")
+
+
 @query("SELECT coalesce(reason, 'kept') AS outcome, count(*) AS n FROM (SELECT CASE WHEN p_name IN ('red widget', 'blue bolt') THEN 'known_thing' WHEN p_size < 10 THEN 'too_few_mentions' END AS reason FROM part) GROUP BY 1")
 def rejected_candidates(d: Domain) -> DataFrame:
     things = d.spark.createDataFrame([("Red Widget",), ("blue bolt",)], "word string")

@@ -1,10 +1,14 @@
 import json
+import re
+import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fablespark.operators import evals, ops, retrieval
+from fablespark.functions.text import HONORIFICS
+from fablespark.operators import characters, evals, ops, retrieval
 from fablespark.plans import ask, ingest
 from fablespark.sources import models, stores
 from fablespark.sources.schema import STAGES
@@ -48,6 +52,17 @@ def test_ingestion_order_does_not_matter(spark, novel, tmp_path):
     assert stores.checksum(a["character"]).first() == stores.checksum(b["character"]).first()
 
 
+def test_mentions_of_all_languages_against_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    chars = {c for r in rows for c in r["text"] or ""}
+    big, small = ("".join(re.escape(c) for c in chars if unicodedata.category(c) == k) for k in ("Lu", "Ll"))
+    letter = "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == "L")
+    titles = "|".join(h.capitalize() for h in HONORIFICS)
+    pattern = re.compile(rf"(?:^|[^{letter}])((?:(?:{titles})\.? )?[{big}][{small}]+(?: [{big}][{small}]+)*)")
+    want = Counter((r["doc_id"], m) for r in rows for m in pattern.findall(r["text"] or "") if m.lower() not in characters.NOT_NAMES)
+    assert {(r["doc_id"], r["surface_form"]): r["n"] for r in entry.queries()["mention_discovery_all"](spark, sf).collect()} == want
+
+
 def test_embedding_only_what_is_missing(spark):
     chunk = spark.createDataFrame([("a", "one"), ("b", "two")], "chunk_id string, text string")
     once = ingest.embed_chunks({"chunk": chunk.limit(1)})["vector"]
