@@ -1,7 +1,12 @@
 import json
+import os
 import re
+import shutil
+import subprocess
+import sys
 import unicodedata
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +29,19 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 90
 
 
+def test_entry_without_the_corpus_operators(tmp_path):
+    """Both of their folders and the pipeline's file can be taken out of a checkout; or the folders alone."""
+    root = Path(entry.__file__).parent
+    gone = shutil.ignore_patterns("llm", ".git", "__pycache__")
+    shutil.copytree(root, tmp_path / "rest", ignore=gone)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(k.startswith('op1_') or k == 'pipeline' for k in e.queries()))"
+    for _ in range(2):
+        said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "rest", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, timeout=120, check=True).stdout
+        n, sql, corpus = said.split()
+        assert int(n) > 90 and 90 < int(sql) <= int(n) and corpus == "False"
+        (tmp_path / "rest" / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
 def test_resume_points():
     assert ingest.remaining_stages() == STAGES and ingest.remaining_stages("graph.upsert") == ("graph.upsert",)
     with pytest.raises(ValueError, match="unknown stage"):
