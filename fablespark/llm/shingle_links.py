@@ -2,20 +2,25 @@
 
 Two bits of 64 reach exact and very close copies only. Texts whose sets of
 distinct five-word shingles have a Jaccard similarity of 0.8 differ in about ten
-bits, which eight positional bytes can't guarantee to meet. This search keeps
-the shape of that index (positional bytes, posting lists, count filter,
-verification) with longer signatures: ``HASHES`` least shingle hashes give as
-many positional bytes; ``ROWS`` consecutive ones form a posting key, and of
-``HASHES / ROWS`` keys two texts of similarity s share at least one with
-probability 1 - (1 - s^ROWS)^(HASHES / ROWS): 0.99994 at 0.8, more above.
-
-No list is expanded into all its pairs. Each member is first compared with the
-least one of its list. Then every two members of a list that are not connected
-yet are compared, but for those of the list's largest component, which are
-connected already; so no two that meet in a list are left uncompared or
-unconnected, however long the list is. Pairs must share ``LEAST_SHARED`` of the
-positional bytes (3.9 standard deviations below the expectation at 0.8), then
-reach the threshold on the whole shingle sets.
+bits, which eight positional bytes can't guarantee to meet, so this search puts
+``BYTES`` bytes of MinHash values in their place: of each permutation of the
+shingle hashes, one byte of the least value. Two texts of similarity s share a
+positional byte with probability s (and one in 256 of the rest).
+
+The inverted index posts a text under windows of consecutive positional bytes.
+Pairs that meet must share ``LEAST_SHARED`` of all positional bytes (3.9 standard
+deviations below the expectation at 0.8), then reach the threshold on the whole
+shingle sets. The search is not exact; the tests hold it against brute force.
+
+Copies and near copies are not expanded into pairs. Each member of a posting list
+is compared with the least one of its list, and lists whose members these links
+connect are done. Of an open list of up to ``SHORT`` members, those in different
+components are compared. The members of longer ones are posted again under
+longer windows (``LEVELS``), which tell texts that share a passage from texts that
+are alike: where a passage is a share a of n texts, a list holds n * a^6, then
+n * a^12, then n * a^20 of them. What is open at the last level is compared whatever its
+length, so no list is cut; of texts that are all just under the threshold and not
+connected, many still meet there, a number that grows faster than theirs.
 
 Words are those of the SimHash operator. A text of fewer than five words is one
 shingle; texts without words have one shingle, the empty one. Documents with
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fablespark.llm.common import checkpointed
@@ -39,9 +44,14 @@ from fablespark.llm.components import star_components
 
 WIDTH = 5
 THRESHOLD = 0.8
-ROWS = 6
-HASHES = 192
-LEAST_SHARED = 132
+BYTES = 320
+#: Window and step of the postings, level by level.
+LEVELS = ((6, 8), (12, 8), (20, 5))
+#: Open lists of more members go to the next level.
+SHORT = 32
+LEAST_SHARED = 228
+#: Tables of two ids a row are broadcast up to this many rows.
+BROADCAST_ROWS = 400_000
 _SEED = 7
 _PART = 512
 _KEY = 0x9E3779B97F4A7C15
@@ -64,18 +74,18 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def _multipliers() -> np.ndarray:
-    return np.random.default_rng(_SEED).integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
+    return np.random.default_rng(_SEED).integers(0, 1 << 31, BYTES, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def signature(hashes: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """The least value of each of ``HASHES`` permutations of 32 bits over the set, mixed."""
+def positional_bytes(hashes: np.ndarray, by: np.ndarray) -> bytes:
+    """A byte of the least value of each of ``BYTES`` permutations of 32 bits over the set."""
     high = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    least = np.full(BYTES, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(high), _PART):
         part = high[None, at : at + _PART] * by[:, None]
         np.minimum(least, part.min(axis=1), out=least)
     least ^= least >> np.uint32(16)
-    return least * np.uint32(0x85EBCA6B)
+    return ((least * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -85,24 +95,19 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, keys, bytes): digest of the set, posting keys, positional bytes."""
+    """(doc_id, text_hash, node, bytes): digest of the set and positional bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _multipliers()
         for b in batches:
-            node, keys, sketches = [], [], []
+            node, sketches = [], []
             for t in b.column(2):
                 s = shingle_set(t.as_py())
-                least = signature(s, by)
                 node.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
-                keys.append([xxhash.xxh64_intdigest(k.tobytes()) - (1 << 63) for k in least.reshape(-1, ROWS)])
-                sketches.append((least >> np.uint32(24)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "text_hash", "node", "keys", "bytes"],
-            )
+                sketches.append(positional_bytes(s, by))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "node", "bytes"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, node long, keys array<long>, bytes binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, node long, bytes binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -114,7 +119,7 @@ def _sharing(pairs: DataFrame, least_shared: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BYTES) for k in (2, 3))
             yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= least_shared))
 
     return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
@@ -143,6 +148,11 @@ def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast, if the (checkpointed) rows are few."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (u, v) of nodes (node, bytes) that pass the count filter and the threshold."""
     with_a = pairs.join(nodes.select(F.col("node").alias("u"), F.col("bytes").alias("a")), "u")
@@ -153,29 +163,58 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: flo
     return checkpointed(_alike(likely.join(left, "u").join(right, "v"), threshold))
 
 
+def _windows(sketch: Column, width: int, step: int) -> Column:
+    """A posting key of each window of positional bytes."""
+    return F.array(*[F.xxhash64(F.lit(at), F.substring(sketch, at + 1, width)) for at in range(0, BYTES - width + 1, step)])
+
+
+def _lists(posts: DataFrame) -> DataFrame:
+    """(key, node, least, n) of posts (key, node) in lists of two and more."""
+    sizes = checkpointed(posts.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1"))
+    return checkpointed(posts.join(_few(sizes), "key").select("key", "node", "least", "n"))
+
+
+def _in_parts(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, least, n, part, largest): the open lists' members with the component each is in."""
+    named = lists.join(_few(roots.withColumnRenamed("node", "_node")), F.col("node") == F.col("_node"), "left").select("key", "node", "least", "n", F.coalesce("root", "node").alias("part"))
+    sizes = named.groupBy("key", "part").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("key").agg(F.max_by("part", F.struct("m", "part")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    return checkpointed(named.join(largest, "key"))
+
+
+def _across_parts(members: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of a list's members in different components, once each."""
+    a, b = members.filter("part <> largest").alias("a"), members.alias("b")
+    unmet = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.largest")) | (F.col("a.node") > F.col("b.node")))
+    u, v = F.col("a.node"), F.col("b.node")
+    return a.join(b, unmet).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
+
+
 def shingle_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links (u, v) of doc_ids that connect all documents that meet and reach the threshold."""
     signs = checkpointed(signatures(docs))
     # Equal sets are one node; the text of its least row stands for it.
-    nodes = checkpointed(signs.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes")).select("node", "x.doc_id", "x.text_hash", "keys", "bytes"))
-    posts = nodes.select("node", F.posexplode("keys").alias("slot", "key"))
-    least = posts.groupBy("slot", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    met = checkpointed(posts.join(least, ["slot", "key"]))
-    wanted = nodes.select("node", "doc_id", "text_hash").join(met.select("node").distinct(), "node", "left_semi")
-    sets = checkpointed(_sets(_texts(docs).join(wanted, ["doc_id", "text_hash"])).dropDuplicates(["node"]))
-    first = verified(met.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), nodes, sets, threshold)
-    roots = star_components(first).withColumnRenamed("node", "_node")
-    named = met.filter("n > 2").join(roots, met["node"] == roots["_node"], "left").select("slot", "key", "node", "least", F.coalesce("root", "node").alias("part"))
-    sizes = named.groupBy("slot", "key", "part").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("slot", "key").agg(F.max_by("part", F.struct("m", "part")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-    open_lists = checkpointed(named.join(largest, ["slot", "key"]).filter("node <> least"))
-    a, b = open_lists.filter("part <> largest").alias("a"), open_lists.alias("b")
-    unmet = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part"))
-    # Two outside the largest component meet once; pairs with the least member are done.
-    unmet = unmet & ((F.col("b.part") == F.col("b.largest")) | (F.col("a.node") > F.col("b.node")))
-    u, v = F.col("a.node"), F.col("b.node")
-    second = verified(a.join(b, unmet).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), nodes, sets, threshold)
+    nodes = checkpointed(signs.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.first("bytes").alias("bytes")).select("node", "x.doc_id", "x.text_hash", "bytes"))
+    sketches, links, near, sets, roots = nodes.select("node", "bytes"), None, None, None, None
+    for level, (width, step) in enumerate(LEVELS):
+        met = _lists(sketches.select("node", F.explode(_windows(F.col("bytes"), width, step)).alias("key")))
+        if sets is None:
+            wanted = checkpointed(nodes.select("node", "doc_id", "text_hash").join(met.select("node").distinct(), "node", "left_semi"))
+            sets = checkpointed(_sets(_texts(docs).join(_few(wanted), ["doc_id", "text_hash"])).dropDuplicates(["node"]))
+        found = verified(met.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), nodes, sets, threshold)
+        links = found if links is None else links.unionByName(found)
+        roots = star_components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        open_lists = _in_parts(met.filter("n > 2"), roots)
+        last = level == len(LEVELS) - 1
+        pairs = _across_parts(open_lists if last else open_lists.filter(F.col("n") <= SHORT))
+        near = pairs if near is None else near.unionByName(pairs)
+        if last:
+            break
+        sketches = checkpointed(nodes.select("node", "bytes").join(_few(checkpointed(open_lists.filter(F.col("n") > SHORT).select("node").distinct())), "node", "left_semi"))
+        if sketches.isEmpty():
+            break
+    links = links.unionByName(verified(near.distinct(), nodes, sets, threshold))
     ids = nodes.select("node", "doc_id")
-    links = first.unionByName(second).join(ids.select(F.col("node").alias("u"), F.col("doc_id").alias("du")), "u").join(ids.select(F.col("node").alias("v"), F.col("doc_id").alias("dv")), "v")
+    between = links.join(ids.select(F.col("node").alias("u"), F.col("doc_id").alias("du")), "u").join(ids.select(F.col("node").alias("v"), F.col("doc_id").alias("dv")), "v")
     copies = signs.select("node", F.col("doc_id").alias("du")).join(ids.select("node", F.col("doc_id").alias("dv")), "node")
-    return links.select("du", "dv").unionByName(copies.select("du", "dv")).select(F.col("du").alias("u"), F.col("dv").alias("v")).filter("u <> v").distinct()
+    return between.select("du", "dv").unionByName(copies.select("du", "dv")).select(F.col("du").alias("u"), F.col("dv").alias("v")).filter("u <> v").distinct()
