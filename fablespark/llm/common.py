@@ -53,6 +53,19 @@ def columns_but(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+def free_prefix(*frames: DataFrame) -> str:
+    """Underscores that no column of the frames begins with, for columns of our own."""
+    prefix = "_"
+    while any(c.startswith(prefix) for df in frames for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple] | tuple, names: list[str]) -> DataFrame:
+    """A few fixed rows as a plan of literals."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names, strict=True)]) for r in rows])))
+
+
 def quoted(names: list[str]) -> list[Column]:
     """Columns by their exact names, dots included."""
     return [F.col(f"`{c}`") for c in names]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fablespark.llm.common import checkpointed
+from fablespark.llm.common import checkpointed, free_prefix
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -119,9 +119,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no item; rows with a null doc_id stay."""
-    found = checkpointed(contaminated(docs, items, threshold).select(F.col("doc_id").alias("_leak")).distinct())
+    leak = free_prefix(docs) + "leak"
+    found = checkpointed(contaminated(docs, items, threshold).select(F.col("doc_id").alias(leak)).distinct())
     found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return docs.join(found, docs["doc_id"] == F.col("_leak"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found[leak], "left_anti")
 
 
 ORACLE_SQL = rf"""

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fablespark.llm.common import checkpointed, columns_but, quoted
+from fablespark.llm.common import checkpointed, columns_but, free_prefix, quoted
 
 LEAF = ("domain", "lang", "source")
 #: Tables of leaves up to this many rows are broadcast; larger ones meet the documents salted.
@@ -62,7 +62,7 @@ PLAN = MixPlan()
 
 def token_count(text: Column) -> Column:
     """Runs of other than white space (x20, x09 to x0D)."""
-    return F.coalesce(F.size(F.array_remove(F.split(text, r"[ \t-\r]+"), "")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
 
 
 def domain_of(source: Column, n_domains: int) -> Column:
@@ -111,12 +111,12 @@ def leaf_budgets(leaves: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
     return _shared_out(caps.join(lang, ["domain", "lang"]), ["domain", "lang"], "source", plan.sources, plan.other).select(*LEAF, "supply", "budget")
 
 
-def _at_leaves(rows: DataFrame, leaves: DataFrame, names: list[str], small: bool) -> DataFrame:
+def _at_leaves(rows: DataFrame, leaves: DataFrame, names: list[str], small: bool, salt: str = "salt") -> DataFrame:
     """``rows`` with the columns of their leaf. A hot leaf's rows stay where they are, or are spread over salts."""
     if small:
         return rows.join(F.broadcast(leaves), names)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-    return salted.join(leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*names, "_salt"]).drop("_salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    return salted.join(leaves.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*names, salt]).drop(salt)
 
 
 def _place(doc_id: Column, epoch: Column, seed: int) -> Column:
@@ -150,15 +150,18 @@ def mix(docs: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
     same = inside.groupBy(*LEAF, "slot", "before", "rest", "place", "id").agg(F.sum("n_tokens").alias("tokens"))
     run = F.sum("tokens").over(Window.partitionBy(*LEAF, "slot").orderBy("place", "id"))
     last = same.withColumn("run", F.col("before") + run).filter("run <= rest").groupBy(*LEAF).agg(F.max(F.struct("place", "id")).alias("last"))
-    cuts = parts.join(edge, list(LEAF), "left").join(last, list(LEAF), "left").select(*[F.col(c).alias(f"_{c}") for c in [*LEAF, "whole", "slot", "last"]])
-    full = docs.select("*", *[c.alias(f"_{n}") for c, n in zip(leaf, LEAF, strict=True)], token_count(F.col("text")).alias("_n")).filter("_n > 0")
-    rows = _at_leaves(full, checkpointed(cuts), [f"_{c}" for c in LEAF], small)
+    # Our columns beside those of the documents, under names that no document has.
+    own = {c: free_prefix(docs) + c for c in [*LEAF, "n", "whole", "slot", "last", "salt"]}
+    cuts = parts.join(edge, list(LEAF), "left").join(last, list(LEAF), "left").select(*[F.col(c).alias(own[c]) for c in [*LEAF, "whole", "slot", "last"]])
+    full = docs.select("*", *[c.alias(own[n]) for c, n in zip(leaf, LEAF, strict=True)], token_count(F.col("text")).alias(own["n"])).filter(F.col(own["n"]) > 0)
+    rows = _at_leaves(full, checkpointed(cuts), [own[c] for c in LEAF], small, own["salt"])
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    place = _place(name, F.col("_whole"), plan.seed)
+    whole, slot = F.col(own["whole"]), F.col(own["slot"])
+    place = _place(name, whole, plan.seed)
     # Rows before the edge slot are in; within it, those up to the last that fits.
-    taken = F.when(F.col("_slot").isNull(), True).otherwise((F.substring(place, 1, digits) < F.col("_slot")) | F.coalesce((F.substring(place, 1, digits) == F.col("_slot")) & (F.struct(place.alias("place"), name.alias("id")) <= F.col("_last")), F.lit(False)))
-    epochs = F.filter(F.sequence(F.lit(0), F.col("_whole")), lambda e: (e < F.col("_whole")) | taken)
-    return rows.select(*quoted(names), F.col("_domain").alias("domain"), F.col("_n").alias("n_tokens"), F.explode(epochs).alias("epoch"))
+    taken = F.when(slot.isNull(), True).otherwise((F.substring(place, 1, digits) < slot) | F.coalesce((F.substring(place, 1, digits) == slot) & (F.struct(place.alias("place"), name.alias("id")) <= F.col(own["last"])), F.lit(False)))
+    epochs = F.filter(F.sequence(F.lit(0), whole), lambda e: (e < whole) | taken)
+    return rows.select(*quoted(names), F.col(own["domain"]).alias("domain"), F.col(own["n"]).alias("n_tokens"), F.explode(epochs).alias("epoch"))
 
 
 def _case(name: str, weights: dict[str, int], other: int) -> str:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fablespark.llm.common import checkpointed, quoted
+from fablespark.llm.common import checkpointed, free_prefix, quoted
 from fablespark.llm.components import star_components
 from fablespark.llm.shingle_links import shingle_links
 
@@ -157,12 +157,13 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     shingle similarity of 0.8 or more (``shingle_links``). Of rows that repeat a
     kept doc_id, one stays. Rows with a null doc_id all stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text")).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("component_id").alias("_component"))
+    kept_id, times = (free_prefix(docs) + c for c in ("kept", "times"))
+    found = near_duplicates(docs.select("doc_id", "text")).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component"))
     found = checkpointed(found)
-    near = found.filter("doc_id <> _component").select(F.col("doc_id").alias("u"), F.col("_component").alias("v"))
-    gone = star_components(near.unionByName(shingle_links(docs.select("doc_id", "text")))).select(F.col("node").alias("_gone"))
-    kept = found.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(F.col("doc_id").alias("_kept"), "_n")
-    joined = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"))
-    single = joined.filter("_n = 1").select(*quoted(docs.columns))
-    repeated = joined.filter("_n > 1").select(*quoted(docs.columns)).dropDuplicates(["doc_id"])
+    near = found.filter("doc_id <> component").select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
+    gone = star_components(near.unionByName(shingle_links(docs.select("doc_id", "text")))).select(F.col("node").alias("gone"))
+    kept = found.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(F.col("doc_id").alias(kept_id), F.col("n").alias(times))
+    joined = docs.join(kept, docs["doc_id"].cast("long") == kept[kept_id])
+    single = joined.filter(F.col(times) == 1).select(*quoted(docs.columns))
+    repeated = joined.filter(F.col(times) > 1).select(*quoted(docs.columns)).dropDuplicates(["doc_id"])
     return single.unionByName(repeated).unionByName(docs.filter("doc_id is null"))

@@ -4,15 +4,17 @@ A host's canonical key is its labels in reverse order, each followed by a dot
 (``www.example.net`` becomes ``net.example.www.``), so a rule's host and all its
 subdomains are the keys that begin with the rule's key: an interval. Intervals
 of rules nest or are apart, never cross. Both kinds of rows are sorted by key
-and swept once: a rule's start pushes it on the stack of active rules, its end
-pops it. As every stack is that of the enclosing rule and one entry more, each
-start and end event carries the whole stack that holds from there on, and the
-sweep is a window that looks back to the last event. A url takes the longest
-rule of its stack whose path its own path begins with.
-
-Pages are dealt evenly by a hash of their id, whatever their host, and each
-part gets a copy of the events. That keeps a hot host from landing in one task;
-the rule list is checked against ``MAX_RULES`` first, which bounds the copies.
+and swept once with the stack of active rules: its level n is the interval of the
+last rule host of n labels that began, a next one of n labels takes its place (they
+never nest in each other), and a key beyond the interval finds it closed. The
+sweep is one window that looks back to the last start of each level; a start event
+holds the path rules of its own host only. A url takes the longest rule of its
+stack whose path its own path begins with.
+
+Pages are dealt evenly over parts, whatever their host, and each part gets a copy
+of the start events. That keeps a hot host from landing in one task. Parts hold
+``PART_ROWS`` pages, or four times as many as there are rules if these are more, so
+that rule lists of any length are taken and their copies stay fewer than the pages.
 
 Cases: a null url, or one without ``://``, has an empty host and path and takes
 the default verdict; empty and very long urls are read whole; rules that repeat
@@ -27,19 +29,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fablespark.llm.common import columns_but, quoted, shuffle_width
+from fablespark.llm.common import columns_but, literal_rows, quoted, shuffle_width
 
 #: (host, path, verdict).
 DEFAULT_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DEFAULT_VERDICT = "allow"
-#: A list of more rules is refused: its events are copied to every partition.
-MAX_RULES = 200_000
+#: Pages that are swept in one part, if there are many.
+PART_ROWS = 1_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_RULES = T.StructType([T.StructField(c, T.StringType()) for c in ("host", "path", "verdict")])
 
 
 def url_host(url: Column) -> Column:
@@ -58,46 +58,40 @@ def host_key(host: Column) -> Column:
 
 
 def rule_events(rules: DataFrame) -> DataFrame:
-    """(key, stack): from ``key`` on, the rules of ``stack`` are active.
-
-    The rules of a host that encloses another are found by joining on the
-    enclosing keys, which are as many as the host has labels.
-    """
+    """(key, level, own): the start of each rule host's interval, its labels and its path rules."""
     clean = (
         rules.filter("host is not null and path is not null and verdict is not null")
         .groupBy(F.translate("host", _UPPER, _LOWER).alias("host"), "path")
         .agg(F.max("verdict").alias("verdict"))
         .withColumn("key", host_key(F.col("host")))
     )
-    own = clean.groupBy("key").agg(F.collect_list(F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), "path", "verdict", F.concat("host", "path").alias("rule"))).alias("own"))
-    labels = F.split(F.col("key"), r"\.")
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(labels) - 1), lambda n: F.when(n == 0, "").otherwise(F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit("."))))
-    chain = own.select("key", F.explode(F.array_distinct(F.concat(prefixes, F.array("key")))).alias("outer"))
-    stacks = chain.join(own.select(F.col("key").alias("outer"), "own"), "outer").groupBy("key").agg(F.collect_list(F.struct(F.length("outer").alias("n"), "own")).alias("levels"))
-    full = stacks.select("key", F.flatten(F.transform("levels", lambda x: x["own"])).alias("stack"), F.flatten(F.transform(F.filter("levels", lambda x: x["n"] < F.length("key")), lambda x: x["own"])).alias("outer_stack"))
-    starts = full.select("key", "stack")
-    # "/" follows "." in byte order, so this is the first key beyond the interval.
-    ends = full.filter("key <> ''").select(F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/")).alias("key"), F.col("outer_stack").alias("stack"))
-    return starts.unionByName(ends)
-
-
-def filter_urls(pages: DataFrame, rules: DataFrame | None = None, default_verdict: str = DEFAULT_VERDICT, spread_by: str = "page_id") -> DataFrame:
-    """``pages`` (with a url) and host, path, rule, verdict. ``spread_by`` deals the rows out."""
+    rule = F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), "path", "verdict", F.concat("host", "path").alias("rule"))
+    return clean.groupBy("key").agg(F.collect_list(rule).alias("own")).select("key", (F.size(F.split("key", r"\.")) - 1).alias("level"), "own")
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame | None = None, default_verdict: str = DEFAULT_VERDICT) -> DataFrame:
+    """``pages`` (with a url) and host, path, rule, verdict."""
     spark = pages.sparkSession
     if rules is None:
-        rules = spark.createDataFrame(list(DEFAULT_RULES), _RULES)
-    if (n := rules.limit(MAX_RULES + 1).count()) > MAX_RULES:
-        raise ValueError(f"{n} rules or more; at most {MAX_RULES} can be copied to each partition")
-    parts = shuffle_width(spark)
+        rules = literal_rows(spark, DEFAULT_RULES, ["host", "path", "verdict"])
+    starts = rule_events(rules)
+    levels = [r["level"] for r in starts.select("level").distinct().collect()]  # a host has few labels
+    n_pages, n_rules = pages.count(), rules.count()
+    size = max(PART_ROWS, 4 * n_rules)
+    parts = min(max(shuffle_width(spark), -(-n_pages // size)), max(1, n_pages // max(1, 4 * n_rules)))
     names = columns_but(pages, "host", "path", "rule", "verdict")
     url = F.col("url")
     rows = pages.select(*quoted(names), url_host(url).alias("host"), url_path(url).alias("path"))
-    rows = rows.select(F.struct("*").alias("page"), host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.pmod(F.xxhash64(F.col(f"`{spread_by}`"), url), F.lit(parts)).cast("int").alias("part"))
-    events = rule_events(rules).select("key", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "stack")
+    rows = rows.select(F.struct("*").alias("page"), host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("part"))
+    events = starts.select("key", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "level", "own")
     sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = rows.unionByName(events, allowMissingColumns=True).withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
-    best = F.array_max(F.filter("active", lambda r: F.startswith(F.col("page.path"), r["path"])))
-    return swept.select("page.*", best.alias("_best")).select(*quoted(names), "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default_verdict)).alias("verdict"))
+    slots = [F.last(F.when(F.col("level") == n, F.struct("key", "own")), ignorenulls=True).over(sweep).alias(f"slot{n}") for n in levels]
+    swept = rows.unionByName(events, allowMissingColumns=True).select("page", "key", "kind", *slots).filter("kind = 1")
+    stack = F.filter(F.array(*[F.col(f"slot{n}") for n in levels]), lambda x: x.isNotNull() & F.startswith("key", x["key"])) if levels else None
+    fits = lambda r: F.startswith(F.col("page.path"), r["path"])
+    best = F.array_max(F.filter(F.flatten(F.transform(stack, lambda x: x["own"])), fits)) if levels else F.lit(None).cast("struct<rule:string,verdict:string>")
+    page = F.col("page")
+    return swept.select("page", best.alias("best")).select(*[page.getField(c).alias(c) for c in [*names, "host", "path"]], F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default_verdict)).alias("verdict"))
 
 
 ORACLE_SQL = r"""

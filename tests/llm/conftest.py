@@ -2,7 +2,7 @@
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, component_id string, slot int, whole int, last string, `a.b` int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, component_id string, slot int, whole int, last string, `a.b` int, _n int, _domain string, _leak long, _kept long, _best int, __slot int"
 
 
 @pytest.fixture(scope="session")
@@ -22,7 +22,7 @@ def odd_docs(spark):
         (7, "Ünïcödé \u3000 words \x00 and a nul, 日本語 テキスト", "ja", "", 40),
         (2**60 + 1, "big identifier", "en", "srcX", 14),
     ]
-    return spark.createDataFrame([(*r, "s", "c", 1, 2, "l", 3) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, "s", "c", 1, 2, "l", 3, 4, "d", 5, 6, 7, 8) for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

@@ -55,6 +55,25 @@ def test_no_rules_gives_the_default(spark):
     assert [(r["rule"], r["verdict"]) for r in rows] == [(None, "allow")]
 
 
+def test_parts_and_more_rules_than_pages(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "PART_ROWS", 7)
+    rules = [(f"h{i % 50}.d{i % 7}.net", f"/{i}", "block") for i in range(500)] + RULES
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    urls = [f"http://x.h{i % 60}.d{i % 7}.net/{i}/q" for i in range(90)]
+    df = spark.createDataFrame([(i, u, 1, 2, 3, 4) for i, u in enumerate(urls)], "page_id long, url string, _best int, page int, slot0 int, `k.k` int")
+    for some in (table, None):
+        out = url_filter.filter_urls(df, some)
+        assert out.columns == ["page_id", "url", "_best", "page", "slot0", "k.k", "host", "path", "rule", "verdict"]
+        for r in out.collect():
+            assert (r["host"], r["path"], r["rule"], r["verdict"]) == judge(r["url"], rules if some is not None else RULES) and (r["_best"], r["k.k"]) == (1, 4)
+
+
+def test_start_events_do_not_carry_enclosing_rules(spark):
+    rules = [("net", f"/{i}", "block") for i in range(40)] + [(f"h{i}.net", "/", "allow") for i in range(30)]
+    events = url_filter.rule_events(spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert sum(len(e["own"]) for e in events) == len(rules) and {e["level"] for e in events} == {1, 2}
+
+
 def test_sweep_runs_no_python_and_spreads_a_hot_host(spark):
     df = spark.range(1000).selectExpr("id as page_id", "'http://hot.example.net/en/' || id as url")
     plan = url_filter.filter_urls(df)._jdf.queryExecution().executedPlan().toString()
