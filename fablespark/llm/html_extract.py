@@ -11,8 +11,10 @@ one without a vote (a card of links) is not. If not, the innermost region around
 all clusters outside is chosen, with everything in it: quotes, tables, short
 sections. A region whose neighbours hold more words than link text is a part of
 the element around them all, which is chosen instead (but not the whole body). Lines of
-menus, notices, adverts, forms, comments and the like, told by element or by
-class, id or role, are no part of any region. The lines of the chosen regions
+menus, notices, adverts, forms, comments and the like, told by element, role, class
+or id, are no part of any region. A class or id that has other words beside such a name
+(``sidebar-right``) may speak of the layout: it is passed over on an element with more
+than LAYOUT_SHARE of the page's text. The lines of the chosen regions
 are kept whole, low ratios included, as short paragraphs belong to an article.
 
 Cases: null html counts as empty; a page without content gives an empty text;
@@ -49,24 +51,35 @@ DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side footer header masthead topbar "
     "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended comment comments disqus reply replies widget toolbar pagination pager copyright skip".split()
 )
-_NAME = re.compile(r"[A-Za-z]+")
+# Names of reader comments, and words that tell what an element has or lacks, not what it is.
+COMMENT_NAMES = frozenset("comment comments disqus reply replies".split())
+MODIFIERS = frozenset("no not without with has have is hide hidden show".split())
+_NAME = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 SIGMA = 1.0
 THRESHOLD_SHARE = 0.5
 #: Votes in article and main count this many times.
 MAIN_WEIGHT = 2.0
+#: An element with more of the page's text than this is no furniture if its name may speak of the layout.
+LAYOUT_SHARE = 0.5
 
 
 class _Lines(HTMLParser):
-    """Streams events into lines: (text, tags, region, region is main, dropped)."""
+    """Streams events into lines: [text, tags, region, region is main, dropped, furniture].
+
+    ``furniture`` numbers the innermost element that a class or id names so, 0 for none.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
-        self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # name, dropped, region, in main
+        self.lines: list[list] = []
+        self.open: list[tuple[str, bool, int, bool, int]] = [("", False, 0, False, 0)]  # name, dropped, region, in main, furniture
+        self.count: dict[str, int] = defaultdict(int)  # open elements by name
         self.made = 0
         self.parent: dict[int, int] = {}
         self.bodies: set[int] = set()
+        self.furniture: list[tuple[int, bool]] = [(0, False)]  # the one around it, is surely furniture
         self.links = 0  # 1 in an a element, which never nest
         self.link_chars = 0
         self.chars: dict[int, int] = defaultdict(int)
@@ -77,38 +90,38 @@ class _Lines(HTMLParser):
     def _end_line(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            _, dropped, region, main = self.open[-1]
-            self.lines.append((text, self.tags, region, main, dropped))
-            if not dropped:
-                self.chars[region] += len(text)
-                self.linked[region] += min(len(text), self.link_chars)
+            _, dropped, region, main, furniture = self.open[-1]
+            self.lines.append([text, self.tags, region, main, dropped, furniture, min(len(text), self.link_chars)])
         self.pieces, self.tags, self.link_chars = [], 0, 0
 
+    def _cut(self, size: int) -> None:
+        """Close what stands from that place on; each element is closed once."""
+        while len(self.open) > size:
+            self.count[self.open.pop()[0]] -= 1
+
     def _close(self, name: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == name:
-                del self.open[i:]
-                return
+        if self.count[name]:
+            while self.open[-1][0] != name:
+                self._cut(len(self.open) - 1)
+            self._cut(len(self.open) - 1)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._end_line()
-            if tag in ENDS_PARAGRAPH and any(x[0] == "p" for x in self.open):
+            if tag in ENDS_PARAGRAPH and self.count["p"]:
                 self._close("p")
             if tag == "li" and self.open[-1][0] == "li":
                 self._close("li")
             if tag in MAIN:  # no menu or advert that was left open holds the article
-                for i in range(1, len(self.open)):
-                    if self.open[i][1]:
-                        del self.open[i:]
-                        break
+                while self.open[-1][1] or self.open[-1][4]:
+                    self._cut(len(self.open) - 1)
         self.tags += 1
         if tag == "br":
             self.pieces.append("\n")
         if tag in VOID:
             return
         self.links = 1 if tag == "a" else self.links
-        _, dropped, region, main = self.open[-1]
+        _, dropped, region, main, furniture = self.open[-1]
         if tag in REGIONS:
             if not main or tag in MAIN:
                 self.made += 1
@@ -118,19 +131,49 @@ class _Lines(HTMLParser):
                     self.bodies.add(region)
         main = main or tag in MAIN
         if not dropped:
-            dropped = tag in DROPPED or tag == "header" and not main or self._furniture(tag, attrs)
-        self.open.append((tag, dropped, region, main))
+            dropped = tag in DROPPED or tag == "header" and not main or self._off_page(tag, attrs)
+            if not dropped and (name := self._furniture(tag, attrs)):
+                self.furniture.append((furniture, name == "sure"))
+                furniture = len(self.furniture) - 1
+        self.open.append((tag, dropped, region, main, furniture))
+        self.count[tag] += 1
+
+    @staticmethod
+    def _off_page(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        return tag not in ("body", "html", *MAIN) and any(k == "hidden" or k == "role" and (v or "").strip().lower() in DROPPED_ROLES for k, v in attrs)
 
     @staticmethod
-    def _furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in ("body", "html", "main", "article"):
-            return False
+    def _furniture(tag: str, attrs: list[tuple[str, str | None]]) -> str | None:
+        """If a class or id names page furniture: "sure", or "likely" if it says something else too."""
+        if tag in ("body", "html", *MAIN):
+            return None
+        found = None
         for k, v in attrs:
-            if k == "hidden" or k == "role" and (v or "").strip().lower() in DROPPED_ROLES:
-                return True
-            if k in ("class", "id") and any(w.lower() in DROPPED_NAMES for w in _NAME.findall(v or "")):
-                return True
-        return False
+            for token in (v or "").split() if k in ("class", "id") else ():
+                words = set(_NAME.findall(_HUMP.sub("-", token).lower()))
+                if words & DROPPED_NAMES and not words & MODIFIERS:
+                    found = "sure" if words <= DROPPED_NAMES or words & COMMENT_NAMES else found or "likely"
+        return found
+
+    def drop_furniture(self) -> None:
+        """Drop the lines of the elements whose class or id names furniture, and add up the regions' text."""
+        held = [0] * len(self.furniture)
+        for line in self.lines:
+            if not line[4]:
+                held[line[5]] += len(line[0])
+        total = sum(held)
+        for k in range(len(held) - 1, 0, -1):  # one inside has a higher number
+            if around := self.furniture[k][0]:
+                held[around] += held[k]
+        gone = [False] * len(held)
+        for k in range(1, len(held)):
+            around, sure = self.furniture[k]
+            gone[k] = gone[around] or sure or held[k] <= LAYOUT_SHARE * total
+        for line in self.lines:
+            line[4] = line[4] or gone[line[5]]
+            if not line[4]:
+                self.chars[line[2]] += len(line[0])
+                self.linked[line[2]] += line[6]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -154,6 +197,7 @@ class _Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._end_line()
+        self.drop_furniture()
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -187,7 +231,7 @@ def main_text(html: str | None) -> str:
     votes: dict[int, float] = defaultdict(float)
     texts: dict[int, float] = defaultdict(float)
     semantic: set[int] = set()
-    for (text, _, region, main, dropped), r in zip(lines, ratio, strict=True):
+    for (text, _, region, main, dropped, _, _), r in zip(lines, ratio, strict=True):
         if not dropped:
             votes[region] += len(text) if r >= limit else 0
             texts[region] += len(text)

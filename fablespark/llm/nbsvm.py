@@ -29,15 +29,14 @@ from fablespark.llm.ngram_features import indicators, runs
 class NbSvmSettings:
     """``max_rows`` bounds the labelled sample that a model is fitted on.
 
-    ``max_weights`` is the number of strongest weights that the fitted model
-    keeps; the sigmoid is fitted on what these give. ``balanced`` fits the
-    sigmoid as if both classes were equally frequent.
+    ``min_z`` leaves out indicators whose share hardly differs between the classes:
+    those whose log ratio is less than so many standard errors. ``balanced`` fits
+    the sigmoid as if both classes were equally frequent.
     """
 
     max_rows: int = 5000
     min_df: int = 4
-    max_features: int = 60_000
-    max_weights: int = 8000
+    min_z: float = 0.0
     smoothing: float = 1.0
     cost: float = 1.0
     rounds: int = 30
@@ -169,13 +168,13 @@ def fit(extractor, texts: list[str | None], labels: np.ndarray, s: NbSvmSettings
         if sum(len(p[0]) for p in pending) > 3_000_000:
             merge()
     merge()
-    keep = with_pos + with_neg >= min(s.min_df, max(1, len(y) // 10))
-    code, p, q = code[keep], with_pos[keep] + s.smoothing, with_neg[keep] + s.smoothing
+    p, q = with_pos + s.smoothing, with_neg + s.smoothing
+    n_pos, n_neg = y.sum() + 2 * s.smoothing, len(y) - y.sum() + 2 * s.smoothing
+    # A log ratio of two shares has the variance 1/p - 1/n_pos + 1/q - 1/n_neg.
+    z = np.abs(np.log(p / n_pos) - np.log(q / n_neg)) / np.sqrt(1 / p - 1 / n_pos + 1 / q - 1 / n_neg)
+    keep = (with_pos + with_neg >= min(s.min_df, max(1, len(y) // 10))) & (z >= s.min_z)
+    code, p, q = code[keep], p[keep], q[keep]
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    strength = np.abs(np.log(p / (y.sum() + 2 * s.smoothing)) - np.log(q / (len(y) - y.sum() + 2 * s.smoothing))) * np.sqrt(p + q)
-    if len(code) > s.max_features:
-        top = np.sort(np.argpartition(-strength, s.max_features)[: s.max_features])
-        code, ratio = code[top], ratio[top]
     # Rows of the scaled indicators, one more column for the intercept.
     bias = len(code)
     counts, columns = np.zeros(len(y), np.int64), []
@@ -206,9 +205,6 @@ def fit(extractor, texts: list[str | None], labels: np.ndarray, s: NbSvmSettings
         return hinge_descent(sub, cols[part], values[part], sign[idx], bias + 1, cost / norm * 10, s.rounds, s.tolerance, s.seed)
 
     w = solve(~apart)
-    if bias > s.max_weights:
-        weak = np.argsort(-np.abs(w[:-1] * ratio), kind="stable")[s.max_weights :]
-        w[weak] = 0.0
     rows = np.flatnonzero(apart) if apart.any() else np.arange(len(y))
     margin = np.array([np.dot(w[cols[starts[i] : starts[i + 1]]], values[starts[i] : starts[i + 1]]) for i in rows])
     slope, offset = sigmoid_fit(margin, y[rows], s.balanced)

@@ -16,7 +16,7 @@ from fablespark.llm.ngram_features import TokenShapes
 
 #: Documents that score less are rejected.
 THRESHOLD = 0.3
-SETTINGS = NbSvmSettings(max_rows=5000, max_weights=4000)
+SETTINGS = NbSvmSettings(max_rows=5000)
 FEATURES = TokenShapes(max_order=3, words=True)
 
 

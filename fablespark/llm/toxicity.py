@@ -16,7 +16,7 @@ from fablespark.llm.ngram_features import CharNgrams
 
 #: Documents that score this or more are toxic.
 THRESHOLD = 0.5
-SETTINGS = NbSvmSettings(max_rows=5000, max_weights=4000, min_df=3, cost=0.1, balanced=True)
+SETTINGS = NbSvmSettings(max_rows=5000, min_df=3, min_z=2.5, cost=0.1, balanced=True)
 #: Long n-grams tell word beginnings that are insults from the same letters within words.
 FEATURES = CharNgrams((4, 6, 8))
 

@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import numpy as np
 import pytest
@@ -79,6 +80,52 @@ def test_nested_regions_without_article(body, want):
     assert main_text(SHELL.format(body)) == "\n\n".join(x.strip() for x in want)
 
 
+CARDS = "".join(f"<{{0}}><h3><a href='/{i}'>Card {i}</a></h3><ul><li><a href='/{i}'>More</a></li></ul></{{0}}>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<main><article><p>{PROSE}</p><p>{PROSE}</p></article>{CARDS.format('article')}</main>",
+        f"<div><div><p>{PROSE}</p><p>{PROSE}</p></div></div>{CARDS.format('div')}",
+        f"<div><p>{PROSE}</p></div><article><ul>{''.join(f'<li><a href=/{i}>Read</a></li>' for i in range(60))}</ul></article>",
+    ],
+)
+def test_ratios_decide(monkeypatch, body):
+    """Without the smoothed ratios the links and teasers beside the text come along, or take its place."""
+    page, right = SHELL.format(body), main_text(SHELL.format(body))
+    assert right in (PROSE.strip(), f"{PROSE.strip()}\n\n{PROSE.strip()}")
+    monkeypatch.setattr(html_extract, "smoothed", lambda r: np.zeros(len(r)))
+    assert main_text(page) != right
+    monkeypatch.setattr(html_extract, "smoothed", lambda r: r.max() - r)
+    assert main_text(page) != right
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f"<article><div class='post no-sidebar'><p>{PROSE}</p></div></article>", [PROSE]),
+        (f"<div class='site-content has-sidebar'><p>{PROSE}</p><p>End.</p></div>", [PROSE, "End."]),
+        (f"<div class='layout sidebar-right header-large'><p>{PROSE}</p><div class='sidebar'><p>Side text.</p></div><div id='siteFooter'>Foot</div></div>", [PROSE]),
+        (f"<article><p>{PROSE}</p><div class='ad-slot'>Buy this.</div><p>End.</p></article>", [PROSE, "End."]),
+        (f"<article><p>Short.</p></article><div class='comments-list'><p>{PROSE}</p><p>{PROSE}</p></div>", ["Short."]),
+    ],
+)
+def test_names_of_layout_and_of_furniture(body, want):
+    assert main_text(SHELL.format(body)) == "\n\n".join(x.strip() for x in want)
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    def took(n):
+        page = "<div><span>" * n + "<p>text" + "</b></p>" * n + "<article><p>x</article>" + "</span></div>" * n
+        began = time.process_time()
+        main_text(page)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(16_000) < 8 * max(took(4000), 0.05)
+
+
 def test_smoothing_keeps_the_mean():
     r = np.array([0.0, 0, 0, 0, 10, 0, 0, 0, 0])
     s = html_extract.smoothed(r)
