@@ -7,7 +7,9 @@ the ends cut off. A normalised sentence that is known, exactly or by one of the
 patterns for sentences that hold names or years, becomes its identifier; other
 sentences fall away. A sentence may be wrapped: lines in a row, with no blank
 line or sentence end between them, are joined where they are a known sentence
-together, the longest first; signs of comments before a line do not matter. The document's sequence of identifiers is then matched
+together, the longest first; signs of comments before a line do not matter. Long
+known sentences (of ``LONG_WORDS`` words or more) are also found inside others, as
+where a title, a colon or an address joins several to one. The document's sequence of identifiers is then matched
 against the ordered licence rules: the rules are tried in order, longer ones
 first, each taking every place in the sequence where its identifiers stand one
 after the other, and an identifier that no rule takes is reported as itself.
@@ -25,10 +27,11 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,7 @@ SENTENCES = {
     "released under the mit license": "mit_line",
     "licensed under the mit license": "mit_line",
     "this project is licensed under the mit license": "mit_line",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit_liability",
     "spdx license identifier mit": "mit_line",
     "licensed under the apache license version 2.0": "apache_line",
     "licensed under the apache license version 2.0 the license": "apache_line",
@@ -52,15 +56,36 @@ SENTENCES = {
     "licensed under the gnu general public license version 3": "gpl3_line",
     "spdx license identifier gpl 3.0 only": "gpl3_line",
     "spdx license identifier gpl 3.0 or later": "gpl3_later_line",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3_later_grant",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2_later_grant",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl_hope",
-    "see the gnu general public license for more details": "gpl_see",
-    "you should have received a copy of the gnu general public license along with this program": "gpl_received",
+    "spdx license identifier gpl 2.0 only": "gpl2_line",
+    "spdx license identifier gpl 2.0 or later": "gpl2_later_line",
+    "spdx license identifier lgpl 2.1 or later": "lgpl21_later_line",
+    "spdx license identifier lgpl 3.0 or later": "lgpl3_later_line",
+    "spdx license identifier agpl 3.0 or later": "agpl3_later_line",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd_grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd_source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd_binary",
+    "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_endorse",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_endorse",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd_as_is",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd_liability",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc_as_is",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc_liability",
+    "this software is provided as is without any express or implied warranty": "zlib_as_is",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib_liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib_grant",
+    "the origin of this software must not be misrepresented you must not claim that you wrote the original software": "zlib_origin",
+    "if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required": "zlib_acknowledgment",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "zlib_altered",
+    "this notice may not be removed or altered from any source distribution": "zlib_notice",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2_subject",
+    "if a copy of the mpl was not distributed with this file you can obtain one at": "mpl2_copy",
+    "distributed under the boost software license version 1.0": "boost_line",
+    "spdx license identifier mpl 2.0": "mpl2_line",
+    "spdx license identifier isc": "isc_line",
+    "spdx license identifier zlib": "zlib_line",
+    "spdx license identifier bsl 1.0": "boost_line",
     "spdx license identifier bsd 2 clause": "bsd2_line",
     "spdx license identifier bsd 3 clause": "bsd3_line",
     "licensed under cc by nc 4.0": "cc_by_nc_line",
@@ -72,6 +97,28 @@ SENTENCES = {
     "this is free and unencumbered software released into the public domain": "unlicense_grant",
     "all rights reserved": "all_rights",
 }
+# Names, identifiers and versions of the licences of the GNU family.
+GNU = (("general", "gpl", ("2", "3")), ("lesser general", "lgpl", ("2.1", "3")), ("affero general", "agpl", ("3",)))
+
+
+def _gnu_sentences() -> dict[str, str]:
+    """The usual header of each, for a program and for a library."""
+    out = {}
+    for name, short, versions in GNU:
+        terms = f"the gnu {name} public license"
+        for version in versions:
+            grant = f"free software you can redistribute it and or modify it under the terms of {terms} as published by the free software foundation either version {version} of the license or at your option any later version"
+            # The header may name the software, so the grant counts without its subject too.
+            for subject in ("", "this program is ", "this library is "):
+                out[subject + grant] = f"{short}{version.replace('.', '')}_later_grant"
+        out[f"see {terms} for more details"] = f"{short}_see"
+        for subject in ("program", "library"):
+            out[f"you should have received a copy of {terms} along with this {subject}"] = f"{short}_received"
+            out[f"this {subject} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"] = "gpl_hope"
+    return out
+
+
+SENTENCES |= _gnu_sentences()
 # Sentences with names or years, as patterns over the whole sentence.
 PATTERNS = (
     ("copyright", r"^(copyright( c)?|c) ([0-9]{4}[ 0-9]*)( .*)?$"),
@@ -88,19 +135,35 @@ JOINED = (
 )
 #: (licence, identifiers in a row), matched in this order.
 RULES = (
-    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
+    ("Zlib", ("zlib_as_is", "zlib_liability", "zlib_grant", "zlib_origin", "zlib_acknowledgment", "zlib_altered", "zlib_notice")),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is", "bsd_liability")),
+    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is", "bsd_liability")),
     ("Apache-2.0", ("apache_line", "apache_compliance", "apache_copy", "apache_as_is", "apache_see")),
-    ("GPL-3.0-or-later", ("gpl3_later_grant", "gpl_hope", "gpl_see", "gpl_received")),
-    ("GPL-2.0-or-later", ("gpl2_later_grant", "gpl_hope", "gpl_see", "gpl_received")),
+    *((f"{short.upper()}-{v if '.' in v else v + '.0'}-or-later", (f"{short}{v.replace('.', '')}_later_grant", "gpl_hope", f"{short}_see", f"{short}_received")) for _, short, versions in reversed(GNU) for v in reversed(versions)),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
+    ("MIT", ("mit_grant", "mit_notice", "mit_as_is", "mit_liability")),
     ("MIT", ("mit_grant", "mit_notice", "mit_as_is")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
-    ("GPL-3.0-or-later", ("gpl3_later_grant",)),
-    ("GPL-2.0-or-later", ("gpl2_later_grant",)),
+    ("ISC", ("isc_grant", "isc_as_is", "isc_liability")),
+    ("MPL-2.0", ("mpl2_subject", "mpl2_copy")),
+    *((f"{short.upper()}-{v if '.' in v else v + '.0'}-or-later", (f"{short}{v.replace('.', '')}_later_grant",)) for _, short, versions in reversed(GNU) for v in reversed(versions)),
+    ("Zlib", ("zlib_grant",)),
+    ("ISC", ("isc_grant",)),
+    ("MPL-2.0", ("mpl2_subject",)),
+    ("MPL-2.0", ("mpl2_line",)),
+    ("ISC", ("isc_line",)),
+    ("Zlib", ("zlib_line",)),
+    ("BSL-1.0", ("boost_line",)),
     ("MIT", ("mit_grant",)),
     ("MIT", ("mit_line",)),
     ("Apache-2.0", ("apache_line",)),
+    ("GPL-2.0-only", ("gpl2_line",)),
+    ("GPL-2.0-or-later", ("gpl2_later_line",)),
     ("GPL-3.0-only", ("gpl3_line",)),
     ("GPL-3.0-or-later", ("gpl3_later_line",)),
+    ("LGPL-2.1-or-later", ("lgpl21_later_line",)),
+    ("LGPL-3.0-or-later", ("lgpl3_later_line",)),
+    ("AGPL-3.0-or-later", ("agpl3_later_line",)),
     ("BSD-2-Clause", ("bsd2_line",)),
     ("BSD-3-Clause", ("bsd3_line",)),
     ("CC-BY-NC-4.0", ("cc_by_nc_line",)),
@@ -111,7 +174,9 @@ RULES = (
 )
 #: A copyright notice without a year runs over at most this many lines.
 NOTICE_LINES = 50
-TRIGGERS = ("licen", "copyright", "rights reserved", "permission", "warrant", "redistribut", "public domain", "(c)", "©")
+TRIGGERS = ("licen", "copyright", "rights reserved", "permission", "warrant", "redistribut", "public domain", "(c)", "©", "liable", "misrepresented", "acknowledgment", "source distribution", "of the mpl")
+#: Known sentences of so many words are found inside longer ones.
+LONG_WORDS = 9
 
 _untriggered = [s for s in SENTENCES if not any(t in s for t in TRIGGERS)]
 if _untriggered:
@@ -120,6 +185,7 @@ if _untriggered:
 
 _KNOWN = {k: (v,) for k, v in SENTENCES.items()} | JOINED
 _STARTS = {" ".join(w[:n]) for w in (k.split(" ") for k in _KNOWN) for n in range(1, len(w) + 1)}
+_LONG = re.compile(r"(?<!\S)(?:" + "|".join(re.escape(k) for k in sorted(_KNOWN, key=len, reverse=True) if k.count(" ") >= LONG_WORDS - 1) + r")(?!\S)")
 _PATTERNS = tuple((name, re.compile(pattern)) for name, pattern in reversed(PATTERNS))
 _END = re.compile(r"[.!?]+(?:[ \t\n\v\f\r]|$)")
 _OTHER = re.compile(r"(?:[^\w.©]|_)+")
@@ -138,6 +204,30 @@ def _by_pattern(sentence: str) -> tuple[str, ...]:
 
 def _run_ids(lines: list[str]) -> Iterator[str]:
     """Identifiers of the lines of one wrapped sentence, or of several that no sign ends."""
+    whole = " ".join(lines)
+    ends = list(accumulate(len(x) + 1 for x in lines))
+    done = 0
+    for hit in _LONG.finditer(whole):
+        yield from _line_ids(_between(lines, ends, done, hit.start()))
+        yield from _KNOWN[hit[0]]
+        done = hit.end() + 1
+    yield from _line_ids(_between(lines, ends, done, len(whole)))
+
+
+def _between(lines: list[str], ends: list[int], start: int, stop: int) -> list[str]:
+    """What the lines hold from one place of the joined text to another; each line begins where the one before ends."""
+    cut = []
+    for k in range(bisect_right(ends, start), len(lines)):
+        begin = ends[k] - len(lines[k]) - 1
+        if begin >= stop:
+            break
+        if part := lines[k][max(0, start - begin) : max(0, stop - begin)].strip():
+            cut.append(part)
+    return cut
+
+
+def _line_ids(lines: list[str]) -> Iterator[str]:
+    """Identifiers of lines that hold no long sentence."""
     i = 0
     while i < len(lines):
         text, found, end = lines[i], _KNOWN.get(lines[i], ()) or _by_pattern(lines[i]), i + 1
