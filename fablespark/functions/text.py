@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 # Roman digits.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
-#: A heading "Chapter <number>[: title]"; the separator is optional (see ``strict``).
-HEADING = r"(?i)^\s*(?:chapter|chap\.?)\s+([IVXLCDM]+|\d+(?:\.\d+)*)(?:\s*[:.\-–—]\s*|\s+)?(.*?)\s*$"
-HEADING_STRICT = r"(?i)^\s*(?:chapter|chap\.?)\s+([IVXLCDM]+|\d+(?:\.\d+)*)(?:\s*[:.\-–—]\s*|\s+|$)(.*?)\s*$"
+# A heading is the word "chapter", a number, and a title that a separator may set off.
+_WORD = r"chap(?:ter|\.)?"
+_NUMBER = r"([ivxlcdm]+|[0-9]+(?:\.[0-9]+)*)"
+_MARK = r"\s*[-–—:.]\s*"
+#: The separator is optional, as the results must be those of headings like "Chapter Discovery" too.
+HEADING = rf"(?i)^\s*{_WORD}\s+{_NUMBER}(?:{_MARK}|\s+)?(.*?)\s*$"
+#: The number ends at a separator, a space or the end.
+HEADING_STRICT = rf"(?i)^\s*{_WORD}\s+{_NUMBER}(?:{_MARK}|\s+|$)(.*?)\s*$"
 CANONICAL_ROMAN = r"^M*(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 # Number words and headings that open or never open a chapter.
 NUMBER_WORDS = ("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty").split()
@@ -23,20 +28,10 @@ def collapse(text: Column) -> Column:
 
 
 def roman_to_int(roman: Column) -> Column:
-    """Subtractive Roman numeral, folded from the right; also takes IIII, VX and the like."""
-    digits = F.reverse(F.split(F.upper(roman), ""))
-
-    def digit(c: Column) -> Column:
-        out = F.lit(0)
-        for k, v in ROMAN.items():
-            out = F.when(c == k, v).otherwise(out)
-        return out
-
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("highest"))
-    step = lambda a, c: F.struct(
-        (a["total"] + F.when(digit(c) < a["highest"], -digit(c)).otherwise(digit(c))).alias("total"), F.greatest(a["highest"], digit(c)).alias("highest")
-    )
-    return F.aggregate(digits, start, step, lambda a: a["total"])
+    """Value of a Roman numeral, IIII, VX and the like included: a digit counts against the sum if a greater one stands to its right."""
+    digits = F.transform(F.split(F.upper(roman), ""), lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in ROMAN.items() for x in kv]), c))
+    signed = F.transform(digits, lambda v, i: F.when(v < F.array_max(F.slice(digits, i + 1, F.size(digits))), -v).otherwise(v))
+    return F.aggregate(signed, F.lit(0), lambda total, v: total + v)
 
 
 def chapter_number(number: Column, strict: bool = False) -> Column:
@@ -50,6 +45,7 @@ def chapter_number(number: Column, strict: bool = False) -> Column:
 
 
 def strip_title(title: Column) -> Column:
+    # What is cut off at both ends of a title.
     edge = r"[ :.\-–—]"
     out = F.regexp_replace(title, f"^{edge}+|{edge}+$", "")
     return F.when(out != "", out)
@@ -104,26 +100,39 @@ def item_budget(max_context: Column, prompt_tokens: Column, output_reserve: Colu
     return F.greatest(F.floor(max_context * margin) - prompt_tokens - output_reserve, F.lit(0)).cast("int")
 
 
-def pack_greedy(sizes: Column, budgets: Column) -> Column:
-    """Batch number (from 0) of each item of an ordered array.
+def batch_starts(sizes: Column, budgets: Column) -> Column:
+    """Where (from 1) the batches of an ordered array begin.
 
     A batch takes items while they fit the budget that held at its first item.
-    An item that alone is over the budget gets a batch of its own.
+    An item that alone is over the budget gets a batch of its own. The fold
+    notes the beginnings only, so it takes time in proportion to the items.
     """
-    start = F.struct(F.lit(-1).alias("batch"), F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("budget"), F.array().cast("array<int>").alias("out"))
+    kind = "struct<at:int,used:bigint,budget:bigint,starts:array<int>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("used"), F.lit(-1).cast("long").alias("budget"), F.array().cast("array<int>").alias("starts"))
 
     def step(a: Column, x: Column) -> Column:
-        new = (a["batch"] < 0) | (a["used"] + x["size"] > a["budget"])
-        batch = F.when(new, a["batch"] + 1).otherwise(a["batch"])
+        new = (a["at"] == 0) | (a["used"] + x["size"] > a["budget"])
+        at = a["at"] + 1
         return F.struct(
-            batch.alias("batch"),
+            at.alias("at"),
             F.when(new, x["size"].cast("long")).otherwise(a["used"] + x["size"]).alias("used"),
             F.when(new, x["budget"].cast("long")).otherwise(a["budget"]).alias("budget"),
-            F.concat(a["out"], F.array(batch)).alias("out"),
-        )
+            F.when(new, F.concat(a["starts"], F.array(at))).otherwise(a["starts"]).alias("starts"),
+        ).cast(kind)
 
     items = F.zip_with(sizes, budgets, lambda s, b: F.struct(s.alias("size"), b.alias("budget")))
-    return F.aggregate(items, start, step, lambda a: a["out"])
+    return F.aggregate(items, start.cast(kind), step, lambda a: a["starts"])
+
+
+def batch_sizes(starts: Column, n_items: Column) -> Column:
+    """How many items each batch holds."""
+    return F.transform(starts, lambda s, i: F.coalesce(F.get(starts, i + 1), n_items + 1) - s)
+
+
+def pack_greedy(sizes: Column, budgets: Column) -> Column:
+    """Batch number (from 0) of each item of an ordered array, see ``batch_starts``."""
+    held = batch_sizes(batch_starts(sizes, budgets), F.size(sizes))
+    return F.flatten(F.transform(held, lambda n, b: F.array_repeat(b, n)))
 
 
 # Honorifics before and after a name.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fablespark.functions.text import pack_greedy, token_count
+from fablespark.functions.text import batch_sizes, batch_starts, pack_greedy
 
 
 def chunk_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_tokens: int = 1024) -> DataFrame:
@@ -19,16 +19,14 @@ def chunk_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", ma
     A line over the budget is split by words first, so no chunk is over it.
     Each document is one row's work; nothing is shuffled.
     """
-    words = F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.array_remove(F.split(x, r"\s+"), ""))
+    words = F.filter(F.transform(F.split(text, "\n"), lambda x: F.array_remove(F.split(x, r"\s+"), "")), lambda w: F.size(w) > 0)
     pieces = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(max_tokens)), lambda i: F.slice(w, i + 1, F.lit(max_tokens)))))
     base = docs.select(F.col(doc), pieces.alias("pieces")).filter(F.size("pieces") > 0)
-    sized = base.withColumn("batch", pack_greedy(F.transform("pieces", lambda p: F.size(p)), F.transform("pieces", lambda _: F.lit(max_tokens))))
-    per_chunk = F.transform(
-        F.sequence(F.lit(0), F.element_at("batch", -1)),
-        lambda b: F.transform(F.filter(F.arrays_zip("batch", "pieces"), lambda z: z["batch"] == b), lambda z: F.array_join(z["pieces"], " ")),
-    )
-    out = sized.select(doc, F.posexplode(per_chunk).alias("chunk_no", "lines"))
-    return out.select(doc, "chunk_no", F.array_join("lines", "\n").alias("chunk_text"), token_count(F.array_join("lines", "\n")).alias("token_count"))
+    starts = batch_starts(F.transform("pieces", lambda p: F.size(p)), F.transform("pieces", lambda _: F.lit(max_tokens)))
+    cut = base.withColumn("starts", starts).select(doc, "pieces", F.posexplode(F.arrays_zip("starts", batch_sizes(F.col("starts"), F.size("pieces")).alias("size"))).alias("chunk_no", "z"))
+    lines = F.slice("pieces", F.col("z")["starts"], F.col("z")["size"])
+    out = cut.select(doc, "chunk_no", F.array_join(F.transform(lines, lambda x: F.array_join(x, " ")), "\n").alias("chunk_text"), F.aggregate(lines, F.lit(0), lambda n, x: n + F.size(x)).alias("token_count"))
+    return out
 
 
 def contextualised(headings: Column, text: Column) -> Column:
@@ -115,10 +113,27 @@ def split_oversized(items: DataFrame, text: str, budget: int) -> DataFrame:
     return items.withColumn("was_split", F.size(words) > budget).select("*", F.posexplode(F.when(F.size(words) > budget, parts).otherwise(F.array(F.col(text)))).alias("part_no", "part_text"))
 
 
-def batch_stats(batches: DataFrame, by: list[str]) -> DataFrame:
-    """Least, mean (rounded down) and greatest number of chunks a batch."""
-    sizes = batches.groupBy(*by, "batch_no").agg(F.count("*").alias("size"))
-    return sizes.groupBy(*by).agg(F.count("*").alias("n_batches"), F.min("size").alias("min_size"), F.floor(F.sum("size") / F.count("*")).alias("mean_size"), F.max("size").alias("max_size"))
+def plan_batches(items: DataFrame, group: list[str], at: str, text: str, budget: int) -> DataFrame:
+    """(group, at, part_no, part_text, tokens, was_split, batch_no): items over the budget split, then all packed in order.
+
+    No batch holds more than ``budget`` tokens (white-space words).
+    """
+    parts = split_oversized(items.select(*group, at, text), text, budget).withColumn("tokens", F.size(F.array_remove(F.split("part_text", r"\s+"), "")))
+    one = F.struct(F.col(at).alias("at"), F.col("part_no"), F.col("tokens"), F.col("part_text"), F.col("was_split"))
+    whole = parts.groupBy(*group).agg(F.sort_array(F.collect_list(one)).alias("a"))
+    numbers = pack_greedy(F.transform("a", lambda x: x["tokens"]), F.transform("a", lambda _: F.lit(budget)))
+    packed = whole.select(*group, F.explode(F.arrays_zip("a", numbers.alias("batch_no"))).alias("z"))
+    return packed.select(*group, F.col("z.a.at").alias(at), F.col("z.a.part_no").alias("part_no"), F.col("z.a.part_text").alias("part_text"), F.col("z.a.tokens").alias("tokens"), F.col("z.a.was_split").alias("was_split"), F.col("z.batch_no").alias("batch_no"))
+
+
+def batch_stats(batches: DataFrame, by: list[str], tokens: str | None = None) -> DataFrame:
+    """Least, mean (rounded down) and greatest number of chunks a batch; of tokens too, if a column holds them."""
+    each = [F.count("*").alias("size")] + ([F.sum(tokens).alias("held")] if tokens else [])
+    sizes = batches.groupBy(*by, "batch_no").agg(*each)
+    stats = [F.count("*").alias("n_batches"), F.min("size").alias("min_size"), F.floor(F.sum("size") / F.count("*")).alias("mean_size"), F.max("size").alias("max_size")]
+    if tokens:
+        stats += [F.min("held").alias("min_tokens"), F.floor(F.sum("held") / F.count("*")).alias("mean_tokens"), F.max("held").alias("max_tokens")]
+    return sizes.groupBy(*by).agg(*stats)
 
 
 def chapter_preview(chunks: DataFrame, text: str = "text") -> DataFrame:

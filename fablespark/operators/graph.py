@@ -38,7 +38,7 @@ def subgraph(edges: DataFrame, families: list[str] | None = None, min_confidence
 
 def truncated(df: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` rows, each with whether more were there."""
-    got = df.limit(limit + 1)
+    got = cut_lineage(df.limit(limit + 1))  # evaluated once: flag and rows are of one reading
     n = got.agg((F.count("*") > limit).alias("truncated"))
     return got.limit(limit).crossJoin(F.broadcast(n))  # one row with one flag
 
@@ -57,8 +57,9 @@ def neighbourhood(edges: DataFrame, start, depth: int = 2) -> DataFrame:
 
 def hop_counts(links: DataFrame, start, max_hops: int = 4) -> DataFrame:
     """(node, hops) of all nodes within ``max_hops`` of the start; a frontier join a hop, visited nodes dropped."""
-    # Each hop joins the links again; they are made once.
-    both = cut_lineage(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    # Each hop joins the links again; they are made and dealt by node once, so that a hop moves its frontier only.
+    width = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = cut_lineage(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().repartition(width, "u"))
     seen = links.sparkSession.createDataFrame([(start, 0)], f"node {dict(links.dtypes)['u']}, hops int")
     frontier = seen
     for hop in range(1, max_hops + 1):
@@ -78,7 +79,9 @@ def shortest_path(edges: DataFrame, start, goal, max_hops: int = 4) -> DataFrame
     far = cut_lineage(hop_counts(links, goal, max_hops).select(F.col("node").alias("v"), F.col("hops").alias("left")))
     cols = ["predicate", "confidence", "page_refs"]
     both = edges.select(F.col("subject").alias("u"), F.col("object").alias("v"), *cols).unionByName(edges.select(F.col("object").alias("u"), F.col("subject").alias("v"), *cols))
-    best = both.groupBy("u", "v").agg(F.max(F.struct("confidence", "predicate", "page_refs")).alias("e")).join(far, "v")
+    # Only hops towards the goal are kept, and are made once for all steps.
+    near = far.select(F.col("v").alias("u"), F.col("left").alias("from"))
+    best = cut_lineage(both.join(far, "v").join(near, "u").filter(F.col("from") == F.col("left") + 1).groupBy("u", "v", "left").agg(F.max(F.struct("confidence", "predicate", "page_refs")).alias("e")))
     kind = dict(edges.dtypes)["subject"]
     total = far.filter(F.col("v") == F.lit(start)).select("left").collect()
     spark = edges.sparkSession

@@ -17,8 +17,8 @@ def cost_rollup(stages: DataFrame, outer: str, inner: str) -> DataFrame:
     return stages.rollup(outer, inner).agg(F.sum("cost").alias("total_cost"), F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
-def latency_percentiles(stages: DataFrame, value: str = "cost", exact: bool = True) -> DataFrame:
-    """p50, p95 and p99 a stage; ``exact=False`` sketches them, for dashboards over large logs."""
+def latency_percentiles(stages: DataFrame, value: str = "cost", exact: bool = False) -> DataFrame:
+    """p50, p95 and p99 a stage, sketched in bounded memory; ``exact`` keeps every distinct value of a stage."""
     p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))) if exact else F.approx_percentile(value, [0.5, 0.95, 0.99], 10000)
     return stages.groupBy("stage").agg(p.alias("p")).select("stage", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"))
 
@@ -50,11 +50,12 @@ def ratio(df: DataFrame, part: str, whole: str, by: list[str], out: str) -> Data
     return df.groupBy(*by).agg((F.sum(part) / F.sum(whole)).alias(out))
 
 
-def review_metrics(tasks: DataFrame) -> DataFrame:
-    """Open tasks, median hours to resolve, share corrected, and open ones over 48 hours old, by type."""
+def review_metrics(tasks: DataFrame, exact: bool = False) -> DataFrame:
+    """Open tasks, median hours to resolve (sketched, unless ``exact``), share corrected, and open ones over 48 hours old, by type."""
+    hours = F.when(F.col("status") == "resolved", F.col("hours"))
     return tasks.groupBy("task_type").agg(
         F.count_if(F.col("status") == "open").alias("depth"),
-        F.median(F.when(F.col("status") == "resolved", F.col("hours"))).alias("median_hours"),
+        (F.median(hours) if exact else F.approx_percentile(hours, 0.5, 10000)).alias("median_hours"),
         F.avg(F.when(F.col("status") == "resolved", F.col("corrected").cast("double"))).alias("correction_rate"),
         F.count_if((F.col("status") == "open") & (F.col("hours") > 48)).alias("overdue"),
     )
@@ -69,17 +70,26 @@ def review_queue(tasks: DataFrame, by: list[str] | None = None) -> DataFrame:
     return tasks.withColumn("queue_no", F.row_number().over(Window.partitionBy(*(by or ["project_id"])).orderBy(F.desc("priority"), "created_at", "task_id")))
 
 
-def policy_at(queries: DataFrame, policies: DataFrame, purpose: str, at: str) -> DataFrame:
+def policy_at(queries: DataFrame, policies: DataFrame, purpose: str, at: str, unit: str = "day", span: int = 1_000_000) -> DataFrame:
     """Queries with the policy version that held when they came (as-of join).
 
-    Both sides are sorted together by time within a purpose, and one window
-    carries the last version forward: one shuffle, no range join.
+    Time is cut into units (numbers: into spans), so that a busy purpose is many tasks. A first sweep
+    over one row a purpose and unit finds the version in effect when each unit
+    begins; the second, within a purpose and unit, carries versions forward to
+    the queries. A null time has no version.
     """
-    marks = policies.select(purpose, F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.col("version").alias("_version"))
-    rows = queries.select(purpose, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct("*").alias("_row"))
-    w = Window.partitionBy(purpose).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = marks.unionByName(rows, allowMissingColumns=True).withColumn("policy_version", F.last("_version", ignorenulls=True).over(w))
-    return swept.filter("_kind = 1").select("_row.*", "policy_version")
+    number = dict(queries.dtypes)[at] in ("tinyint", "smallint", "int", "bigint")
+    when = lambda: (F.floor(F.col(at) / span) if number else F.date_trunc(unit, F.col(at).cast("timestamp"))).alias("_unit")
+    marks = policies.select(F.col(purpose).alias("_purpose"), when(), F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.col("version").alias("_version"))
+    rows = queries.select(F.col(purpose).alias("_purpose"), when(), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct("*").alias("_row"))
+    last = marks.groupBy("_purpose", "_unit").agg(F.max_by("_version", "_at").alias("_version"))
+    units = rows.select("_purpose", "_unit").distinct().unionByName(last, allowMissingColumns=True).groupBy("_purpose", "_unit").agg(F.max("_version").alias("_version"))
+    earlier = Window.partitionBy("_purpose").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    carried = units.select("_purpose", "_unit", F.lit(-1).alias("_kind"), F.last("_version", ignorenulls=True).over(earlier).alias("_version")).filter("_version is not null")
+    w = Window.partitionBy("_purpose", "_unit").orderBy("_kind_first", "_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = marks.unionByName(rows, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True).withColumn("_kind_first", F.col("_kind") >= 0)
+    swept = swept.withColumn("policy_version", F.last("_version", ignorenulls=True).over(w)).filter("_kind = 1")
+    return swept.select("_row.*", F.when(F.col("_at").isNotNull(), F.col("policy_version")).alias("policy_version"))
 
 
 def first_resolution(resolutions: DataFrame) -> DataFrame:

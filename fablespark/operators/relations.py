@@ -34,13 +34,13 @@ def canonical(assertions: DataFrame) -> DataFrame:
 
 
 def validate(assertions: DataFrame, roster: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
-    """Adds ``rejected_because`` (null: valid): off roster, off ontology, self relation, quote too long or not in its chunk."""
+    """Adds ``rejected_because`` (null: valid): self relation, off roster (or no subject or object), off ontology (or no predicate), quote too long or not in its chunk."""
     df = assertions
-    off = F.lit(False)
+    off = F.col("subject").isNull() | F.col("object").isNull()
     if roster is not None:
         for side in ("subject", "object"):
             df = df.join(roster.select(F.col("character_id").alias(side)).distinct().withColumn(f"_{side}", F.lit(True)), side, "left")
-        off = F.col("_subject").isNull() | F.col("_object").isNull()
+        off = off | F.col("_subject").isNull() | F.col("_object").isNull()
     fabricated = F.lit(False)
     if texts is not None:
         df = df.join(texts.select("chunk_id", F.col("text").alias("_text")), "chunk_id", "left")
@@ -49,7 +49,7 @@ def validate(assertions: DataFrame, roster: DataFrame | None = None, texts: Data
     reason = (
         F.when(F.col("subject") == F.col("object"), "self_relation")
         .when(off, "off_roster")
-        .when(~F.col("predicate").isin(*[p[0] for p in ontology.PREDICATES]), "off_ontology")
+        .when(~F.coalesce(F.col("predicate").isin(*[p[0] for p in ontology.PREDICATES]), F.lit(False)), "off_ontology")
         .when(long_quote, "quote_too_long")
         .when(fabricated, "fabricated_quote")
     )

@@ -94,16 +94,34 @@ def shortest_path_4(d: Domain) -> DataFrame:
     return graph.hop_counts(d["link"], 0, 4)
 
 
+def _layers(name: str, first: str, n: int) -> str:
+    """Nodes at 1 to n hops of the one node of ``first``, a table each."""
+    out = []
+    for k in range(1, n + 1):
+        before = " AND ".join(f"v NOT IN (SELECT v FROM {name}{j})" for j in range(k))
+        out.append(f"{name}{k} AS (SELECT DISTINCT v FROM ways WHERE u IN (SELECT v FROM {name}{k - 1}) AND {before})")
+    return f"{name}0 AS ({first}), " + ", ".join(out)
+
+
+@query(f"""WITH ways AS (SELECT u, v, (u + v) % 100 / 100 AS c FROM link UNION ALL SELECT v, u, (u + v) % 100 / 100 FROM link),
+{_layers("out", "SELECT CAST(0 AS BIGINT) AS v", 3)}, {_layers("back", "SELECT min(v) AS v FROM out3", 2)},
+p1 AS (SELECT v AS here, [u, v] AS nodes, least(1.0, c) AS worst FROM ways WHERE u = 0 AND v IN (SELECT v FROM back2)),
+s2 AS (SELECT v AS here, list_append(nodes, v) AS nodes, least(worst, c) AS worst FROM p1 JOIN ways ON u = here WHERE v IN (SELECT v FROM back1)),
+p2 AS (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY here ORDER BY worst DESC, nodes) = 1),
+s3 AS (SELECT list_append(nodes, v) AS nodes, least(worst, c) AS worst FROM p2 JOIN ways ON u = here WHERE v IN (SELECT v FROM back0)),
+p3 AS (SELECT * FROM s3 QUALIFY row_number() OVER (ORDER BY worst DESC, nodes) = 1)
+SELECT CAST(k AS INT) AS hop, nodes[k] AS u, nodes[k + 1] AS v, 'co_occurs_with' AS predicate, (nodes[k] + nodes[k + 1]) % 100 / 100 AS confidence,
+       CAST(least(nodes[k], nodes[k + 1]) % 300 + 1 AS VARCHAR) || ',' || CAST(greatest(nodes[k], nodes[k + 1]) % 300 + 1 AS VARCHAR) AS pages FROM p3, range(1, 4) AS r(k)""")
 def shortest_path_route(d: Domain) -> DataFrame:
-    """The route to one of the nodes three hops off (the least), hop by hop."""
+    """The route to one of the nodes three hops off (the least), hop by hop, each with its pages."""
     link = d["link"]
-    edges = link.select(F.col("u").alias("subject"), F.lit("co_occurs_with").alias("predicate"), F.col("v").alias("object"), ((F.col("u") + F.col("v")) % 100 / 100).alias("confidence"), F.array(F.lit(1)).alias("page_refs"))
+    pages = F.array((F.col("u") % 300 + 1).cast("int"), (F.col("v") % 300 + 1).cast("int"))
+    edges = link.select(F.col("u").alias("subject"), F.lit("co_occurs_with").alias("predicate"), F.col("v").alias("object"), ((F.col("u") + F.col("v")) % 100 / 100).alias("confidence"), pages.alias("page_refs"))
     goal = graph.hop_counts(link, 0, 3).filter("hops = 3").agg(F.min("node")).first()[0]
-    return graph.shortest_path(edges, 0, goal if goal is not None else 1, 4)
+    route = graph.shortest_path(edges, 0, goal if goal is not None else 1, 4)
+    return route.select("hop", "u", "v", "predicate", "confidence", F.array_join("page_refs", ",").alias("pages"))
 
 
-query()(shortest_path_route)
-
 ARCS = f"""
 WITH seen AS (SELECT * FROM assertion), {CANONICAL},
 at_pos AS (SELECT subject, object, {FAMILY} AS family, book_order, coalesce(chapter, 0) AS chapter, predicate, count(*) AS n FROM canonical GROUP BY ALL),

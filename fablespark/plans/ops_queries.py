@@ -22,7 +22,7 @@ def cost_rollup(d: Domain) -> DataFrame:
 
 @query("SELECT stage, round(quantile_cont(cost, 0.5), 6) AS p50, round(quantile_cont(cost, 0.95), 6) AS p95, round(quantile_cont(cost, 0.99), 6) AS p99 FROM stage GROUP BY stage")
 def latency_percentiles(d: Domain) -> DataFrame:
-    return ops.latency_percentiles(d["stage"]).select("stage", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
+    return ops.latency_percentiles(d["stage"], exact=True).select("stage", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
 @query("SELECT user_id AS stage, count(*) AS n, round(avg(CASE WHEN failed THEN 1.0::DOUBLE ELSE 0 END), 9) AS failure_rate FROM stage GROUP BY user_id")
@@ -59,7 +59,7 @@ def _tasks(d: Domain) -> DataFrame:
 
 @query(f"WITH {TASKS} SELECT task_type, count(*) FILTER (status = 'open') AS depth, round(median(hours) FILTER (status = 'resolved'), 6) AS median_hours, round(avg(CAST(corrected AS INT)) FILTER (status = 'resolved'), 9) AS correction_rate, count(*) FILTER (status = 'open' AND hours > 48) AS overdue FROM tasks GROUP BY task_type")
 def review_metrics(d: Domain) -> DataFrame:
-    return ops.review_metrics(_tasks(d)).withColumns({"median_hours": F.round("median_hours", 6), "correction_rate": F.round("correction_rate", 9)})
+    return ops.review_metrics(_tasks(d), exact=True).withColumns({"median_hours": F.round("median_hours", 6), "correction_rate": F.round("correction_rate", 9)})
 
 
 @query(f"WITH {TASKS} SELECT task_type, count(*) FILTER (status = 'open') AS open, count(*) FILTER (status = 'resolved') AS resolved, count(*) FILTER (status = 'dismissed') AS dismissed FROM tasks GROUP BY task_type")

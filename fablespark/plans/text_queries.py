@@ -120,10 +120,18 @@ def item_budget(d: Domain) -> DataFrame:
     return d["documents"].select("doc_id", T.token_count(F.col("text")).alias("tokens")).withColumn("budget", T.item_budget(F.lit(16384), F.col("tokens"), F.lit(2048)))
 
 
-@query(r"WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM documents) SELECT doc_id, CAST(n AS BIGINT) AS tokens, true AS within_budget FROM w WHERE n > 0")
+CHUNKED = r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents),
+w AS (SELECT doc_id, ln, list_filter(string_split_regex(line, '\s+'), lambda x: x <> '') AS words FROM l),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) AS rn, words[k * 256 + 1:(k + 1) * 256] AS piece FROM w, range(0, CAST(ceil(len(words) / 256.0) AS BIGINT)) AS r(k)),
+s AS (SELECT doc_id, list(len(piece) ORDER BY rn) AS sizes FROM p GROUP BY doc_id),
+f AS (SELECT doc_id, sizes, CAST(1 AS BIGINT) AS rn, CAST(sizes[1] AS BIGINT) AS used, 0 AS chunk_no FROM s
+UNION ALL SELECT doc_id, sizes, rn + 1, CASE WHEN used + sizes[rn + 1] > 256 THEN sizes[rn + 1] ELSE used + sizes[rn + 1] END, chunk_no + CASE WHEN used + sizes[rn + 1] > 256 THEN 1 ELSE 0 END FROM f WHERE rn < len(sizes))"""
+
+
+@query(f"{CHUNKED} SELECT doc_id, chunk_no, CAST(sum(len(piece)) AS INT) AS tokens, md5(string_agg(array_to_string(piece, ' '), chr(10) ORDER BY rn)) AS text_md5 FROM f JOIN p USING (doc_id, rn) GROUP BY doc_id, chunk_no")
 def chunk_documents(d: Domain) -> DataFrame:
-    chunks = chapters.chunk_documents(d["documents"], max_tokens=256)
-    return chunks.groupBy("doc_id").agg(F.sum("token_count").alias("tokens"), (F.max("token_count") <= 256).alias("within_budget"))
+    """Every chunk of every document, by its number, size and the digest of its text."""
+    return chapters.chunk_documents(d["documents"], max_tokens=256).select("doc_id", "chunk_no", F.col("token_count").alias("tokens"), F.md5(F.col("chunk_text").cast("binary")).alias("text_md5"))
 
 
 @query("SELECT l_orderkey AS chunk_id, array_to_string(list_sort(list(CAST(l_partkey % 300 + 1 AS INT))), ',') AS pages, CAST(min(l_partkey % 300 + 1) AS INT) AS page_start, CAST(max(l_partkey % 300 + 1) AS INT) AS page_end FROM lineitem GROUP BY l_orderkey")

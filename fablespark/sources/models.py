@@ -31,14 +31,17 @@ def structured_call(model: Callable[[str], str], prompt: str, required: tuple[st
 
 
 def call_model(df: DataFrame, model: Callable[[str], str], prompt_column: str = "prompt", concurrency: int = 8) -> DataFrame:
-    """``df`` with answer; at most ``concurrency`` calls run at once."""
+    """``df`` with answer; at most ``concurrency`` calls run at once.
+
+    The rows are dealt anew, so that what made them keeps its own parallelism.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield f.assign(answer=[model(p) for p in f[prompt_column]])
 
     schema = ", ".join(f"`{k}` {v}" for k, v in df.dtypes) + ", answer string"
-    return df.coalesce(concurrency).mapInPandas(run, schema)
+    return df.repartition(concurrency).mapInPandas(run, schema)
 
 
 def route_model(purpose: str, policy: dict[str, str], local: str, private: bool) -> str:

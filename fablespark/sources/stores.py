@@ -24,9 +24,19 @@ def append(df: DataFrame, folder: str, name: str) -> None:
     df.write.mode("append").parquet(f"{folder}/{name}")
 
 
-def replace_partitions(df: DataFrame, folder: str, name: str, key: str = "book_id") -> None:
-    """Rewrite just the partitions that ``df`` holds: running a stage twice changes nothing."""
+def replace_partitions(df: DataFrame, folder: str, name: str, key: str = "book_id", covers: list | None = None) -> None:
+    """Rewrite just the partitions that ``df`` holds: running a stage twice changes nothing.
+
+    ``covers`` names all keys (books) that the run is about: the partition of
+    one that now has no rows is taken away, so that nothing stale stays.
+    """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(f"{folder}/{name}")
+    if covers:
+        held = {r[0] for r in df.filter(F.col(key).isin(*covers)).select(key).distinct().collect()}  # keys of one run
+        store = ObjectStore(df.sparkSession, f"{folder}/{name}")
+        for k in covers:
+            if k not in held:
+                store.delete_prefix(f"{key}={df.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(k))}")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], guard: str | None = None) -> DataFrame:
