@@ -13,14 +13,14 @@ deviations below the expectation at 0.8), then reach the threshold on the whole
 shingle sets. The search is not exact; the tests hold it against brute force.
 
 Copies and near copies are not expanded into pairs. Each member of a posting list
-is compared with the least one of its list, and lists whose members these links
-connect are done. Of an open list of up to ``SHORT`` members, those in different
-components are compared. The members of longer ones are posted again under
-longer windows (``LEVELS``), which tell texts that share a passage from texts that
-are alike: where a passage is a share a of n texts, a list holds n * a^6, then
-n * a^12, then n * a^20 of them. What is open at the last level is compared whatever its
-length, so no list is cut; of texts that are all just under the threshold and not
-connected, many still meet there, a number that grows faster than theirs.
+is compared with the least one of its list. The members of lists of more than
+``SHORT`` are posted again under longer windows (``LEVELS``), which tell texts that
+share a passage from texts that are alike: where a passage is a share a of n texts, a
+list holds n * a^6, then n * a^12, then n * a^20 of them. Lists whose members these links
+connect are done. In the short ones that are still open, and in those of the last
+level whatever their length, members of different components are compared. So no
+list is cut; of texts that are all just under the threshold and not connected,
+many still meet at the last level, a number that grows faster than theirs.
 
 Words are those of the SimHash operator. A text of fewer than five words is one
 shingle; texts without words have one shingle, the empty one. Documents with
@@ -47,11 +47,11 @@ THRESHOLD = 0.8
 BYTES = 320
 #: Window and step of the postings, level by level.
 LEVELS = ((6, 8), (12, 8), (20, 5))
-#: Open lists of more members go to the next level.
+#: The members of longer lists go to the next level.
 SHORT = 32
 LEAST_SHARED = 228
 #: Tables of two ids a row are broadcast up to this many rows.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 150_000
 _SEED = 7
 _PART = 512
 _KEY = 0x9E3779B97F4A7C15
@@ -175,8 +175,8 @@ def _lists(posts: DataFrame) -> DataFrame:
 
 
 def _in_parts(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, least, n, part, largest): the open lists' members with the component each is in."""
-    named = lists.join(_few(roots.withColumnRenamed("node", "_node")), F.col("node") == F.col("_node"), "left").select("key", "node", "least", "n", F.coalesce("root", "node").alias("part"))
+    """(key, node, part, largest): the open lists' members with the component each is in."""
+    named = lists.join(_few(roots.withColumnRenamed("node", "_node")), F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("root", "node").alias("part"))
     sizes = named.groupBy("key", "part").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("key").agg(F.max_by("part", F.struct("m", "part")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     return checkpointed(named.join(largest, "key"))
@@ -195,25 +195,20 @@ def shingle_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signs = checkpointed(signatures(docs))
     # Equal sets are one node; the text of its least row stands for it.
     nodes = checkpointed(signs.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.first("bytes").alias("bytes")).select("node", "x.doc_id", "x.text_hash", "bytes"))
-    sketches, links, near, sets, roots = nodes.select("node", "bytes"), None, None, None, None
-    for level, (width, step) in enumerate(LEVELS):
-        met = _lists(sketches.select("node", F.explode(_windows(F.col("bytes"), width, step)).alias("key")))
-        if sets is None:
-            wanted = checkpointed(nodes.select("node", "doc_id", "text_hash").join(met.select("node").distinct(), "node", "left_semi"))
-            sets = checkpointed(_sets(_texts(docs).join(_few(wanted), ["doc_id", "text_hash"])).dropDuplicates(["node"]))
-        found = verified(met.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), nodes, sets, threshold)
-        links = found if links is None else links.unionByName(found)
-        roots = star_components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        open_lists = _in_parts(met.filter("n > 2"), roots)
-        last = level == len(LEVELS) - 1
-        pairs = _across_parts(open_lists if last else open_lists.filter(F.col("n") <= SHORT))
-        near = pairs if near is None else near.unionByName(pairs)
-        if last:
+    lists = _lists(nodes.select("node", F.explode(_windows(F.col("bytes"), *LEVELS[0])).alias("key")))
+    wanted = checkpointed(nodes.join(lists.select("node").distinct(), "node", "left_semi"))
+    sets = checkpointed(_sets(_texts(docs).join(_few(wanted.drop("bytes")), ["doc_id", "text_hash"])).dropDuplicates(["node"]))
+    stars, compared = lists, lists.filter(F.col("n") <= SHORT)
+    for level, (width, step) in enumerate(LEVELS[1:], 2):
+        again = checkpointed(wanted.select("node", "bytes").join(_few(checkpointed(lists.filter(F.col("n") > SHORT).select("node").distinct())), "node", "left_semi"))
+        if again.isEmpty():
             break
-        sketches = checkpointed(nodes.select("node", "bytes").join(_few(checkpointed(open_lists.filter(F.col("n") > SHORT).select("node").distinct())), "node", "left_semi"))
-        if sketches.isEmpty():
-            break
-    links = links.unionByName(verified(near.distinct(), nodes, sets, threshold))
+        lists = _lists(again.select("node", F.explode(_windows(F.col("bytes"), width, step)).alias("key")))
+        stars = stars.unionByName(lists)
+        compared = compared.unionByName(lists if level == len(LEVELS) else lists.filter(F.col("n") <= SHORT))
+    first = verified(stars.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), wanted, sets, threshold)
+    open_lists = _in_parts(compared.filter("n > 2"), star_components(first))
+    links = first.unionByName(verified(_across_parts(open_lists), wanted, sets, threshold))
     ids = nodes.select("node", "doc_id")
     between = links.join(ids.select(F.col("node").alias("u"), F.col("doc_id").alias("du")), "u").join(ids.select(F.col("node").alias("v"), F.col("doc_id").alias("dv")), "v")
     copies = signs.select("node", F.col("doc_id").alias("du")).join(ids.select("node", F.col("doc_id").alias("dv")), "node")

@@ -136,10 +136,15 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, max_list: int = MAX_L
     return pairs.unionByName(stars).filter("u <> v").distinct()
 
 
+def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, rep): each fingerprint with its least doc_id."""
+    fps = checkpointed(fingerprints(docs))
+    return fps, checkpointed(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, max_list: int = MAX_LIST) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text)."""
-    fps = checkpointed(fingerprints(docs))
-    nodes = checkpointed(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    fps, nodes = _nodes(docs)
     roots = star_components(near_links(nodes, max_bits, max_list))
     named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("_component"))
     return fps.join(named, fps["fp"] == named["_fp"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("_component")).alias("component_id"))
@@ -158,11 +163,11 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     kept doc_id, one stays. Rows with a null doc_id all stay.
     """
     kept_id, times = (free_prefix(docs) + c for c in ("kept", "times"))
-    found = near_duplicates(docs.select("doc_id", "text")).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component"))
-    found = checkpointed(found)
-    near = found.filter("doc_id <> component").select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
-    gone = star_components(near.unionByName(shingle_links(docs.select("doc_id", "text")))).select(F.col("node").alias("gone"))
-    kept = found.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(F.col("doc_id").alias(kept_id), F.col("n").alias(times))
+    fps, nodes = _nodes(docs.select("doc_id", "text"))
+    copies = fps.filter("doc_id is not null").join(nodes, "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    gone = star_components(copies.unionByName(near_links(nodes)).unionByName(shingle_links(docs.select("doc_id", "text")))).select(F.col("node").alias("gone"))
+    ids = fps.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(times))
+    kept = ids.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").withColumnRenamed("doc_id", kept_id)
     joined = docs.join(kept, docs["doc_id"].cast("long") == kept[kept_id])
     single = joined.filter(F.col(times) == 1).select(*quoted(docs.columns))
     repeated = joined.filter(F.col(times) > 1).select(*quoted(docs.columns)).dropDuplicates(["doc_id"])
