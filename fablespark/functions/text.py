@@ -160,6 +160,24 @@ def formal_name(name: Column, nicknames: dict[str, str] | None = None) -> Column
     return F.array_join(F.array_sort(F.transform(F.split(bare_name(name), " "), lambda w: F.coalesce(F.try_element_at(known, w), w))), " ")
 
 
+# Words that tell namesakes of a family apart.
+GENERATIONS = {"elder": ("sr", "senior", "the elder", "old"), "younger": ("jr", "junior", "the younger", "young"), "second": ("ii",), "third": ("iii",)}
+
+
+def generation(name: Column) -> Column:
+    """"elder", "younger", "second" or "third", if the name says so; else null."""
+    n, out = normal_name(name), F.lit(None).cast("string")
+    for kind, words in GENERATIONS.items():
+        out = F.when(out.isNull() & n.rlike(rf"(?:^| )(?:{'|'.join(words)})(?: |$)"), kind).otherwise(out)
+    return out
+
+
+def family_name_key(name: Column) -> Column:
+    """Formal name without the words of ``GENERATIONS``: namesakes share it."""
+    words = sorted((w for ws in GENERATIONS.values() for w in ws), key=len, reverse=True)
+    return formal_name(F.regexp_replace(normal_name(name), rf"(?:^| )(?:{'|'.join(words)})(?= |$)", " "))
+
+
 def locate_quote(text: Column, quote: Column, max_distance_share: float = 0.1) -> Column:
     """struct(method, at): where a quote stands in a text (from 1), exactly, after
     normalising, or nearly (edit distance over windows that start at a word, unless the

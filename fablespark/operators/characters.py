@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fablespark.functions.position import position
-from fablespark.functions.text import HONORIFICS, bare_name, formal_name, normal_name
+from fablespark.functions.text import HONORIFICS, bare_name, cosine, family_name_key, formal_name, generation, normal_name
 from fablespark.operators.components import connected_components
 
 # Words that begin sentences or stand for persons but name none.
@@ -83,11 +83,19 @@ def mention_histogram(mention_rows: DataFrame) -> DataFrame:
     return counts.groupBy("character_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("chapter", "n")))).alias("chapters"))
 
 
-def alias_counts(mention_rows: DataFrame) -> DataFrame:
-    """(character_id, surface_form, n, ambiguous): ambiguous forms name more than one character."""
-    by_form = mention_rows.groupBy("character_id", "surface_form").agg(F.count("*").alias("n"))
+def alias_counts(mention_rows: DataFrame, method: str | None = None) -> DataFrame:
+    """(character_id, surface_form, n, ambiguous): ambiguous forms name more than one character.
+
+    ``method`` names a column with how a mention was resolved; the most frequent
+    one of each form (ties: the last by name) is then added as resolution_method.
+    """
+    if method is None:
+        by_form = mention_rows.groupBy("character_id", "surface_form").agg(F.count("*").alias("n"))
+    else:
+        each = mention_rows.groupBy("character_id", "surface_form", F.col(method).alias("_m")).agg(F.count("*").alias("_n"))
+        by_form = each.groupBy("character_id", "surface_form").agg(F.sum("_n").alias("n"), F.max(F.struct("_n", "_m"))["_m"].alias("resolution_method"))
     owners = by_form.groupBy("surface_form").agg((F.count("*") > 1).alias("ambiguous"))
-    return by_form.join(owners, "surface_form").select("character_id", "surface_form", "n", "ambiguous")
+    return by_form.join(owners, "surface_form").select("character_id", "surface_form", "n", "ambiguous", *(["resolution_method"] if method else []))
 
 
 def new_in_book(appearance_rows: DataFrame, book_order: int) -> DataFrame:
@@ -166,12 +174,14 @@ def deletion_variants(name: Column, max_edits: int) -> Column:
     return out
 
 
-def resolve_names(queries: DataFrame, characters: DataFrame, max_edits: int = 2) -> DataFrame:
+def resolve_names(queries: DataFrame, characters: DataFrame, max_edits: int = 2, encoder: Callable[[Column], Column] | None = None, least_cosine: float = 0.75) -> DataFrame:
     """(query, character_id, method, rank): the cheapest stage that hits, ties shown.
 
     Stages are exact name, alias, nickname, then edit distance. The fuzzy stage
     takes the queries that no earlier one hits, and compares those pairs of
     normalised names that have a deletion variant in common, which loses none.
+    With an ``encoder`` (text to vector) what is still left is compared by cosine
+    with the names that have a word in common; the nearest count.
     """
     q = queries.select("query", normal_name(F.col("query")).alias("k"), formal_name(F.col("query")).alias("f"))
     names = characters.select("character_id", normal_name(F.col("canonical_name")).alias("k"), formal_name(F.col("canonical_name")).alias("f"))
@@ -183,6 +193,13 @@ def resolve_names(queries: DataFrame, characters: DataFrame, max_edits: int = 2)
     named = names.select("character_id", F.col("k").alias("nk"))
     fuzzy = variants(rest, "k").join(variants(named, "nk"), "variant").filter(F.levenshtein("k", "nk") <= max_edits)
     hits = hits.unionByName(stage(fuzzy, "fuzzy", 4))
+    if encoder is not None:
+        left = rest.join(fuzzy.select("query").distinct(), "query", "left_anti")
+        words = lambda df, k: df.withColumn("word", F.explode(F.array_distinct(F.split(F.col(k), " ")))).filter("word <> ''")
+        met = words(left, "k").join(words(named, "nk"), "word").select("query", "k", "character_id", "nk").distinct()
+        near = met.withColumn("cosine", F.round(cosine(encoder(F.col("k")), encoder(F.col("nk"))), 9)).filter(F.col("cosine") >= least_cosine)
+        most = near.groupBy("query").agg(F.max("cosine").alias("cosine"))
+        hits = hits.unionByName(stage(near.join(most, ["query", "cosine"]), "embedding", 5))
     best = hits.groupBy("query", "character_id").agg(F.min(F.struct("priority", "method")).alias("m"))
     top = best.select("query", "character_id", F.col("m.method").alias("method"), F.dense_rank().over(Window.partitionBy("query").orderBy("m.priority")).alias("rank"))
     return top.filter("rank = 1")
@@ -219,12 +236,13 @@ def cluster_aliases(names: DataFrame, cannot_link: DataFrame | None = None) -> D
     return clusters.join(bad.withColumn("_bad", F.lit(True)), "cluster", "left").select("node", F.when(F.col("_bad"), F.col("node")).otherwise(F.col("cluster")).alias("cluster"))
 
 
-def cannot_links(mention_rows: DataFrame, kinship: DataFrame, lifespans: DataFrame) -> DataFrame:
+def cannot_links(mention_rows: DataFrame, kinship: DataFrame, lifespans: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(u, v, reason) of nodes that can't be one character.
 
-    Same scene under two forms of one name; parent and child; lifespans apart.
-    ``mention_rows`` (node, scene_id, key), ``kinship`` (u, v), ``lifespans``
-    (node, key, first_at, last_at).
+    Same scene under two forms of one name; parent and child; lifespans apart;
+    namesakes of two generations. ``mention_rows`` (node, scene_id, key),
+    ``kinship`` (u, v), ``lifespans`` (node, key, first_at, last_at), ``names``
+    (node, name).
     """
     seen = mention_rows.select("scene_id", "key", "node").distinct()
     a, b = seen.alias("a"), seen.alias("b")
@@ -234,7 +252,45 @@ def cannot_links(mention_rows: DataFrame, kinship: DataFrame, lifespans: DataFra
     x, y = lifespans.alias("x"), lifespans.alias("y")
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).filter("x.last_at < y.first_at or y.last_at < x.first_at")
     apart = apart.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.lit("lifespan").alias("reason"))
-    return together.unionByName(kin).unionByName(apart).groupBy("u", "v").agg(F.min("reason").alias("reason"))
+    found = together.unionByName(kin).unionByName(apart)
+    if names is not None:
+        found = found.unionByName(generation_links(names))
+    return found.groupBy("u", "v").agg(F.min("reason").alias("reason"))
+
+
+def generation_links(names: DataFrame) -> DataFrame:
+    """(u, v, reason) of nodes (node, name) whose names are alike but for generations that differ."""
+    marked = names.select("node", family_name_key(F.col("name")).alias("key"), generation(F.col("name")).alias("kind")).filter("kind is not null and key <> ''").distinct()
+    a, b = marked.alias("a"), marked.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.kind") != F.col("b.kind")) & (F.col("a.node") < F.col("b.node")))
+    return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.lit("generation").alias("reason")).distinct()
+
+
+def cross_book_blocks(candidates: DataFrame, characters: DataFrame, kinship: DataFrame | None = None) -> DataFrame:
+    """(cluster_key, character_id, reason): pairs of like name that must go to review, for ``reconcile``.
+
+    The character died before the candidate first appears; kinship contradicts
+    (``kinship`` (cluster_key, character_id): one is told to be a relative of the
+    other); the names are of different generations; or a protagonist is matched
+    with a name that is mentioned once. The first of these that holds counts.
+    ``candidates`` (project_id, cluster_key, name, mention_count, first_book_order,
+    first_chapter), ``characters`` (project_id, character_id, canonical_name,
+    importance_tier, died_book_order, died_chapter).
+    """
+    left = candidates.select("project_id", "cluster_key", family_name_key(F.col("name")).alias("k"), generation(F.col("name")).alias("g"), "mention_count", position(F.col("first_book_order"), F.col("first_chapter")).alias("at"))
+    right = characters.select("project_id", "character_id", family_name_key(F.col("canonical_name")).alias("k"), generation(F.col("canonical_name")).alias("h"), "importance_tier", F.when(F.col("died_book_order").isNotNull(), position(F.col("died_book_order"), F.col("died_chapter"))).alias("died"))
+    met = left.join(right, ["project_id", "k"]).filter("k <> ''")
+    if kinship is not None:
+        met = met.join(kinship.select("cluster_key", "character_id", F.lit(True).alias("kin")).distinct(), ["cluster_key", "character_id"], "left")
+    else:
+        met = met.withColumn("kin", F.lit(False))
+    reason = (
+        F.when(F.col("at") > F.col("died"), "death")
+        .when(F.col("kin"), "kinship")
+        .when(F.coalesce("g", F.lit("")) != F.coalesce("h", F.lit("")), "namesake")
+        .when((F.col("importance_tier") == "protagonist") & (F.col("mention_count") <= 1), "tier")
+    )
+    return met.select("cluster_key", "character_id", reason.alias("reason")).filter("reason is not null").distinct()
 
 
 def average_link(vectors: np.ndarray, threshold: float) -> np.ndarray:
@@ -336,14 +392,14 @@ def undo_merge(mention_rows: DataFrame) -> DataFrame:
     return mention_rows.withColumn("character_id", F.coalesce("origin_character_id", "character_id")).drop("origin_character_id")
 
 
-def extraction_prompts(batches: DataFrame, known: str = "(none yet)", previous: str = "(none)") -> DataFrame:
+def extraction_prompts(batches: DataFrame, known: str = "no names", previous: str = "no text") -> DataFrame:
     """prompt from known names, the chunks before and the batch's own texts (arrays)."""
     return batches.withColumn(
         "prompt",
         F.concat(
-            F.lit("KNOWN CHARACTERS\n"), F.when(F.size("known_names") > 0, F.array_join(F.array_sort("known_names"), "\n")).otherwise(known),
-            F.lit("\n\nPRECEDING CONTEXT\n"), F.when(F.size("previous_texts") > 0, F.array_join("previous_texts", "\n")).otherwise(previous),
-            F.lit("\n\nCURRENT SPAN\n"), F.array_join("texts", "\n---\n"),
+            F.lit("Names known so far:\n"), F.when(F.size("known_names") > 0, F.array_join(F.array_sort("known_names"), "\n")).otherwise(known),
+            F.lit("\n\nText before:\n"), F.when(F.size("previous_texts") > 0, F.array_join("previous_texts", "\n")).otherwise(previous),
+            F.lit("\n\nText to read:\n"), F.array_join("texts", "\n---\n"),
         ),
     )
 

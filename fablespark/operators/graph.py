@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fablespark.functions.position import at_or_before, position
 from fablespark.operators.components import cut_lineage
-from fablespark.operators.relations import aggregate_edges
+from fablespark.operators.relations import aggregate_edges, require_evidence
 
 
 def visible(df: DataFrame, limit_book: int, limit_chapter: int | None, book: str = "book_order", chapter: str = "chapter") -> DataFrame:
@@ -116,6 +116,13 @@ def reorder_books(rows: DataFrame, order: DataFrame) -> DataFrame:
     return rows.join(order, "book_order", "left").withColumn("book_order", F.coalesce("new_order", "book_order")).drop("new_order")
 
 
+def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """The edge table after a run: edges with evidence replace those of equal key, a person's verified ones stay, as do others."""
+    from fablespark.sources.stores import upsert
+
+    return upsert(edges, require_evidence(new), ["subject", "predicate", "object"], "human_verified")
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two frames hold the same rows, counting repeats."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

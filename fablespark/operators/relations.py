@@ -158,17 +158,33 @@ def select_roster(characters: DataFrame, here: DataFrame) -> DataFrame:
     return characters.join(seen, "character_id", "left").filter(F.col("importance_tier").isin("protagonist", "major") | F.col("_here")).drop("_here").orderBy("canonical_name", "character_id")
 
 
+_QUOTED = r'["“]([^"”]+)["”]'
+_NAME = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)"
+
+
 def dialogue_lines(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no, line, tag): quoted speech, with the speaker that a tag after it names."""
-    pattern = r'["“]([^"”]+)["”](?:[, ]*(?:said|asked|replied|cried|whispered) (\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?))?'
+    """(key, line_no, line, tag, narration): quoted speech, the speaker that a tag after it names, and the prose on both sides."""
+    pattern = rf"{_QUOTED}(?:[, ]*(?:said|asked|replied|cried|whispered) ({_NAME}?))?"
     line, tag = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2))
-    rows = chunks.select(key, F.posexplode(F.arrays_zip(line.alias("line"), tag.alias("tag"))).alias("line_no", "z"))
-    return rows.select(key, "line_no", F.col("z.line").alias("line"), F.when(F.col("z.tag") != "", F.col("z.tag")).alias("tag"))
+    prose = F.split(text, _QUOTED)
+    rows = chunks.select(key, prose.alias("prose"), F.posexplode(F.arrays_zip(line.alias("line"), tag.alias("tag"))).alias("line_no", "z"))
+    beside = F.concat_ws(" ", F.get("prose", F.col("line_no")), F.get("prose", F.col("line_no") + 1))
+    return rows.select(key, "line_no", F.col("z.line").alias("line"), F.when(F.col("z.tag") != "", F.col("z.tag")).alias("tag"), beside.alias("narration"))
+
+
+def adjacent_speakers(lines: DataFrame, roster: DataFrame, key: list[str]) -> DataFrame:
+    """``lines`` with adjacent: the one name of the roster (name) that the narration beside a line holds; null if it holds none or more."""
+    named = lines.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("narration", F.lit(f"({_NAME}*)"), F.lit(1)))).alias("name"))
+    only = named.join(roster.select("name").distinct(), "name").groupBy(*key).agg(F.min("name").alias("adjacent"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
+    return lines.join(only, key, "left")
 
 
 def attribute_speakers(lines: DataFrame, scene: list[str], at: str) -> DataFrame:
-    """speaker and how it was found: the tag, else alternation in a scene of two speakers, else none."""
+    """speaker and how it was found: the tag, else the name beside the line (a column ``adjacent``, if there is one), else alternation in a scene of two speakers, else none."""
     w = Window.partitionBy(*scene)
-    two = F.size(F.collect_set("tag").over(w)) == 2
-    before = F.lag("tag", 2).over(w.orderBy(at))
-    return lines.withColumns({"speaker": F.coalesce("tag", F.when(two, before)), "speaker_method": F.when(F.col("tag").isNotNull(), "tag").when(two & before.isNotNull(), "alternation").otherwise("unknown")})
+    beside = F.col("adjacent") if "adjacent" in lines.columns else F.lit(None).cast("string")
+    rows = lines.withColumn("_known", F.coalesce(F.col("tag"), beside))
+    two = F.size(F.collect_set("_known").over(w)) == 2
+    before = F.lag("_known", 2).over(w.orderBy(at))
+    method = F.when(F.col("tag").isNotNull(), "tag").when(F.col("_known").isNotNull(), "adjacent").when(two & before.isNotNull(), "alternation").otherwise("unknown")
+    return rows.withColumns({"speaker": F.coalesce("_known", F.when(two, before)), "speaker_method": method}).drop("_known")

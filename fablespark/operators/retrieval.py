@@ -92,7 +92,7 @@ def ground(claims: DataFrame, evidence: DataFrame, question: str = "question_id"
 
 def answer_context(top: DataFrame, texts: DataFrame, key: str, order: str, separator: str = ",") -> DataFrame:
     """The texts of a top-k list as one string, in its order."""
-    rows = texts.join(F.broadcast(top), key)  # a top-k list: k rows
+    rows = texts.join(top, key)  # the optimiser broadcasts the list if its size allows
     return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col(order)).alias("o"), F.col(key).alias("k"), F.col("text").alias("t")))), lambda x: x["t"]), separator).alias("context"))
 
 

@@ -192,6 +192,23 @@ def alias_counts(d: Domain) -> DataFrame:
     return characters.alias_counts(d["mention"])
 
 
+@query("""WITH m AS (SELECT character_id, surface_form, CASE mention_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' ELSE 'fuzzy' END AS method, count(*) AS k FROM mention GROUP BY ALL),
+f AS (SELECT character_id, surface_form, CAST(sum(k) AS BIGINT) AS n, max({'k': k, 'm': method}).m AS resolution_method FROM m GROUP BY ALL) SELECT *, count(*) OVER (PARTITION BY surface_form) > 1 AS ambiguous FROM f""")
+def alias_methods(d: Domain) -> DataFrame:
+    way = F.col("mention_id") % 3
+    return characters.alias_counts(d["mention"].withColumn("how", F.when(way == 0, "exact").when(way == 1, "alias").otherwise("fuzzy")), "how")
+
+
+@query(f"""WITH seen AS (SELECT * FROM assertion), {CANONICAL},
+new AS (SELECT subject, predicate, object, count(*) AS n FROM canonical GROUP BY ALL), old AS (SELECT subject, predicate, object, count(*) AS m FROM canonical WHERE book_order <= 3 GROUP BY ALL)
+SELECT subject, predicate, object, CASE WHEN subject % 5 = 0 AND m IS NOT NULL THEN m ELSE n END AS evidence_count, subject % 5 = 0 AND m IS NOT NULL AS human_verified FROM new LEFT JOIN old USING (subject, predicate, object)""")
+def edge_upsert(d: Domain) -> DataFrame:
+    """The edges of three books, some verified by a person, after a run over all books."""
+    old = relations.aggregate_edges(d["assertion"].filter("book_order <= 3")).withColumn("human_verified", F.col("subject") % 5 == 0)
+    after = graph.upsert_edges(old, relations.aggregate_edges(d["assertion"]))
+    return after.select("subject", "predicate", "object", "evidence_count", F.coalesce("human_verified", F.lit(False)).alias("human_verified"))
+
+
 @query("SELECT character_id, min(book_order) AS first_book_order FROM mention GROUP BY character_id HAVING min(book_order) = 2")
 def new_in_book(d: Domain) -> DataFrame:
     return characters.new_in_book(characters.appearances(d["mention"]), 2)

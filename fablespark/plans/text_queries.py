@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from fablespark.functions import text as T
 from fablespark.operators import chapters, characters, relations, retrieval
+from fablespark.operators.components import cut_lineage
 from fablespark.plans import ask as asking
 from fablespark.plans.domain import Domain, query
 from fablespark.plans.graph_queries import ALL_EDGES
@@ -91,10 +92,11 @@ f AS (SELECT book_id, chunk_no, rn, size AS used, budget AS cap, 0 AS batch_no F
 UNION ALL SELECT b.book_id, b.chunk_no, b.rn, CASE WHEN f.used + b.size > f.cap THEN b.size ELSE f.used + b.size END, CASE WHEN f.used + b.size > f.cap THEN b.budget ELSE f.cap END, f.batch_no + CASE WHEN f.used + b.size > f.cap THEN 1 ELSE 0 END FROM f JOIN b ON b.book_id = f.book_id AND b.rn = f.rn + 1)"""
 
 
-def _batches(d: Domain) -> DataFrame:
+def _batches(d: Domain, keep: bool = False) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     chunks = d["lineitem"].select(F.col("l_orderkey").alias("book_id"), order.alias("chunk_no"), F.col("l_quantity").cast("int").alias("token_count"))
-    return chapters.token_batches(chunks, ["book_id"], "chunk_no", max_context=300, reserve=40, shell_tokens=20)
+    numbered = chapters.token_batches(chunks, ["book_id"], "chunk_no", max_context=300, reserve=40, shell_tokens=20)
+    return numbered.join(chunks, ["book_id", "chunk_no"]) if keep else numbered
 
 
 @query(f"{PACKED} SELECT book_id, chunk_no, batch_no FROM f")
@@ -115,6 +117,23 @@ def split_oversized(d: Domain) -> DataFrame:
     return chapters.split_oversized(d["documents"], "text", 200).select("doc_id", "part_no", "was_split", T.token_count(F.col("part_text")).alias("n_words"))
 
 
+@query(r"""WITH RECURSIVE w AS (SELECT doc_id, source, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT source, doc_id, CAST(k AS INT) AS part_no, CAST(least(greatest(len(words) - k * 300, 0), 300) AS INT) AS tokens FROM w, range(0, greatest(1, CAST(ceil(len(words) / 300.0) AS BIGINT))) AS r(k)),
+s AS (SELECT source, list(tokens ORDER BY doc_id, part_no) AS sizes FROM p GROUP BY source),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, part_no) AS rn FROM p),
+f AS (SELECT source, sizes, CAST(1 AS BIGINT) AS rn, CAST(sizes[1] AS BIGINT) AS used, 0 AS batch_no FROM s
+UNION ALL SELECT source, sizes, rn + 1, CASE WHEN used + sizes[rn + 1] > 300 THEN sizes[rn + 1] ELSE used + sizes[rn + 1] END, batch_no + CASE WHEN used + sizes[rn + 1] > 300 THEN 1 ELSE 0 END FROM f WHERE rn < len(sizes))
+SELECT n.source, doc_id, part_no, tokens, batch_no FROM f JOIN n ON n.source IS NOT DISTINCT FROM f.source AND n.rn = f.rn""")
+def plan_batches(d: Domain) -> DataFrame:
+    """Texts of a source in order: those over the budget split, then all packed."""
+    return chapters.plan_batches(d["documents"], ["source"], "doc_id", "text", 300).select("source", "doc_id", "part_no", "tokens", "batch_no")
+
+
+@query(f"{PACKED} SELECT book_id, count(*) AS n_batches, min(held) AS min_tokens, CAST(sum(held) // count(*) AS BIGINT) AS mean_tokens, max(held) AS max_tokens FROM (SELECT book_id, batch_no, CAST(sum(size) AS BIGINT) AS held FROM f JOIN c USING (book_id, chunk_no) GROUP BY ALL) GROUP BY book_id")
+def batch_tokens(d: Domain) -> DataFrame:
+    return chapters.batch_stats(_batches(d, keep=True), ["book_id"], "token_count").select("book_id", "n_batches", "min_tokens", "mean_tokens", "max_tokens")
+
+
 @query(f"WITH {SPLIT} SELECT doc_id, CAST(len(words) AS INT) AS tokens, CAST(greatest(0, floor(16384 * 0.9) - len(words) - 2048) AS INT) AS budget FROM w")
 def item_budget(d: Domain) -> DataFrame:
     return d["documents"].select("doc_id", T.token_count(F.col("text")).alias("tokens")).withColumn("budget", T.item_budget(F.lit(16384), F.col("tokens"), F.lit(2048)))
@@ -285,7 +304,48 @@ def speaker_attribution(d: Domain) -> DataFrame:
 UNION ALL SELECT c_custkey, 1, 'Yes', NULL FROM customer""")
 def dialogue_extraction(d: Domain) -> DataFrame:
     t = F.concat(F.lit('He came in. "Hello '), F.col("c_mktsegment"), F.lit('" '), F.when(F.col("c_custkey") % 2 == 0, "said Kei. ").otherwise("he said. "), F.lit('“Yes”'))
-    return relations.dialogue_lines(d["customer"].select(F.col("c_custkey").alias("chunk_id"), t.alias("text")), "chunk_id")
+    return relations.dialogue_lines(d["customer"].select(F.col("c_custkey").alias("chunk_id"), t.alias("text")), "chunk_id").drop("narration")
+
+
+@query("""SELECT scene_id, line_no, CASE WHEN line_no = 0 THEN 'Kei' WHEN k = 0 THEN 'Nagare' WHEN k = 2 AND line_no > 1 THEN 'Hirai' END AS speaker,
+CASE WHEN line_no = 0 THEN 'tag' WHEN k = 0 AND line_no < 3 THEN 'adjacent' WHEN k = 0 THEN 'alternation' WHEN k = 2 AND line_no > 1 THEN 'adjacent' ELSE 'unknown' END AS speaker_method
+FROM (SELECT c_custkey AS scene_id, unnest([0, 1, 2, 3]) AS line_no, c_custkey % 3 AS k FROM customer)""")
+def speaker_cascade(d: Domain) -> DataFrame:
+    """Tags, names beside a line and alternation, from the text of a scene to its speakers."""
+    k = F.col("c_custkey") % 3
+    text = F.concat(
+        F.lit('"One," said Kei. He left. "Two." '),
+        F.when(k == 0, "Nagare looked up. ").when(k == 1, "Nagare looked at Hirai. ").otherwise("The door closed. "),
+        F.lit('"Three." '),
+        F.when(k == 2, "Hirai laughed. ").otherwise("A bell rang twice. "),
+        F.lit('"Four."'),
+    )
+    lines = relations.dialogue_lines(d["customer"].select(F.col("c_custkey").alias("scene_id"), text.alias("text")), "scene_id")
+    roster = d.spark.sql("SELECT explode(array('Nagare', 'Hirai')) AS name")
+    found = relations.attribute_speakers(relations.adjacent_speakers(lines, roster, ["scene_id", "line_no"]), ["scene_id"], "line_no")
+    return found.select("scene_id", "line_no", "speaker", "speaker_method")
+
+
+@query("""WITH n AS (SELECT c_custkey AS node, c_custkey // 5 AS k, c_custkey % 5 AS g FROM customer)
+SELECT a.node AS u, b.node AS v, 'generation' AS reason FROM n a JOIN n b ON a.k = b.k AND a.node < b.node WHERE a.g IN (1, 2, 3, 4) AND b.g IN (1, 2, 3, 4) AND (CASE WHEN a.g IN (1, 3) THEN 1 ELSE a.g END) <> (CASE WHEN b.g IN (1, 3) THEN 1 ELSE b.g END)""")
+def generation_links(d: Domain) -> DataFrame:
+    """Namesakes of different generations, which can't be one character."""
+    g, k = F.col("c_custkey") % 5, F.concat(F.lit("Ada "), F.floor(F.col("c_custkey") / 5).cast("string"))
+    name = F.when(g == 1, F.concat(k, F.lit(" Sr."))).when(g == 2, F.concat(F.lit("young "), k)).when(g == 3, F.concat(F.lit("Mrs. "), k, F.lit(", the elder"))).when(g == 4, F.concat(k, F.lit(" III"))).otherwise(k)
+    return characters.generation_links(d["customer"].select(F.col("c_custkey").alias("node"), name.alias("name")))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS cluster_key, s_suppkey AS character_id,
+CASE WHEN s_suppkey % 4 = 0 AND s_nationkey > 3 THEN 'death' WHEN s_suppkey % 9 = 0 THEN 'kinship' WHEN s_suppkey % 7 = 0 THEN 'namesake' WHEN s_suppkey % 5 = 0 AND s_suppkey % 2 = 0 THEN 'tier' END AS reason
+FROM supplier WHERE (s_suppkey % 4 = 0 AND s_nationkey > 3) OR s_suppkey % 9 = 0 OR s_suppkey % 7 = 0 OR (s_suppkey % 5 = 0 AND s_suppkey % 2 = 0)""")
+def cross_book_blocks(d: Domain) -> DataFrame:
+    """Matches over books that go to review: after a death, against kinship, of namesakes, of unlike importance."""
+    s, k = d["supplier"], F.col("s_suppkey")
+    name = F.concat(F.lit("Person "), k.cast("string"))
+    found = s.select(F.lit(0).alias("project_id"), k.cast("string").alias("cluster_key"), F.when(k % 7 == 0, F.concat(name, F.lit(" Jr."))).otherwise(name).alias("name"), F.when(k % 2 == 0, 1).otherwise(9).alias("mention_count"), F.col("s_nationkey").alias("first_book_order"), F.lit(2).alias("first_chapter"))
+    people = s.select(F.lit(0).alias("project_id"), k.alias("character_id"), name.alias("canonical_name"), F.when(k % 5 == 0, "protagonist").otherwise("minor").alias("importance_tier"), F.when(k % 4 == 0, 3).alias("died_book_order"), F.lit(9).alias("died_chapter"))
+    kin = s.filter("s_suppkey % 9 = 0").select(k.cast("string").alias("cluster_key"), k.alias("character_id"))
+    return characters.cross_book_blocks(found, people, kin)
 
 
 @query("SELECT doc_id, item_id, strpos(d.text, b.text) AS at, 'exact' AS method FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
@@ -422,7 +482,7 @@ def template_counts(d: Domain) -> DataFrame:
     return asking.run_template(d.spark, "count_by_predicate", relations.aggregate_edges(d["assertion"]))
 
 
-@query("SELECT conv_id, turn, 'KNOWN CHARACTERS' || chr(10) || CASE WHEN turn % 2 = 0 THEN role ELSE '(none yet)' END || chr(10) || chr(10) || 'PRECEDING CONTEXT' || chr(10) || '(none)' || chr(10) || chr(10) || 'CURRENT SPAN' || chr(10) || text AS prompt FROM conversations")
+@query("SELECT conv_id, turn, 'Names known so far:' || chr(10) || CASE WHEN turn % 2 = 0 THEN role ELSE 'no names' END || chr(10) || chr(10) || 'Text before:' || chr(10) || 'no text' || chr(10) || chr(10) || 'Text to read:' || chr(10) || text AS prompt FROM conversations")
 def prompt_assembly(d: Domain) -> DataFrame:
     rows = d["conversations"].select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.array("role")).otherwise(F.array().cast("array<string>")).alias("known_names"), F.array().cast("array<string>").alias("previous_texts"), F.array("text").alias("texts"))
     return characters.extraction_prompts(rows).select("conv_id", "turn", "prompt")
@@ -453,13 +513,14 @@ def alias_sets(d: Domain) -> DataFrame:
 
 @query()
 def ingestion_chain(d: Domain) -> DataFrame:
-    """The chain's stages up to edges, in one plan over English documents as books of one project."""
+    """All nine stages over all documents, as books of one project; the edges by first book, with their evidence."""
     from fablespark.plans import ingest
 
-    t = {"document": d["documents"].filter("lang = 'en'").select(F.col("doc_id").alias("book_id"), (F.col("doc_id") % 7 + 1).cast("int").alias("book_order"), "text")}
-    for stage in (ingest.parse_and_chunk, ingest.segment_chapters, ingest.embed_chunks, ingest.extract_characters):
-        t |= stage(t)
-    return t["mention"].groupBy("book_order").agg(F.count_distinct("node").alias("n_nodes"), F.sum("n").alias("n_mentions"))
+    t = {"document": d["documents"].select(F.col("doc_id").alias("book_id"), (F.col("doc_id") % 7 + 1).cast("int").alias("book_order"), "text")}
+    for stage in ingest.RUN.values():
+        t |= {name: cut_lineage(df) for name, df in stage(t).items()}
+    stored = t["graph_edge"].filter("not derived")
+    return stored.groupBy("first_book_order").agg(F.count("*").alias("n_edges"), F.sum("evidence_count").alias("n_evidence"))
 
 
 @query("SELECT l_orderkey AS book_id, CAST(l_quantity AS INT) AS page, l_suppkey AS chunk_id, min(l_tax) AS x0, min(l_discount) AS y0, max(l_tax + 1) AS x1, max(l_discount + 1) AS y1 FROM lineitem GROUP BY ALL")

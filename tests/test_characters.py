@@ -129,4 +129,29 @@ def test_merge_prompt_and_aliases(spark):
     r = ch.merge_aliases(c, spark.createDataFrame([(2, 1)], "source_id int, target_id int")).collect()
     assert [(x["character_id"], x["canonical_name"], x["aliases"], x["human_verified"]) for x in r] == [(1, "Kei", ["K", "KK", "Kay"], True)]
     b = spark.createDataFrame([([], [], ["t1", "t2"])], "known_names array<string>, previous_texts array<string>, texts array<string>")
-    assert "(none yet)" in ch.extraction_prompts(b).first()["prompt"]
+    assert "no names" in ch.extraction_prompts(b).first()["prompt"]
+
+
+def test_embedding_stage_takes_what_is_left(spark):
+    from fablespark.functions.text import hashed_vector
+
+    people = spark.createDataFrame([(1, "Elizabeth Bennet", []), (2, "Mary Bennet", []), (3, "Jane Fairfax", [])], "character_id long, canonical_name string, aliases array<string>")
+    asked = spark.createDataFrame([("Elizabeth Anne Bennet",), ("Elizabeth Bennet",), ("Nobody Known",)], "query string")
+    plain = {(r["query"], r["character_id"], r["method"]) for r in ch.resolve_names(asked, people).collect()}
+    assert plain == {("Elizabeth Bennet", 1, "exact")}
+    full = {(r["query"], r["character_id"], r["method"]) for r in ch.resolve_names(asked, people, encoder=lambda c: hashed_vector(c, 256)).collect()}
+    assert full == plain | {("Elizabeth Anne Bennet", 1, "embedding")}
+
+
+def test_two_generations_are_kept_apart(spark):
+    names = spark.createDataFrame([(1, "Catherine Linton"), (2, "young Catherine Linton"), (3, "Catherine Linton the elder"), (4, "Catherine Linton Jr."), (5, "Old Tom"), (6, None)], "node long, name string")
+    assert {(r["u"], r["v"]) for r in ch.generation_links(names).collect()} == {(2, 3), (3, 4)}
+    none = spark.createDataFrame([], "node long, scene_id long, key string")
+    kin, spans = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "node long, key string, first_at int, last_at int")
+    assert {r["reason"] for r in ch.cannot_links(none, kin, spans, names).collect()} == {"generation"}
+
+
+def test_death_blocks_a_match(spark):
+    found = spark.createDataFrame([(1, "a", "Tom Hale", 5, 5, 1), (1, "b", "Tom Hale", 5, 2, 1)], "project_id int, cluster_key string, name string, mention_count int, first_book_order int, first_chapter int")
+    people = spark.createDataFrame([(1, 7, "Captain Tom Hale", "major", 2, 9)], "project_id int, character_id int, canonical_name string, importance_tier string, died_book_order int, died_chapter int")
+    assert [tuple(r) for r in ch.cross_book_blocks(found, people).collect()] == [("a", 7, "death")]

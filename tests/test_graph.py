@@ -122,3 +122,20 @@ def test_links_between_many_copies_stay_linear(spark):
     """A group of n equal names gives n - 1 links, not all pairs."""
     names = spark.range(500).select(F.lit(1).alias("project_id"), F.col("id").alias("node"), F.lit("Kei").alias("name"))
     assert characters.match_links(names).count() == 499
+
+
+def test_validation_refuses_nulls(spark):
+    rows = spark.createDataFrame([(1, "friend_of", 2), (None, "friend_of", 2), (1, None, 2), (1, "friend_of", None), (1, "friend_of", 9)], "subject int, predicate string, object int")
+    roster = spark.createDataFrame([(1,), (2,)], "character_id int")
+    for known in (None, roster):
+        got = [r["rejected_because"] for r in relations.validate(rows, known).orderBy(F.asc_nulls_last("subject"), F.asc_nulls_last("predicate"), F.asc_nulls_last("object")).collect()]
+        assert got == [None, "off_roster" if known is not None else None, "off_roster", "off_ontology", "off_roster"]
+
+
+def test_upsert_leaves_verified_edges(spark):
+    kind = "subject int, predicate string, object int, evidence_count long, human_verified boolean"
+    old = spark.createDataFrame([(1, "p", 2, 3, True), (2, "p", 3, 1, False)], kind)
+    new = spark.createDataFrame([(1, "p", 2, 9, False), (2, "p", 3, 5, False), (4, "p", 5, 1, False)], kind)
+    assert sorted((r["subject"], r["evidence_count"]) for r in graph.upsert_edges(old, new).collect()) == [(1, 3), (2, 5), (4, 1)]
+    with pytest.raises(Exception, match="edge without evidence"):
+        graph.upsert_edges(old, new.withColumn("evidence_count", F.lit(0).cast("long"))).collect()

@@ -139,6 +139,20 @@ def test_partitions_are_replaced_not_doubled(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/t").count() == 2
 
 
+def test_a_book_without_rows_leaves_no_stale_partition(spark, tmp_path):
+    df = spark.createDataFrame([("a", "b1"), ("b", "b 2"), ("c", "b3")], "id string, book_id string")
+    stores.replace_partitions(df, f"file://{tmp_path}", "t")
+    stores.replace_partitions(df.filter("book_id = 'b1'"), f"file://{tmp_path}", "t", covers=["b1", "b 2", "never there"])
+    assert sorted(r["book_id"] for r in spark.read.parquet(f"file://{tmp_path}/t").collect()) == ["b1", "b3"]
+
+
+def test_policy_as_of_over_units_of_time(spark):
+    policies = spark.createDataFrame([("x", 5, 1), ("x", 2_500_000, 2), ("y", 7, 3)], "purpose string, at long, version int")
+    asked = spark.createDataFrame([(i, p, at) for i, (p, at) in enumerate([("x", 4), ("x", 5), ("x", 999_999), ("x", 1_700_000), ("x", 2_499_999), ("x", 2_500_000), ("x", 9_000_000), ("y", 6), ("y", 8_000_000), ("z", 1), ("x", None)])], "i int, purpose string, at long")
+    got = {r["i"]: r["policy_version"] for r in ops.policy_at(asked, policies, "purpose", "at").collect()}
+    assert [got[i] for i in range(11)] == [None, 1, 1, 1, 1, 2, 2, None, 3, None, None]
+
+
 def test_b_cubed_by_hand(spark):
     rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "y"), (4, "b", "y")], "i int, p string, g string")
     r = evals.b_cubed(rows, "p", "g").first()
