@@ -1,18 +1,15 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Fingerprints of 64 bits are eight positional bytes. Two that differ in at most
-``max_bits`` = 2 bits share at least six of the eight. The index posts each
-distinct fingerprint under groups of four positional bytes: the bytes form four
-pairs, six unions of two pairs, and six shared bytes always cover one of the
-unions, so a pair that reaches the guaranteed minimum meets in a posting list.
-Candidates of a list are tallied by the positional bytes they share, kept from
-six on, and verified by their differing bits.
-
-Lists longer than ``max_list`` would give a number of pairs that grows with the
-square of a group of copies. Their members are linked exactly another way: each
-fingerprint is posted under itself and its 64 one-bit variants; two within two
-bits share a variant, and any two that share one are within two bits. Such a
-variant has 65 members at most, so nothing is cut and nothing explodes.
+``max_bits`` = 2 bits share at least six of the eight, the guaranteed minimum. The
+index posts each distinct fingerprint under every choice of six positions and the
+bytes there, so a posting list holds those that share these six, and the count
+filter is part of its key: of two fingerprints that share s bytes, the tally of
+lists they meet in is the number of choices of six out of s, which is one or more
+from the minimum on and none below. Pairs of a list are verified by their differing
+bits. Members of a list differ in two bytes only, so it has 65,536 at most, however
+many documents there are; on the check tables with a group of thousands of near
+copies the longest list had 16.
 
 Copies with one fingerprint are one node of the graph (its least doc_id) and
 are never expanded into pairs.
@@ -41,10 +38,6 @@ from fablespark.llm.shingle_links import shingle_links
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
-#: Eight positional bytes; each differing bit spoils one at most.
-LEAST_SHARED_BYTES = 8 - MAX_BITS
-#: Posting lists up to this length are compared pair by pair.
-MAX_LIST = 32
 _SEED = 42
 
 
@@ -84,56 +77,24 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the eight positional bytes two fingerprints share."""
-    x = a.bitwiseXOR(b)
-    total = F.lit(0)
-    for i in range(8):
-        total = total + F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255).cast("long")) == 0, 1).otherwise(0)
-    return total
-
-
-def _postings(nodes: DataFrame) -> DataFrame:
-    """(slot, bytes, rep, fp): six posting keys of four positional bytes each."""
+def _postings(nodes: DataFrame, least_shared: int) -> DataFrame:
+    """(positions, bytes, rep, fp): a posting for each choice of ``least_shared`` positions."""
     keys = []
-    for slot, pairs in enumerate(combinations(range(4), 2)):
-        mask = sum(0xFFFF << (16 * p) for p in pairs)
+    for chosen in combinations(range(8), least_shared):
+        positions = sum(1 << p for p in chosen)
+        mask = sum(0xFF << (8 * p) for p in chosen)
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(slot).alias("slot"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bytes")))
-    return nodes.select("rep", "fp", F.explode(F.array(*keys)).alias("k")).select("k.slot", "k.bytes", "rep", "fp")
+        keys.append(F.struct(F.lit(positions).alias("positions"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bytes")))
+    return nodes.select("rep", "fp", F.explode(F.array(*keys)).alias("k")).select("k.positions", "k.bytes", "rep", "fp")
 
 
-def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, max_list: int = MAX_LIST) -> DataFrame:
-    """Links (u, v) between nodes (rep, fp) that connect all pairs within ``max_bits``.
-
-    Pairs of short lists are direct links; members of long lists are linked
-    through the least member of each shared variant.
-    """
-    if max_bits != 2:
-        raise ValueError("the byte groups and one-bit variants guarantee two differing bits")
-    posts = checkpointed(_postings(nodes))
-    sizes = posts.groupBy("slot", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    met = checkpointed(posts.join(sizes, ["slot", "bytes"]))
-    few = met.filter(F.col("n") <= max_list)
-    a, b = few.alias("a"), few.alias("b")
-    same = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.bytes") == F.col("b.bytes")) & (F.col("a.fp") < F.col("b.fp"))
-    pairs = (
-        a.join(b, same)
-        .filter(shared_bytes(F.col("a.fp"), F.col("b.fp")) >= 8 - max_bits)
-        .filter(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
-        .select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-    )
-    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long") for i in range(64)])
-    variants = (
-        met.filter(F.col("n") > max_list)
-        .select("rep", "fp")
-        .distinct()
-        .select("rep", "fp", F.explode(flips).alias("flip"))
-        .select("rep", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    )
-    # A variant has 65 members at most, so both sides of this join are even.
-    stars = variants.join(variants.groupBy("variant").agg(F.min("rep").alias("v"), F.count("*").alias("members")).filter("members > 1"), "variant").select(F.col("rep").alias("u"), "v")
-    return pairs.unionByName(stars).filter("u <> v").distinct()
+def near_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Links (u, v) between nodes (rep, fp) within ``max_bits`` of each other."""
+    posts = _postings(nodes, 8 - max_bits)
+    a, b = posts.alias("a"), posts.alias("b")
+    same = (F.col("a.positions") == F.col("b.positions")) & (F.col("a.bytes") == F.col("b.bytes")) & (F.col("a.fp") < F.col("b.fp"))
+    near = a.join(b, same).filter(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
+    return near.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct()
 
 
 def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -142,10 +103,10 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return fps, checkpointed(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, max_list: int = MAX_LIST) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text)."""
     fps, nodes = _nodes(docs)
-    roots = star_components(near_links(nodes, max_bits, max_list))
+    roots = star_components(near_links(nodes, max_bits))
     named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("_component"))
     return fps.join(named, fps["fp"] == named["_fp"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("_component")).alias("component_id"))
 
