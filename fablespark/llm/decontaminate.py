@@ -81,16 +81,12 @@ def signatures(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def candidate_pairs(docs: DataFrame, signs: DataFrame, widths: list[int], small: bool) -> DataFrame:
-    """Distinct (doc_id, item_id) of documents that hold a signature hash of the item."""
-    hashes = docs.filter("doc_id is not null").select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    found = None
-    for width in widths:
-        at = hashes.filter(F.size("h") >= width).select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - width)).alias("i"))
-        probe = at.select("doc_id", _hash_at(F.col("h"), F.col("i"), width).alias("hash"))
-        mine = signs.filter(F.col("width") == width).select("hash", "item_id")
-        hit = probe.join(F.broadcast(mine) if small else mine, "hash").select("doc_id", "item_id")
-        found = hit if found is None else found.unionByName(hit)
-    return found.distinct()
+    """Distinct (doc_id, item_id) of documents that hold a signature hash of the item; one pass over the texts for all widths."""
+    hashes = docs.filter("doc_id is not null").select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).filter(F.size("h") > 0)
+    at = hashes.select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("i"))
+    each = [F.struct(F.lit(w).alias("width"), F.when(F.col("i") + w <= F.size("h"), _hash_at(F.col("h"), F.col("i"), w)).alias("hash")) for w in widths]
+    probe = at.select("doc_id", *([each[0].alias("p")] if len(each) == 1 else [F.explode(F.array(*each)).alias("p")])).select("doc_id", "p.width", "p.hash")
+    return probe.join(F.broadcast(signs) if small else signs, ["width", "hash"]).select("doc_id", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fablespark.llm import chat_format, decontaminate, html_extract, license_scan, mixing, quality, simhash, topk_search, toxicity, url_filter
-from fablespark.llm.common import held_out, table
+from fablespark.llm.common import held_out, literal_rows, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    special = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    said = "</s>[INST] ok [/INST]"
+    special = literal_rows(spark, [(-1, 0, "user", said), (-1, 1, "assistant", said)], ["conv_id", "turn", "role", "text"])
     return chat_format.read_back(chat_format.format_conversations(talks.unionByName(special)))
 
 
