@@ -137,10 +137,19 @@ def tier_rank(tier: Column) -> Column:
     return out
 
 
+def _roster_order(sort: str) -> list[Column]:
+    order = {"mentions": F.desc("mention_count"), "first_page": F.asc_nulls_last("first_page"), "name": F.asc("canonical_name")}[sort]
+    return [tier_rank(F.col("importance_tier")), order, F.col("character_id")]
+
+
 def roster(characters: DataFrame, sort: str = "mentions") -> DataFrame:
     """Grouped by tier, protagonists first, then by mentions, first page or name."""
-    order = {"mentions": F.desc("mention_count"), "first_page": F.asc_nulls_last("first_page"), "name": F.asc("canonical_name")}[sort]
-    return characters.orderBy(tier_rank(F.col("importance_tier")), order, "character_id")
+    return characters.orderBy(*_roster_order(sort))
+
+
+def roster_numbers(characters: DataFrame, project: list[str], sort: str = "mentions") -> DataFrame:
+    """roster_no: each character's place in its project's roster."""
+    return characters.withColumn("roster_no", F.row_number().over(Window.partitionBy(*project).orderBy(*_roster_order(sort))))
 
 
 def search_characters(characters: DataFrame, query: str) -> DataFrame:

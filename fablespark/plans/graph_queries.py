@@ -53,9 +53,11 @@ def edge_inverse_union(d: Domain) -> DataFrame:
     return relations.with_inverses(relations.aggregate_edges(d["assertion"])).select("subject", "predicate", "object", "evidence_count", "derived")
 
 
-@query(f"WITH seen AS (SELECT * FROM assertion WHERE book_order = 1 AND chapter = 1), {CANONICAL}, {EDGES} SELECT hearsay, count(*) AS n FROM edges GROUP BY hearsay")
+@query(f"WITH seen AS (SELECT * FROM assertion), {CANONICAL} SELECT book_order, chapter, hearsay, count(*) AS n FROM (SELECT subject, predicate, object, book_order, chapter, bool_and(assertion_type = 'dialogue') AS hearsay FROM canonical GROUP BY ALL) GROUP BY ALL")
 def edge_hearsay(d: Domain) -> DataFrame:
-    return relations.aggregate_edges(d["assertion"].filter("book_order = 1 and chapter = 1")).groupBy("hearsay").agg(F.count("*").alias("n"))
+    """Edges of each chapter, by whether they rest on dialogue alone."""
+    edges = relations.aggregate_edges(d["assertion"], keys=("subject", "predicate", "object", "book_order", "chapter"))
+    return edges.groupBy("book_order", "chapter", "hearsay").agg(F.count("*").alias("n"))
 
 
 @query(f"{EDGES_AT} SELECT * FROM edges")
@@ -242,9 +244,9 @@ def tier_composite(d: Domain) -> DataFrame:
     return characters.composite_tiers(rows, ["project_id"]).select("character_id", "importance_tier")
 
 
-@query(f"WITH {TIERS} SELECT character_id, importance_tier, mention_count FROM tiers WHERE project_id = 3 ORDER BY CASE importance_tier WHEN 'protagonist' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END, mention_count DESC, character_id LIMIT 30")
+@query(f"WITH {TIERS} SELECT project_id, character_id, importance_tier, mention_count, CAST(row_number() OVER (PARTITION BY project_id ORDER BY CASE importance_tier WHEN 'protagonist' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END, mention_count DESC, character_id) AS INT) AS roster_no FROM tiers")
 def roster_sorted(d: Domain) -> DataFrame:
-    return characters.roster(_tiers(d).filter("project_id = 3")).limit(30).select("character_id", "importance_tier", "mention_count")
+    return characters.roster_numbers(_tiers(d), ["project_id"]).select("project_id", "character_id", "importance_tier", "mention_count", "roster_no")
 
 
 @query(f"WITH {TIERS} SELECT character_id, importance_tier FROM tiers WHERE importance_tier IN ('protagonist', 'major') OR character_id IN (SELECT character_id FROM mention WHERE book_order = 2 AND chapter = 3)")
@@ -272,9 +274,9 @@ def scene_islands(d: Domain) -> DataFrame:
     return relations.scene_islands(d["events"], ["user_id"], "event_id", F.col("event_type") == "signup").select("event_id", "user_id", "scene_no")
 
 
-@query("WITH c AS (SELECT l_orderkey AS chunk_id, count(*) AS roster_mentions, count(DISTINCT l_suppkey) AS scene_participants FROM lineitem WHERE l_quantity > 25 GROUP BY 1) SELECT * FROM c WHERE roster_mentions >= 2 OR (roster_mentions >= 1 AND scene_participants >= 2)")
+@query("WITH c AS (SELECT l_orderkey AS chunk_id, count(*) FILTER (l_quantity > 25) AS roster_mentions, count(DISTINCT l_suppkey) AS scene_participants FROM lineitem GROUP BY 1) SELECT * FROM c WHERE roster_mentions >= 2 OR (roster_mentions >= 1 AND scene_participants >= 2)")
 def prefilter(d: Domain) -> DataFrame:
-    counts = d["lineitem"].filter("l_quantity > 25").groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.count("*").alias("roster_mentions"), F.count_distinct("l_suppkey").alias("scene_participants"))
+    counts = d["lineitem"].groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.count_if(F.col("l_quantity") > 25).alias("roster_mentions"), F.count_distinct("l_suppkey").alias("scene_participants"))
     return relations.pass_two_candidates(counts)
 
 
