@@ -51,7 +51,7 @@ LEVELS = ((6, 8), (12, 8), (20, 5))
 SHORT = 32
 LEAST_SHARED = 228
 #: Tables of two ids a row are broadcast up to this many rows.
-BROADCAST_ROWS = 150_000
+BROADCAST_ROWS = 50_000
 _SEED = 7
 _PART = 512
 _KEY = 0x9E3779B97F4A7C15
