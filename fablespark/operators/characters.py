@@ -303,25 +303,40 @@ def cross_book_blocks(candidates: DataFrame, characters: DataFrame, kinship: Dat
 
 
 def average_link(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Average-link clusters of unit vectors by cosine, as labels in order of first member."""
+    """Average-link clusters of unit vectors by cosine, as labels in order of first member.
+
+    The mean cosine of two clusters is the product of their sums over their
+    sizes, so chains of nearest neighbours find the merges with a vector a
+    cluster and no matrix of pairs. What has no neighbour at the threshold never
+    gets one by later merges, and is left out.
+    """
     n = len(vectors)
-    label = np.arange(n)
-    sim = vectors @ vectors.T
-    size = np.ones(n)
-    alive = np.ones(n, bool)
-    np.fill_diagonal(sim, -np.inf)
-    while alive.sum() > 1:
-        i, j = np.unravel_index(np.argmax(sim), sim.shape)
-        if sim[i, j] < threshold:
-            break
-        i, j = min(i, j), max(i, j)
-        merged = (sim[i] * size[i] + sim[j] * size[j]) / (size[i] + size[j])
-        sim[i], sim[:, i] = merged, merged
-        sim[i, i] = -np.inf
-        sim[j], sim[:, j] = -np.inf, -np.inf
-        size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
+    sums, size, label = vectors.astype(float).copy(), np.ones(n), np.arange(n)
+    todo = np.ones(n, bool)
+    chain: list[int] = []
+    while todo.any():
+        if not chain:
+            chain.append(int(np.argmax(todo)))
+        i = chain[-1]
+        others = np.flatnonzero(todo)
+        others = others[others != i]
+        sim = sums[others] @ sums[i] / (size[others] * size[i])
+        if not len(others) or sim.max() < threshold:
+            todo[chain] = False  # similarities rise along a chain, so none before has a neighbour either
+            chain.clear()
+            continue
+        j = int(others[np.argmax(sim)])
+        if len(chain) > 1 and sim[np.searchsorted(others, chain[-2])] >= sim.max():
+            j = chain[-2]  # of equal neighbours, the one that the chain comes from
+        if len(chain) > 1 and j == chain[-2]:
+            a, b = min(i, j), max(i, j)
+            sums[a] += sums[b]
+            size[a] += size[b]
+            todo[b] = False
+            label[label == b] = a
+            del chain[-2:]
+        else:
+            chain.append(j)
     return np.unique(label, return_inverse=True)[1]
 
 

@@ -256,8 +256,8 @@ def _cannot_links(d: Domain, items: DataFrame) -> DataFrame:
 
 @query()
 def context_clusters(d: Domain) -> DataFrame:
-    """Average-link clusters of contexts, in blocks of one label and residue."""
-    v = d["embeddings"].select(F.concat_ws("-", "label", F.col("vec_id") % 8).alias("block"), F.col("vec_id").alias("node"), F.col("embedding").alias("vector"))
+    """Average-link clusters of contexts, in blocks of one label (the names that share a key)."""
+    v = d["embeddings"].select(F.col("label").cast("string").alias("block"), F.col("vec_id").alias("node"), F.col("embedding").alias("vector"))
     return characters.cluster_contexts(v, "block", "node", "vector", 0.3)
 
 
@@ -354,6 +354,15 @@ def cross_book_blocks(d: Domain) -> DataFrame:
     return characters.cross_book_blocks(found, people, kin)
 
 
+@query("SELECT item_id, CAST(variant AS INT) AS variant, CASE variant WHEN 0 THEN 'exact' WHEN 1 THEN 'normalised' WHEN 2 THEN 'fuzzy' END AS method FROM benchmark, range(0, 4) AS r(variant)")
+def quote_methods(d: Domain) -> DataFrame:
+    """A quote as it stands, with other punctuation, with a letter changed, and one that is not there."""
+    text = F.col("text")
+    forms = F.array(text, F.regexp_replace(text, " ", "; "), F.concat(F.lit("ß"), F.expr("substring(text, 2)")), F.reverse(text))
+    rows = d["benchmark"].select("item_id", F.concat(F.lit("Words before. "), text, F.lit(" Words after.")).alias("page"), F.posexplode(forms).alias("variant", "quote"))
+    return rows.select("item_id", "variant", T.locate_quote(F.col("page"), F.col("quote"))["method"].alias("method"))
+
+
 @query("SELECT doc_id, item_id, strpos(d.text, b.text) AS at, 'exact' AS method FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def quote_locate(d: Domain) -> DataFrame:
     """Quotes in chunks: candidates share the quote's longest word, so no pair of texts is compared without cause."""
