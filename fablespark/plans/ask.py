@@ -65,7 +65,8 @@ def ask(spark: SparkSession, question: str, names: DataFrame, assertions: DataFr
     one = per.filter("n = 1").select(F.col("ids")[0].alias("character_id"))
     edges = graph.edges_at(assertions, limit_book, limit_chapter)
     mine = edges.join(F.broadcast(one.select(F.col("character_id").alias("subject"))), "subject", "left_semi").unionByName(edges.join(F.broadcast(one.select(F.col("character_id").alias("object"))), "object", "left_semi")).distinct()
-    top = mine.orderBy(F.desc("confidence"), "subject", "predicate", "object").limit(10)
+    # Rounded, so that the order in which evidence was summed decides no tie.
+    top = mine.orderBy(F.desc(F.round(F.col("confidence") + F.lit(1e-9), 6)), "subject", "predicate", "object").limit(10)
     cites = top.select(F.lit(2).alias("seq"), F.lit("citation").alias("type"), F.to_json(F.struct("subject", "predicate", "object", "hearsay", "page_refs")).alias("payload"))
     done = top.agg(F.count("*").alias("n")).select(F.lit(3).alias("seq"), F.lit("done").alias("type"), F.to_json(F.struct((F.col("n") == 0).alias("abstained"), F.col("n").alias("citations"))).alias("payload"))
     return first.unionByName(ties).unionByName(cites).unionByName(done).orderBy("seq", "payload")

@@ -11,7 +11,7 @@ from fablespark.operators import chapters, characters, relations, retrieval
 from fablespark.operators.components import cut_lineage
 from fablespark.plans import ask as asking
 from fablespark.plans.domain import Domain, query
-from fablespark.plans.graph_queries import ALL_EDGES
+from fablespark.plans.graph_queries import ALL_EDGES, EDGES_AT
 from fablespark.sources import ontology, schema, stores
 
 # Heading forms with what each must be read as: text, is_chapter, number, title.
@@ -480,8 +480,13 @@ def question_routes(d: Domain) -> DataFrame:
     return rows.select("question", asking.route(F.col("question")).alias("route"))
 
 
-@query()
+@query(f"""{EDGES_AT}, pages AS (SELECT subject, predicate, object, list_sort(list(DISTINCT page)) AS page_refs FROM canonical GROUP BY ALL),
+top AS (SELECT * FROM edges JOIN pages USING (subject, predicate, object) WHERE subject = 3 OR object = 3 ORDER BY confidence DESC, subject, predicate, object LIMIT 10)
+SELECT 0 AS seq, 'route' AS type, '{{"route":"relationship_lookup"}}' AS payload
+UNION ALL SELECT 2, 'citation', '{{"subject":' || subject || ',"predicate":"' || predicate || '","object":' || object || ',"hearsay":' || hearsay || ',"page_refs":[' || array_to_string(page_refs, ',') || ']}}' FROM top
+UNION ALL SELECT 3, 'done', '{{"abstained":' || (count(*) = 0) || ',"citations":' || count(*) || '}}' FROM top""")
 def ask_events(d: Domain) -> DataFrame:
+    """A question's events: the route, ten citations with their pages, and the end."""
     people = d["nation"].select(F.col("n_nationkey").alias("character_id"), F.regexp_replace("n_name", "NATION_", "Nation ").alias("canonical_name"), F.array("n_name").alias("aliases"))
     return asking.ask(d.spark, "Is Nation 3 married to someone?", people, d["assertion"], 2, 6)
 
