@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -206,9 +208,15 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hashed_vector(text: Column, width: int = 64) -> Column:
     """Unit-length hashed term vector: the offline stand-in for an encoder."""
     slots = F.transform(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""), lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)))
+    counts = lambda s: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.size(F.filter(s, lambda x: x == k)).cast("double"))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda t, v: t + v * v))
+    unit = lambda c: bound(norm(c), lambda n: F.transform(c, lambda v: F.when(n > 0, v / n).otherwise(F.lit(0.0))))
+    return bound(slots, lambda s: bound(counts(s), unit))
