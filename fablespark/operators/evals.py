@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,6 +91,34 @@ def isotonic_bins(curve: DataFrame) -> DataFrame:
     return curve.sparkSession.createDataFrame([(b, p[2]) for p in pools for b in p[0]], "bin int, calibrated double")
 
 
+def platt_scaling(df: DataFrame, confidence: str, correct: str, levels: int = 1000, rounds: int = 50) -> tuple[float, float]:
+    """(slope, offset) of the sigmoid that maps a confidence to the chance that it is right.
+
+    Fitted by Newton steps on counts by confidence level, so the data is read
+    once and ``levels`` + 1 rows reach the driver, however many answers there are.
+    """
+    level = (F.round(F.col(confidence) * levels) / levels).alias("x")
+    rows = df.groupBy(level).agg(F.count("*").alias("n"), F.count_if(F.col(correct)).alias("k")).filter("x is not null").orderBy("x").collect()
+    x, n, k = (np.array([float(r[c]) for r in rows]) for c in ("x", "n", "k"))
+    # Targets are drawn in by Platt's rule, so that clear data has a finite fit.
+    hit = k * (k.sum() + 1) / (k.sum() + 2) + (n - k) / ((n - k).sum() + 2)
+    slope, offset = 0.0, float(np.log((k.sum() + 1) / ((n - k).sum() + 1)))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(slope * x + offset)))
+        w = n * p * (1 - p)
+        gradient = np.array([np.sum((n * p - hit) * x) + 1e-6 * slope, np.sum(n * p - hit)])
+        step = np.linalg.solve(np.array([[np.sum(w * x * x) + 1e-6, np.sum(w * x)], [np.sum(w * x), np.sum(w) + 1e-9]]), gradient)
+        step /= max(1.0, np.abs(step).max() / 5)
+        slope, offset = slope - step[0], offset - step[1]
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(slope), float(offset)
+
+
+def platt_calibrated(confidence: Column, fit: tuple[float, float]) -> Column:
+    return 1 / (1 + F.exp(-(F.lit(fit[0]) * confidence + F.lit(fit[1]))))
+
+
 def confusion(df: DataFrame, actual: str, predicted: str, labels: list[str]) -> DataFrame:
     return df.groupBy(actual).pivot(predicted, labels).agg(F.count(F.lit(1))).na.fill(0)
 

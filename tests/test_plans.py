@@ -15,7 +15,7 @@ import __spark_entry__ as entry
 from fablespark.functions.text import HONORIFICS
 from fablespark.operators import characters, evals, ops, retrieval
 from fablespark.plans import ask, ingest
-from fablespark.sources import models, stores
+from fablespark.sources import gold, models, stores
 from fablespark.sources.schema import STAGES
 from fablespark.streaming import streams
 
@@ -165,6 +165,32 @@ def test_isotonic_is_monotone(spark):
     assert got == [0.1, 0.4, 0.4, 0.9]
 
 
+def test_platt_scaling_recovers_a_sigmoid(spark):
+    rows = spark.range(40_000).selectExpr("id % 101 / 100.0 AS c", "rand(4) < 1 / (1 + exp(-(6 * (id % 101 / 100.0) - 4))) AS ok")
+    slope, offset = evals.platt_scaling(rows, "c", "ok")
+    assert abs(slope - 6) < 0.3 and abs(offset + 4) < 0.2
+    got = rows.select(evals.platt_calibrated(F.col("c"), (slope, offset)).alias("p"), F.col("ok").cast("double").alias("y")).agg(F.avg("p"), F.avg("y")).first()
+    assert abs(got[0] - got[1]) < 0.01
+    assert evals.platt_scaling(rows.limit(0), "c", "ok") == (0.0, 0.0)
+
+
+def test_gold_labels_are_pinned_to_their_corpus(spark, tmp_path):
+    manifest = spark.createDataFrame([("b.txt", "2"), ("a.txt", "1")], "name string, sha256 string")
+    digest = gold.manifest_checksum(manifest)
+    assert digest == gold.manifest_checksum(manifest.orderBy("name"))
+    line = {"book": "a", "canonical_name": "Kei", "aliases": ["K"], "importance_tier": "major", "first_page": 3, "manifest_sha256": digest}
+    (tmp_path / "roster.json").write_text(json.dumps(line) + "\n")
+    rows = gold.load_gold(spark, f"file://{tmp_path}/roster.json", "roster", manifest)
+    assert sorted(tuple(r) for r in gold.alias_map(rows).collect()) == [("a", "K", "Kei"), ("a", "Kei", "Kei")]
+    with pytest.raises(Exception, match="another corpus"):
+        gold.load_gold(spark, f"file://{tmp_path}/roster.json", "roster", manifest.limit(1)).collect()
+    (tmp_path / "bad.json").write_text("{not json\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        gold.load_gold(spark, f"file://{tmp_path}/bad.json", "roster").collect()
+    with pytest.raises(ValueError, match="unknown kind"):
+        gold.load_gold(spark, "x", "nope")
+
+
 def test_first_resolution_wins(spark):
     r = spark.createDataFrame([(1, 5, 2, "merge"), (1, 4, 9, "keep"), (1, 4, 3, "split")], "task_id int, resolved_at int, resolution_id int, outcome string")
     assert ops.first_resolution(r).first()["outcome"] == "split"
