@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fablespark.llm import chat_format, decontaminate, html_extract, license_scan, mixing, quality, simhash, topk_search, toxicity, url_filter
+from fablespark.llm import chat_format, decontaminate, filter_audit, html_extract, license_scan, mixing, quality, simhash, topk_search, toxicity, url_filter
 from fablespark.llm.common import held_out, literal_rows, table
 
 
@@ -59,6 +59,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_chat_format": op9_chat_format,
         "op10_license_scan": op10_license_scan,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
@@ -83,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": url_filter.ORACLE_SQL,
         "op9_chat_format": chat_format.ORACLE_SQL,
         "op10_license_scan": license_scan.oracle_sql(),
+        "op11_filter_audit": filter_audit.ORACLE_SQL,
     }
