@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fablespark.llm import chat_format, decontaminate, filter_audit, html_extract, license_scan, mixing, quality, simhash, topk_search, toxicity, turn_repair, url_filter
+from fablespark.llm import capture_index, chat_format, decontaminate, filter_audit, html_extract, license_scan, mixing, quality, simhash, topk_search, toxicity, turn_repair, url_filter
 from fablespark.llm.common import held_out, literal_rows, table
 
 
@@ -63,6 +63,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index = capture_index.write_captures(pages)
+    captures = capture_index.find_captures(index, capture_index.url_keys(pages))
+    return capture_index.read_captures(index, captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_conversations(turn_repair.damaged(table(spark, sf_dir, "conversations")))
 
@@ -80,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_format": op9_chat_format,
         "op10_license_scan": op10_license_scan,
         "op11_filter_audit": op11_filter_audit,
+        "op12_warc": op12_warc,
         "op13_turn_repair": op13_turn_repair,
     }
 
@@ -94,5 +102,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_chat_format": chat_format.ORACLE_SQL,
         "op10_license_scan": license_scan.oracle_sql(),
         "op11_filter_audit": filter_audit.ORACLE_SQL,
+        "op12_warc": capture_index.ORACLE_SQL,
         "op13_turn_repair": turn_repair.ORACLE_SQL,
     }
