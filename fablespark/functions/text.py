@@ -1,4 +1,4 @@
-"""Column expressions over headings, names, tokens and quotes. No Python UDFs."""
+"""Column expressions over headings, names and tokens. No Python UDFs."""
 
 from __future__ import annotations
 
@@ -180,28 +180,6 @@ def family_name_key(name: Column) -> Column:
     return formal_name(F.regexp_replace(normal_name(name), rf"(?:^| )(?:{'|'.join(words)})(?= |$)", " "))
 
 
-def locate_quote(text: Column, quote: Column, max_distance_share: float = 0.1) -> Column:
-    """struct(method, at): where a quote stands in a text (from 1), exactly, after
-    normalising, or nearly (edit distance over windows that start at a word, unless the
-    share of edits allowed is 0); else nulls."""
-    exact = F.instr(text, quote)
-    flat_text, flat_quote = normal_name(text), normal_name(quote)
-    normal = F.instr(flat_text, flat_quote)
-    words = F.split(flat_text, " ")
-    size = F.size(F.split(flat_quote, " "))
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
-    limit = F.floor(F.length(flat_quote) * max_distance_share).cast("int")
-    near = F.array().cast("array<int>") if max_distance_share <= 0 else F.filter(starts, lambda i: F.levenshtein(F.array_join(F.slice(words, i, size), " "), flat_quote) <= limit)
-    blank = F.coalesce(F.length(flat_quote), F.lit(0)) == 0
-    return (
-        F.when(blank, F.struct(F.lit(None).cast("string").alias("method"), F.lit(None).cast("int").alias("at")))
-        .when(exact > 0, F.struct(F.lit("exact").alias("method"), exact.alias("at")))
-        .when(normal > 0, F.struct(F.lit("normalised").alias("method"), normal.alias("at")))
-        .when(F.size(near) > 0, F.struct(F.lit("fuzzy").alias("method"), F.element_at(near, 1).alias("at")))
-        .otherwise(F.struct(F.lit(None).cast("string").alias("method"), F.lit(None).cast("int").alias("at")))
-    )
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two numeric arrays, in double precision."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fablespark.functions import text as T
-from fablespark.operators import chapters, characters, relations, retrieval
+from fablespark.operators import chapters, characters, quotes, relations, retrieval
 from fablespark.operators.components import cut_lineage
 from fablespark.plans import ask as asking
 from fablespark.plans.domain import Domain, query
@@ -360,17 +360,44 @@ def quote_methods(d: Domain) -> DataFrame:
     text = F.col("text")
     forms = F.array(text, F.regexp_replace(text, " ", "; "), F.concat(F.lit("ß"), F.expr("substring(text, 2)")), F.reverse(text))
     rows = d["benchmark"].select("item_id", F.concat(F.lit("Words before. "), text, F.lit(" Words after.")).alias("page"), F.posexplode(forms).alias("variant", "quote"))
-    return rows.select("item_id", "variant", T.locate_quote(F.col("page"), F.col("quote"))["method"].alias("method"))
+    return quotes.locate_pairs(rows, ["item_id", "variant"], "page").select("item_id", "variant", "method")
 
 
-@query("SELECT doc_id, item_id, strpos(d.text, b.text) AS at, 'exact' AS method FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def _quotes(d: Domain, max_share: float) -> DataFrame:
+    chunks = d["documents"].select(F.col("doc_id").alias("chunk_id"), "text")
+    return quotes.locate_quotes(chunks, d["benchmark"].select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), max_share)
+
+
+@query()
 def quote_locate(d: Domain) -> DataFrame:
-    """Quotes in chunks: candidates share the quote's longest word, so no pair of texts is compared without cause."""
-    quotes = d["benchmark"].select("item_id", F.col("text").alias("quote"), F.split("text", r"\s+").alias("w"))
-    rare = quotes.select("item_id", "quote", F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"].alias("word"))
-    words = d["documents"].select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    hit = words.join(rare, "word").select("doc_id", "item_id", T.locate_quote(F.col("text"), F.col("quote"), 0.0).alias("l"))
-    return hit.filter("l.method = 'exact'").select("doc_id", "item_id", "l.at", "l.method")
+    """All quotes in all documents: exact, normalised and nearest; held against brute force in the tests."""
+    return _quotes(d, quotes.MAX_SHARE).select(F.col("chunk_id").alias("doc_id"), F.col("quote_id").alias("item_id"), F.col("first_char").alias("at"), F.col("last_char").alias("to"), "method", "distance")
+
+
+@query(r"""WITH d AS (SELECT doc_id, text, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS plain FROM documents), b AS (SELECT item_id, text AS quote, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS wanted FROM benchmark)
+SELECT doc_id, item_id, CASE WHEN contains(text, quote) THEN 'exact' ELSE 'normalised' END AS method, CASE WHEN contains(text, quote) THEN strpos(text, quote) END AS at FROM d JOIN b ON contains(plain, wanted)""")
+def quote_verbatim(d: Domain) -> DataFrame:
+    """Quotes without edits, but for case, punctuation and white space."""
+    found = _quotes(d, 0.0)
+    return found.select(F.col("chunk_id").alias("doc_id"), F.col("quote_id").alias("item_id"), "method", F.when(F.col("method") == "exact", F.col("first_char")).alias("at"))
+
+
+_PLAIN = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+@query(f"""WITH b AS (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark),
+v AS (SELECT item_id, text, unnest(['as it is', 'marks', 'lost', 'inserted', 'split']) AS drift, unnest([text, replace(text, ' ', '; '), array_to_string(list_concat(w[:len(w) // 2], w[len(w) // 2 + 2:]), ' '), array_to_string(list_concat(w[:len(w) // 2], ['zzzz'], w[len(w) // 2 + 1:]), ' '), text[:3] || ' ' || text[4:]]) AS quote FROM b),
+k AS (SELECT *, {_PLAIN.format("text")} AS plain, {_PLAIN.format("quote")} AS wanted FROM v)
+SELECT doc_id, item_id, drift, CASE WHEN contains(d.text, quote) THEN 'exact' WHEN plain = wanted THEN 'normalised' ELSE 'fuzzy' END AS method
+FROM (SELECT doc_id, text, {_PLAIN.format("text")} AS said FROM documents) d JOIN k ON contains(said, plain) WHERE levenshtein(plain, wanted) <= floor(length(wanted) * 0.1)""")
+def quote_drift(d: Domain) -> DataFrame:
+    """Quotes as a model gives them: with other marks, with a word lost, put in or split."""
+    w, text = F.split("text", " "), F.col("text")
+    half, end = F.floor(F.size(w) / 2).cast("int"), F.size(w)
+    forms = {"as it is": text, "marks": F.replace(text, F.lit(" "), F.lit("; ")), "lost": F.array_join(F.concat(F.slice(w, 1, half), F.slice(w, half + 2, end)), " "), "inserted": F.array_join(F.concat(F.slice(w, 1, half), F.array(F.lit("zzzz")), F.slice(w, half + 1, end)), " "), "split": F.concat(F.substring(text, 1, 3), F.lit(" "), F.expr("substring(text, 4)"))}
+    asked = d["benchmark"].select("item_id", F.explode(F.create_map(*[x for k, v in forms.items() for x in (F.lit(k), v)])).alias("drift", "quote")).select(F.concat_ws("|", "item_id", "drift").alias("quote_id"), "quote")
+    found = quotes.locate_quotes(d["documents"].select(F.col("doc_id").alias("chunk_id"), "text"), asked)
+    return found.select(F.col("chunk_id").alias("doc_id"), F.split("quote_id", r"\|")[0].cast("long").alias("item_id"), F.split("quote_id", r"\|")[1].alias("drift"), "method")
 
 
 @query("SELECT min(doc_id) AS id, source AS project_id, sha256(text) AS content_hash FROM documents WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id < 100 AND o.source = documents.source AND o.text = documents.text) GROUP BY source, text")

@@ -71,12 +71,6 @@ def test_null_chapter_counts_as_zero_on_both_sides(spark):
     assert seen(2, 0) == 3 and seen(2, None) == 3 and seen(1, 4) == 1 and seen(3, 0) == 5
 
 
-@pytest.mark.parametrize("quote,method", [("quick brown", "exact"), ("Quick   BROWN!", "normalised"), ("quick browm fox", "fuzzy"), ("never was here", None), ("", None)])
-def test_quotes(spark, quote, method):
-    loc = T.locate_quote(F.lit("The quick brown fox jumps"), F.lit(quote))
-    assert one(spark, loc["method"]) == method
-
-
 def test_auto_numbers_count_chapters_only_when_asked(spark):
     rows = spark.createDataFrame([(1, 1, None, True), (1, 2, None, False), (1, 3, None, True), (1, 4, 9, True), (1, 5, None, True)], "book int, at int, number int, ch boolean")
     every = [r["auto_number"] for r in chapters.auto_number(rows, ["book"], "at").orderBy("at").collect()]
