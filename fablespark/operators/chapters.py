@@ -6,11 +6,14 @@ a partition by one book's chunks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fablespark.functions.text import batch_sizes, batch_starts, pack_greedy
+from fablespark.functions.text import batch_sizes, batch_starts, token_count
+from fablespark.operators.packing import pack
 
 
 def chunk_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_tokens: int = 1024) -> DataFrame:
@@ -96,19 +99,14 @@ def token_batches(chunks: DataFrame, book: list[str], at: str, tokens: str = "to
 
     A batch's budget is what the context leaves after the prompt's shell, the
     ``lookback`` chunks before the batch and the reserve. A chunk over it stands
-    alone. A book is folded as one array.
+    alone. Books of any length are packed, see ``packing``.
     """
-    w = Window.partitionBy(*book).orderBy(at)
-    before = F.coalesce(F.sum(tokens).over(w.rowsBetween(-lookback, -1)), F.lit(0))
-    rows = chunks.withColumn("_budget", F.lit(max_context - reserve - shell_tokens) - before)
-    folded = rows.groupBy(*book).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(tokens).alias("size"), F.col("_budget").alias("budget")))).alias("a"))
-    numbers = folded.select(*book, F.explode(F.arrays_zip(F.col("a")["at"].alias("at"), pack_greedy(F.col("a")["size"], F.col("a")["budget"]).alias("batch_no"))).alias("z"))
-    return numbers.select(*book, F.col("z.at").alias(at), F.col("z.batch_no").alias("batch_no"))
+    return pack(chunks, book, [at], tokens, max_context - reserve - shell_tokens, lookback)
 
 
 def split_oversized(items: DataFrame, text: str, budget: int) -> DataFrame:
-    """Items with part_no and was_split: those over the budget cut into parts of at most ``budget`` words."""
-    words = F.array_remove(F.split(text, r"\s+"), "")
+    """Items with part_no and was_split: those over the budget cut into parts of at most ``budget`` words; a null text is one null part."""
+    words = F.coalesce(F.array_remove(F.split(text, r"\s+"), ""), F.array().cast("array<string>"))
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(budget)), lambda i: F.array_join(F.slice(words, i + 1, F.lit(budget)), " "))
     return items.withColumn("was_split", F.size(words) > budget).select("*", F.posexplode(F.when(F.size(words) > budget, parts).otherwise(F.array(F.col(text)))).alias("part_no", "part_text"))
 
@@ -116,14 +114,14 @@ def split_oversized(items: DataFrame, text: str, budget: int) -> DataFrame:
 def plan_batches(items: DataFrame, group: list[str], at: str, text: str, budget: int) -> DataFrame:
     """(group, at, part_no, part_text, tokens, was_split, batch_no): items over the budget split, then all packed in order.
 
-    No batch holds more than ``budget`` tokens (white-space words).
+    No batch holds more than ``budget`` tokens (white-space words). A null text is one part of none. Only the
+    sizes are packed; their numbers come back to the texts by (group, at, part_no), which tell parts apart.
     """
-    parts = split_oversized(items.select(*group, at, text), text, budget).withColumn("tokens", F.size(F.array_remove(F.split("part_text", r"\s+"), "")))
-    one = F.struct(F.col(at).alias("at"), F.col("part_no"), F.col("tokens"), F.col("part_text"), F.col("was_split"))
-    whole = parts.groupBy(*group).agg(F.sort_array(F.collect_list(one)).alias("a"))
-    numbers = pack_greedy(F.transform("a", lambda x: x["tokens"]), F.transform("a", lambda _: F.lit(budget)))
-    packed = whole.select(*group, F.explode(F.arrays_zip("a", numbers.alias("batch_no"))).alias("z"))
-    return packed.select(*group, F.col("z.a.at").alias(at), F.col("z.a.part_no").alias("part_no"), F.col("z.a.part_text").alias("part_text"), F.col("z.a.tokens").alias("tokens"), F.col("z.a.was_split").alias("was_split"), F.col("z.batch_no").alias("batch_no"))
+    parts = split_oversized(items.select(*group, at, text), text, budget).drop(text).withColumn("tokens", token_count(F.col("part_text")))
+    keys = [*group, at, "part_no"]
+    numbers = pack(parts.select(*keys, "tokens"), group, [at, "part_no"], "tokens", budget).select(*[F.col(c).alias(f"_{c}") for c in keys], "batch_no")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    return parts.join(numbers, same).select(*group, at, "part_no", "part_text", "tokens", "was_split", "batch_no")
 
 
 def batch_stats(batches: DataFrame, by: list[str], tokens: str | None = None) -> DataFrame:
