@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -302,57 +301,6 @@ def cross_book_blocks(candidates: DataFrame, characters: DataFrame, kinship: Dat
     return met.select("cluster_key", "character_id", reason.alias("reason")).filter("reason is not null").distinct()
 
 
-def average_link(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Average-link clusters of unit vectors by cosine, as labels in order of first member.
-
-    The mean cosine of two clusters is the product of their sums over their
-    sizes, so chains of nearest neighbours find the merges with a vector a
-    cluster and no matrix of pairs. What has no neighbour at the threshold never
-    gets one by later merges, and is left out.
-    """
-    n = len(vectors)
-    sums, size, label = vectors.astype(float).copy(), np.ones(n), np.arange(n)
-    todo = np.ones(n, bool)
-    chain: list[int] = []
-    while todo.any():
-        if not chain:
-            chain.append(int(np.argmax(todo)))
-        i = chain[-1]
-        others = np.flatnonzero(todo)
-        others = others[others != i]
-        sim = sums[others] @ sums[i] / (size[others] * size[i])
-        if not len(others) or sim.max() < threshold:
-            todo[chain] = False  # similarities rise along a chain, so none before has a neighbour either
-            chain.clear()
-            continue
-        j = int(others[np.argmax(sim)])
-        if len(chain) > 1 and sim[np.searchsorted(others, chain[-2])] >= sim.max():
-            j = chain[-2]  # of equal neighbours, the one that the chain comes from
-        if len(chain) > 1 and j == chain[-2]:
-            a, b = min(i, j), max(i, j)
-            sums[a] += sums[b]
-            size[a] += size[b]
-            todo[b] = False
-            label[label == b] = a
-            del chain[-2:]
-        else:
-            chain.append(j)
-    return np.unique(label, return_inverse=True)[1]
-
-
-def cluster_contexts(contexts: DataFrame, block: str, node: str, vector: str, threshold: float) -> DataFrame:
-    """(block, node, cluster): average-link clusters within each block (names that share a key)."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(node)
-        m = np.array([np.asarray(v, dtype=float) for v in f[vector]])
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        return pd.DataFrame({block: f[block], node: f[node], "cluster": average_link(m, threshold).astype(np.int64)})
-
-    kinds = dict(contexts.dtypes)
-    return contexts.select(block, node, vector).groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, {node} {kinds[node]}, cluster long")
-
-
 def reconcile(candidates: DataFrame, characters: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """Each book cluster's project character, by the first stage of the cascade that hits.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut_lineage``, through a table; for loops, as a checkpoint keeps the constraints of its plan, and these multiply."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, cluster) for all ``nodes`` (node): the least node that the links (u, v) reach.
 

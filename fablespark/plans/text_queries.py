@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fablespark.functions import text as T
-from fablespark.operators import chapters, characters, quotes, relations, retrieval
+from fablespark.operators import chapters, characters, context_links, quotes, relations, retrieval
 from fablespark.operators.components import cut_lineage
 from fablespark.plans import ask as asking
 from fablespark.plans.domain import Domain, query
@@ -254,11 +254,26 @@ def _cannot_links(d: Domain, items: DataFrame) -> DataFrame:
     return characters.cannot_links(m, kin, spans)
 
 
-@query()
+@query("""WITH RECURSIVE base AS (SELECT CAST(label AS VARCHAR) AS block, vec_id AS node, list_transform(CAST(embedding AS DOUBLE[]), lambda v: v / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS x FROM embeddings),
+rounds AS (
+  SELECT 0 AS it, block, node, node AS cluster, x, CAST(0 AS BIGINT) AS merges FROM base
+  UNION ALL
+  (WITH now AS (SELECT * FROM rounds),
+  parts AS (SELECT block, cluster, node, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM now),
+  flat AS (SELECT block, cluster, i, sum(v ORDER BY node) AS v FROM parts GROUP BY ALL),
+  totals AS (SELECT block, cluster, list(v ORDER BY i) AS total FROM flat GROUP BY ALL),
+  sizes AS (SELECT block, cluster, count(*) AS n FROM now GROUP BY ALL),
+  c AS (SELECT * FROM totals JOIN sizes USING (block, cluster)),
+  pairs AS (SELECT a.block, a.cluster AS u, b.cluster AS v, round(list_dot_product(a.total, b.total) / (a.n * b.n), 12) AS sim FROM c a JOIN c b ON a.block = b.block AND a.cluster < b.cluster),
+  both_ways AS (SELECT block, u AS id, v AS near, sim FROM pairs WHERE sim >= 0.3 UNION ALL SELECT block, v, u, sim FROM pairs WHERE sim >= 0.3),
+  best AS (SELECT block, id, min({'far': -sim, 'near': near}).near AS near FROM both_ways GROUP BY block, id),
+  merged AS (SELECT a.id AS root, a.near AS old FROM best a JOIN best b ON a.id = b.near AND a.near = b.id AND a.id < b.id)
+  SELECT now.it + 1, now.block, now.node, coalesce(root, cluster), x, (SELECT count(*) FROM merged) FROM now LEFT JOIN merged ON cluster = old WHERE (SELECT count(*) FROM merged) > 0))
+SELECT block, node, cluster FROM rounds WHERE it = (SELECT max(it) FROM rounds)""")
 def context_clusters(d: Domain) -> DataFrame:
     """Average-link clusters of contexts, in blocks of one label (the names that share a key)."""
     v = d["embeddings"].select(F.col("label").cast("string").alias("block"), F.col("vec_id").alias("node"), F.col("embedding").alias("vector"))
-    return characters.cluster_contexts(v, "block", "node", "vector", 0.3)
+    return context_links.cluster_contexts(v, "block", "node", "vector", 0.3)
 
 
 _ASKED = "CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN substr(c_name, 2) ELSE substr(c_name, 1, 2) || substr(c_name, 4, 1) || substr(c_name, 3, 1) || substr(c_name, 5) END"

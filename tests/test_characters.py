@@ -1,7 +1,6 @@
 import itertools
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -96,29 +95,6 @@ def test_death_blocks_a_link(spark):
     assert got == {"b2|kei": (True, "death"), "b2|new": (True, None)}
 
 
-def test_average_link():
-    v = np.array([[1, 0], [0.99, 0.1], [0, 1], [0.1, 0.99]], float)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    assert ch.average_link(v, 0.9).tolist() == [0, 0, 1, 1] and len(set(ch.average_link(v, 0.9999))) == 4
-
-
-def test_average_link_is_that_of_greedy_merging():
-    rnd = np.random.default_rng(2)
-    for _ in range(60):
-        v = rnd.normal(size=(rnd.integers(1, 40), rnd.integers(2, 8)))
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        threshold = rnd.uniform(-0.2, 0.9)
-        groups = [[i] for i in range(len(v))]
-        while len(groups) > 1:
-            sim, a, b = max((np.mean([v[i] @ v[j] for i in x for j in y]), -n, -m) for n, x in enumerate(groups) for m, y in enumerate(groups) if n < m)
-            if sim < threshold:
-                break
-            groups[-a] += groups.pop(-b)
-        want = {tuple(sorted(g)) for g in groups}
-        label = ch.average_link(v, threshold)
-        assert {tuple(np.flatnonzero(label == k)) for k in set(label)} == want
-
-
 def test_long_chain_is_one_component(spark):
     nodes = spark.range(0, 60).select(F.col("id").alias("node"))
     links = spark.range(0, 49).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
