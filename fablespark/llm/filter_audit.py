@@ -195,7 +195,8 @@ def audit_filters(docs: DataFrame, labels: DataFrame, part: str = "lang") -> Dat
     rows = docs.select("doc_id", F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
     flags = with_labels(with_repeats(checkpointed(with_failures(rows)), 4), labels, {"good_lost": F.col("quality") == 1, "toxic_lost": F.col("toxic") == 1})
     losses = ["good_lost", "toxic_lost"]
-    return order_report(subset_counts(flags, list("ABCDE"), losses), list("ABCDE"), losses)
+    counts = checkpointed(subset_counts(flags, list("ABCDE"), losses))  # used twice: 80 rows a part
+    return order_report(counts, list("ABCDE"), losses)
 
 
 ORACLE_SQL = r"""
