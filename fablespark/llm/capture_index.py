@@ -48,7 +48,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fablespark.llm.common import checkpointed, shared_folder
+from fablespark.llm.common import checkpointed, shared_folder, shuffle_width
 
 #: A task begins another archive beyond so many bytes.
 ARCHIVE_BYTES = 1_000_000_000
@@ -324,7 +324,8 @@ def find_captures(index: CaptureIndex, keys: DataFrame, prefix: bool = False) ->
 
     wanted = keys.select("key").filter("key is not null").distinct()
     dealt = wanted.mapInArrow(deal, "shard int, key string")
-    return dealt.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(look_up, LINES)
+    # The rows are small and the work is not, so partitions are not put together by their bytes.
+    return dealt.repartition(shuffle_width(keys.sparkSession), "shard").sortWithinPartitions("shard", "key").mapInArrow(look_up, LINES)
 
 
 def read_captures(index: CaptureIndex, captures: DataFrame, with_html: bool = False) -> DataFrame:
@@ -357,7 +358,7 @@ def read_captures(index: CaptureIndex, captures: DataFrame, with_html: bool = Fa
 
         return _batched(rows(), *_PAGES, size=500)
 
-    dealt = captures.select("archive", "start", "length").repartition("archive", F.floor(F.col("start") / REGION_BYTES))
+    dealt = captures.select("archive", "start", "length").repartition(shuffle_width(captures.sparkSession), "archive", F.floor(F.col("start") / REGION_BYTES))
     found = dealt.sortWithinPartitions("archive", "start").mapInArrow(read, PAGES)
     return found if with_html else found.drop("html")
 
