@@ -12,9 +12,11 @@ all clusters outside is chosen, with everything in it: quotes, tables, short
 sections. A region whose neighbours hold more words than link text is a part of
 the element around them all, which is chosen instead (but not the whole body). Lines of
 menus, notices, adverts, forms, comments and the like, told by element, role, class
-or id, are no part of any region. A class or id that has other words beside such a name
-(``sidebar-right``) may speak of the layout: it is passed over on an element with more
-than LAYOUT_SHARE of the page's text. The lines of the chosen regions
+or id, are no part of any region; nor are characters inside such an element when it stands within a
+line, which goes on behind it. A class or id that has other words beside such a name
+(``sidebar-right``) may speak of the layout: the element is furniture only if something of the
+page lies outside it, lines of article or main (unless it lies in these itself) or a line of a
+cluster. Its size does not count. The lines of the chosen regions
 are kept whole, low ratios included, as short paragraphs belong to an article.
 
 Cases: null html counts as empty; a page without content gives an empty text;
@@ -61,14 +63,13 @@ SIGMA = 1.0
 THRESHOLD_SHARE = 0.5
 #: Votes in article and main count this many times.
 MAIN_WEIGHT = 2.0
-#: An element with more of the page's text than this is no furniture if its name may speak of the layout.
-LAYOUT_SHARE = 0.5
 
 
 class _Lines(HTMLParser):
-    """Streams events into lines: [text, tags, region, region is main, dropped, furniture].
+    """Streams events into lines: [pieces, tags, region, region is main].
 
-    ``furniture`` numbers the innermost element that a class or id names so, 0 for none.
+    A piece is (characters, furniture, inside a link); ``furniture`` numbers the innermost element
+    that a class or id names so, 0 for none. What stands in a dropped element is no piece.
     """
 
     def __init__(self) -> None:
@@ -79,20 +80,18 @@ class _Lines(HTMLParser):
         self.made = 0
         self.parent: dict[int, int] = {}
         self.bodies: set[int] = set()
-        self.furniture: list[tuple[int, bool]] = [(0, False)]  # the one around it, is surely furniture
+        self.furniture: list[tuple[int, bool, bool]] = [(0, False, False)]  # the one around it, is surely furniture, in main
         self.links = 0  # 1 in an a element, which never nest
-        self.link_chars = 0
         self.chars: dict[int, int] = defaultdict(int)
         self.linked: dict[int, int] = defaultdict(int)
-        self.pieces: list[str] = []
+        self.pieces: list[tuple[str, int, int]] = []
         self.tags = 0
 
     def _end_line(self) -> None:
-        text = " ".join("".join(self.pieces).split())
-        if text:
-            _, dropped, region, main, furniture = self.open[-1]
-            self.lines.append([text, self.tags, region, main, dropped, furniture, min(len(text), self.link_chars)])
-        self.pieces, self.tags, self.link_chars = [], 0, 0
+        if any(not x.isspace() for x, _, _ in self.pieces):
+            _, _, region, main, _ = self.open[-1]
+            self.lines.append([self.pieces, self.tags, region, main])
+        self.pieces, self.tags = [], 0
 
     def _cut(self, size: int) -> None:
         """Close what stands from that place on; each element is closed once."""
@@ -106,7 +105,7 @@ class _Lines(HTMLParser):
             self._cut(len(self.open) - 1)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCKS:
+        if tag in BLOCKS and (not self.open[-1][1] or tag in MAIN):  # a block in a dropped element ends no line around that
             self._end_line()
             if tag in ENDS_PARAGRAPH and self.count["p"]:
                 self._close("p")
@@ -117,7 +116,7 @@ class _Lines(HTMLParser):
                     self._cut(len(self.open) - 1)
         self.tags += 1
         if tag == "br":
-            self.pieces.append("\n")
+            self.handle_data("\n")
         if tag in VOID:
             return
         self.links = 1 if tag == "a" else self.links
@@ -133,7 +132,7 @@ class _Lines(HTMLParser):
         if not dropped:
             dropped = tag in DROPPED or tag == "header" and not main or self._off_page(tag, attrs)
             if not dropped and (name := self._furniture(tag, attrs)):
-                self.furniture.append((furniture, name == "sure"))
+                self.furniture.append((furniture, name == "sure", main))
                 furniture = len(self.furniture) - 1
         self.open.append((tag, dropped, region, main, furniture))
         self.count[tag] += 1
@@ -155,25 +154,33 @@ class _Lines(HTMLParser):
                     found = "sure" if words <= DROPPED_NAMES or words & COMMENT_NAMES else found or "likely"
         return found
 
-    def drop_furniture(self) -> None:
-        """Drop the lines of the elements whose class or id names furniture, and add up the regions' text."""
-        held = [0] * len(self.furniture)
-        for line in self.lines:
-            if not line[4]:
-                held[line[5]] += len(line[0])
-        total = sum(held)
-        for k in range(len(held) - 1, 0, -1):  # one inside has a higher number
-            if around := self.furniture[k][0]:
-                held[around] += held[k]
-        gone = [False] * len(held)
-        for k in range(1, len(held)):
-            around, sure = self.furniture[k]
-            gone[k] = gone[around] or sure or held[k] <= LAYOUT_SHARE * total
-        for line in self.lines:
-            line[4] = line[4] or gone[line[5]]
-            if not line[4]:
-                self.chars[line[2]] += len(line[0])
-                self.linked[line[2]] += line[6]
+    def around(self, k: int) -> list[int]:
+        """A furniture number and those around it, 0 last."""
+        found = [k]
+        while k:
+            k = self.furniture[k][0]
+            found.append(k)
+        return found
+
+    def drop_furniture(self, strong: list[bool]) -> None:
+        """Make lines [text, tags, region, main] of what is no furniture, and add up the regions' text.
+
+        ``strong`` tells which lines belong to a cluster.
+        """
+        main_at = {f for pieces, _, _, main in self.lines if main for x, f, _ in pieces if not x.isspace()}
+        strong_at = {f for (pieces, *_), s in zip(self.lines, strong, strict=True) if s for x, f, _ in pieces if not x.isspace()}
+        gone = [False] * len(self.furniture)
+        for k in range(1, len(gone)):
+            around, sure, in_main = self.furniture[k]
+            gone[k] = gone[around] or sure or any(f in strong_at or f in main_at and not in_main for f in self.around(around))
+        kept = []
+        for pieces, tags, region, main in self.lines:
+            text = " ".join("".join(x for x, f, _ in pieces if not gone[f]).split())
+            if text:
+                kept.append([text, tags, region, main])
+                self.chars[region] += len(text)
+                self.linked[region] += min(len(text), sum(len(x) for x, f, link in pieces if link and not gone[f]))
+        self.lines = kept
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -181,23 +188,29 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS:
+        if tag in BLOCKS and (not self.open[-1][1] or self._closes_dropped(tag)):
             self._end_line()
         self.tags += 1
         if tag == "br":
-            self.pieces.append("\n")
+            self.handle_data("\n")
         self.links = 0 if tag == "a" else self.links
         self._close(tag)
 
+    def _closes_dropped(self, tag: str) -> bool:
+        """If the end tag closes an element around the dropped ones, too."""
+        for name, dropped, *_ in reversed(self.open):
+            if name == tag:
+                return not dropped
+        return False
+
     def handle_data(self, data: str) -> None:
-        if self.links:
-            self.link_chars += len(data)
-        self.pieces.append(data)
+        _, dropped, _, _, furniture = self.open[-1]
+        if not dropped:
+            self.pieces.append((data, furniture, self.links))
 
     def close(self) -> None:
         super().close()
         self._end_line()
-        self.drop_furniture()
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -208,7 +221,18 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel, mode="valid") if len(ratios) else ratios
 
 
-_CUT_TAG = re.compile(r"<(?:[A-Za-z/!?][^<>]*)?\Z")
+def _region_ratios(lines: list[tuple[int, int, int]]) -> np.ndarray:
+    """Smoothed text-to-tag ratios of (characters, tags, region), each region by itself, so that a card beside an article gains nothing from it."""
+    raw = np.array([size / max(1, tags) for size, tags, _ in lines])
+    where = np.array([region for *_, region in lines])
+    order = np.argsort(where, kind="stable")
+    ratio = np.empty(len(lines))
+    for at in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if lines else ():
+        ratio[at] = smoothed(raw[at])
+    return ratio
+
+
+_CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 
 
 def main_text(html: str | None) -> str:
@@ -218,25 +242,21 @@ def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(_CUT_TAG.sub("", html))
     parser.close()
+    ratio = _region_ratios([(sum(len(x) for x, _, _ in pieces), tags, region) for pieces, tags, region, _ in parser.lines])
+    parser.drop_furniture(list(ratio >= THRESHOLD_SHARE * ratio.std()) if len(ratio) else [])
     lines = parser.lines
     if not lines:
         return ""
-    raw = np.array([len(x[0]) / max(1, x[1]) for x in lines])
-    where = np.array([x[2] for x in lines])
-    order = np.argsort(where, kind="stable")
-    ratio = np.empty(len(lines))
-    for at in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-        ratio[at] = smoothed(raw[at])  # inside a region, so that a card beside an article gains nothing from it
+    ratio = _region_ratios([(len(text), tags, region) for text, tags, region, _ in lines])
     limit = THRESHOLD_SHARE * float(ratio.std())
     votes: dict[int, float] = defaultdict(float)
     texts: dict[int, float] = defaultdict(float)
     semantic: set[int] = set()
-    for (text, _, region, main, dropped, _, _), r in zip(lines, ratio, strict=True):
-        if not dropped:
-            votes[region] += len(text) if r >= limit else 0
-            texts[region] += len(text)
-            if main:
-                semantic.add(region)
+    for (text, _, region, main), r in zip(lines, ratio, strict=True):
+        votes[region] += len(text) if r >= limit else 0
+        texts[region] += len(text)
+        if main:
+            semantic.add(region)
     if not any(votes.values()):
         votes = texts
     if not votes:
@@ -250,7 +270,7 @@ def main_text(html: str | None) -> str:
                 chosen.add(k)
     else:
         chosen = _outside(parser, votes, semantic)
-    return "\n\n".join(x[0] for x in lines if not x[4] and x[2] in chosen)
+    return "\n\n".join(x[0] for x in lines if x[2] in chosen)
 
 
 def _outside(parser: _Lines, votes: dict[int, float], semantic: set[int]) -> set[int]:

@@ -42,7 +42,7 @@ def test_pages(body, want):
     assert main_text(SHELL.format(body)) == want
 
 
-@pytest.mark.parametrize("html", [None, "", "<", "<p", "&am", "<!-- open", "<article><p>cut &am", "<article><p>cut <a hr", "</p></div>", "plain"])
+@pytest.mark.parametrize("html", [None, "", "<p", "&am", "<!-- open", "<article><p>cut &am", "<article><p>cut <a hr", "</p></div>", "plain"])
 def test_broken_pages_do_not_fail(html):
     text = main_text(html)
     assert isinstance(text, str) and "<" not in text
@@ -115,6 +115,30 @@ def test_names_of_layout_and_of_furniture(body, want):
     assert main_text(SHELL.format(body)) == "\n\n".join(x.strip() for x in want)
 
 
+@pytest.mark.parametrize(
+    "inside", ["<script>var x=1;</script>", "<style>p{}</style>", "<button>Press</button>", "<noscript>No script</noscript>", "<textarea>Type</textarea>", "<select><option>A</option><option>B</option></select>", '<span class="ad">BUY NOW</span>', "<svg><text>pic</text></svg>", '<span hidden>x</span>', "<select><option>A<option>B</select>"]
+)
+def test_what_is_dropped_inside_a_line(inside):
+    assert main_text(SHELL.format(f"<article><p>Hello there {inside} world</p><p>Next.</p></article>")) == "Hello there world\n\nNext."
+    assert main_text(SHELL.format(f"<div><p>{PROSE}{inside}</p><p>Next.</p></div>")) == f"{PROSE.strip()}\n\nNext."
+
+
+@pytest.mark.parametrize("name", ["ad-box", "sidebar-right", "ad"])
+@pytest.mark.parametrize("body", ["<article><p>Short article.</p></article>{}", "{}<main><p>Short article.</p></main>"])
+def test_adverts_larger_than_the_article(name, body):
+    assert main_text(SHELL.format(body.format(f"<div class='{name}'><p>{PROSE}</p><p>{PROSE}</p></div>"))) == "Short article."
+
+
+def test_layout_names_without_an_article():
+    assert main_text(SHELL.format(f"<div><p>{PROSE}</p></div><div class='sidebar-right'><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div>")) == PROSE.strip()
+    assert main_text(SHELL.format(f"<div class='sidebar-right'><p>{PROSE}</p><p>End.</p></div>")) == f"{PROSE.strip()}\n\nEnd."
+    assert main_text(SHELL.format(f"<article><div class='post header-large'><p>{PROSE}</p><p>End.</p></div></article>")) == f"{PROSE.strip()}\n\nEnd."
+
+
+def test_a_bracket_at_the_end_is_text():
+    assert main_text("<article><p>we say x <") == "we say x <" and main_text("<") == "<"
+
+
 def test_deep_nesting_takes_time_in_proportion():
     def took(n):
         page = "<div><span>" * n + "<p>text" + "</b></p>" * n + "<article><p>x</article>" + "</span></div>" * n
