@@ -133,25 +133,27 @@ def recall_mrr(d: Domain) -> DataFrame:
     return out.select("n_questions", *[F.round(c, 9).alias(c) for c in ("recall_at_2", "recall_at_5", "mrr")])
 
 
-CURVE = "WITH x AS (SELECT confidence, assertion_type = 'narrated' AS correct FROM assertion WHERE confidence < 1), b AS (SELECT CAST(least(floor(confidence * 20), 19) AS INT) AS bin, confidence, correct FROM x), c AS (SELECT bin, count(*) AS n, avg(confidence) AS mean_confidence, avg(CAST(correct AS INT)) AS accuracy FROM b GROUP BY bin)"
+CURVE = "WITH x AS (SELECT confidence, assertion_type = 'narrated' AS correct FROM assertion ), b AS (SELECT CAST(least(floor(confidence * 20), 19) AS INT) AS bin, confidence, correct FROM x), c AS (SELECT bin, count(*) AS n, avg(confidence) AS mean_confidence, avg(CAST(correct AS INT)) AS accuracy FROM b GROUP BY bin)"
 
 
 @query(f"{CURVE} SELECT bin, n, round(mean_confidence, 9) AS mean_confidence, round(accuracy, 9) AS accuracy FROM c")
 def calibration_curve(d: Domain) -> DataFrame:
-    rows = d["assertion"].filter("confidence < 1").withColumn("correct", F.col("assertion_type") == "narrated")
+    rows = d["assertion"].withColumn("correct", F.col("assertion_type") == "narrated")
     return evals.calibration_curve(rows, "confidence", "correct", 20).withColumns({"mean_confidence": F.round("mean_confidence", 9), "accuracy": F.round("accuracy", 9)})
 
 
 @query(f"{CURVE} SELECT round(sum(n * abs(mean_confidence - accuracy)) / sum(n), 9) AS ece FROM c")
 def ece(d: Domain) -> DataFrame:
-    rows = d["assertion"].filter("confidence < 1").withColumn("correct", F.col("assertion_type") == "narrated")
+    rows = d["assertion"].withColumn("correct", F.col("assertion_type") == "narrated")
     return evals.expected_calibration_error(rows, "confidence", "correct", 20).withColumn("ece", F.round("ece", 9))
 
 
-@query()
+@query(f"""{CURVE}, spans AS (SELECT x.bin AS lo, y.bin AS hi, sum(c.n * c.accuracy) / sum(c.n) AS mean FROM c x JOIN c y ON x.bin <= y.bin JOIN c ON c.bin BETWEEN x.bin AND y.bin GROUP BY ALL),
+least AS (SELECT b.bin, lo, min(mean) AS mean FROM c b JOIN spans ON lo <= b.bin AND hi >= b.bin GROUP BY ALL) SELECT bin, round(max(mean), 9) AS calibrated FROM least GROUP BY bin""")
 def isotonic_calibration(d: Domain) -> DataFrame:
-    rows = d["assertion"].filter("confidence < 1").withColumn("correct", F.col("assertion_type") == "narrated")
-    return evals.isotonic_bins(evals.calibration_curve(rows, "confidence", "correct", 20))
+    """Pooling neighbours gives the greatest of the least means of the spans around a bin, as the SQL says."""
+    rows = d["assertion"].withColumn("correct", F.col("assertion_type") == "narrated")
+    return evals.isotonic_bins(evals.calibration_curve(rows, "confidence", "correct", 20)).withColumn("calibrated", F.round("calibrated", 9))
 
 
 @query("SELECT event_type AS actual, count(*) FILTER (user_id % 3 = 0) AS low, count(*) FILTER (user_id % 3 = 1) AS mid, count(*) FILTER (user_id % 3 = 2) AS high FROM events GROUP BY 1")

@@ -187,12 +187,6 @@ def mention_discovery(d: Domain) -> DataFrame:
     return characters.mentions(d["documents"], "doc_id")
 
 
-@query()
-def mention_discovery_all(d: Domain) -> DataFrame:
-    """The same, held against plain Python in the tests."""
-    return characters.mentions(d["documents"], "doc_id")
-
-
 @query("SELECT coalesce(reason, 'kept') AS outcome, count(*) AS n FROM (SELECT CASE WHEN p_name IN ('red widget', 'blue bolt') THEN 'known_thing' WHEN p_size < 10 THEN 'too_few_mentions' END AS reason FROM part) GROUP BY 1")
 def rejected_candidates(d: Domain) -> DataFrame:
     things = d.spark.createDataFrame([("Red Widget",), ("blue bolt",)], "word string")
@@ -241,12 +235,6 @@ def cannot_links(d: Domain) -> DataFrame:
     return _cannot_links(d, d["lineitem"])
 
 
-@query()
-def cannot_links_all(d: Domain) -> DataFrame:
-    """The same, held against plain Python in the tests."""
-    return _cannot_links(d, d["lineitem"])
-
-
 def _cannot_links(d: Domain, items: DataFrame) -> DataFrame:
     m = items.select(F.col("l_orderkey").alias("scene_id"), (F.col("l_linenumber") % 2).alias("key"), F.col("l_suppkey").alias("node"))
     kin = d["supplier"].filter("s_suppkey <> s_nationkey").select(F.col("s_suppkey").alias("u"), F.col("s_nationkey").cast("long").alias("v"))
@@ -290,12 +278,6 @@ def name_resolution(d: Domain) -> DataFrame:
     return _name_resolution(d, d["customer"].select(query.alias("query")))
 
 
-@query()
-def name_resolution_all(d: Domain) -> DataFrame:
-    """The same, held against plain Python in the tests."""
-    return name_resolution(d)
-
-
 def _name_resolution(d: Domain, q: DataFrame) -> DataFrame:
     people = d["customer"].select(F.col("c_custkey").alias("character_id"), F.col("c_name").alias("canonical_name"), F.array("c_mktsegment").alias("aliases"))
     return characters.resolve_names(q, people)

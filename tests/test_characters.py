@@ -62,7 +62,7 @@ def test_fuzzy_names_against_brute_force(spark):
 def test_whole_table_queries_against_brute_force(spark, sf):
     found = entry.queries()
     customers = [(r["c_custkey"], r["c_name"]) for r in spark.read.parquet(f"{sf}/customer.parquet").collect()]
-    got = {(r["query"], r["character_id"], r["method"]) for r in found["name_resolution_all"](spark, sf).collect()}
+    got = {(r["query"], r["character_id"], r["method"]) for r in found["name_resolution"](spark, sf).collect()}
     form = lambda k, n: n if k % 3 == 0 else n[1:] if k % 3 == 1 else n[:2] + n[3] + n[2] + n[4:]
     want = set()
     for k, n in customers:
@@ -73,7 +73,7 @@ def test_whole_table_queries_against_brute_force(spark, sf):
     for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey").collect():
         scenes.setdefault((r[0], r[1] % 2), set()).add(r[2])
     pairs = {p for x in scenes.values() for p in itertools.combinations(sorted(x), 2)}
-    assert pairs and pairs == {(r["u"], r["v"]) for r in found["cannot_links_all"](spark, sf).collect() if r["reason"] == "co_presence"}
+    assert pairs and pairs == {(r["u"], r["v"]) for r in found["cannot_links"](spark, sf).collect() if r["reason"] == "co_presence"}
 
 
 def test_resolution_shows_ties(spark):

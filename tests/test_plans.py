@@ -78,7 +78,7 @@ def test_mentions_of_all_languages_against_brute_force(spark, sf):
     titles = "|".join(h.capitalize() for h in HONORIFICS)
     pattern = re.compile(rf"(?:^|[^{letter}])((?:(?:{titles})\.? )?[{big}][{small}]+(?: [{big}][{small}]+)*)")
     want = Counter((r["doc_id"], m) for r in rows for m in pattern.findall(r["text"] or "") if m.lower() not in characters.NOT_NAMES)
-    assert {(r["doc_id"], r["surface_form"]): r["n"] for r in entry.queries()["mention_discovery_all"](spark, sf).collect()} == want
+    assert {(r["doc_id"], r["surface_form"]): r["n"] for r in entry.queries()["mention_discovery"](spark, sf).collect()} == want
 
 
 def test_embedding_only_what_is_missing(spark):
