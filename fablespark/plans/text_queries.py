@@ -14,21 +14,25 @@ from fablespark.plans.domain import Domain, query
 from fablespark.plans.graph_queries import ALL_EDGES, EDGES_AT
 from fablespark.sources import ontology, schema, stores
 
-# Heading forms with what each must be read as: text, is_chapter, number, title.
-HEADINGS = (
-    ("One", True, 1, None), ("Chapter 3", True, 3, None), ("IV", True, 4, None), ("Chapter XII: The Return", True, 12, "The Return"), ("Three: A New Beginning", True, 3, "A New Beginning"), ("Prologue", True, None, "Prologue"),
-    ("Contents", False, None, None), ("About the Author", False, None, None), ("Chapter Discovery", True, 501, "scovery"), ("  chap.   3.1 -  Down the   Lane. ", True, 3, "Down the Lane"), ("CHAPTER IIII", True, 4, None), ("Chapter xiv", True, 14, None), ("Winter", False, None, None),
-)
-
-
 def _literal(v) -> str:
     return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v + "'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, h)) + ")" for h in HEADINGS) + ") AS t(heading, is_chapter, number, title)")
+_ROMAN = "['', 'X', 'XX', 'XXX', 'XL', 'L'][p_size // 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][p_size % 10 + 1]"
+
+
+@query(f"""SELECT p_partkey, k <> 5 AND k <> 6 AND k <> 7 AS is_chapter, CASE WHEN k < 4 THEN p_size WHEN k = 8 THEN p_size % 3 + 1 END AS number, CASE WHEN k IN (1, 3, 8) THEN p_name WHEN k = 4 THEN 'Prologue' END AS title, md5(h) AS heading
+FROM (SELECT *, CASE k WHEN 0 THEN 'Chapter ' || p_size WHEN 1 THEN 'CHAPTER ' || {_ROMAN} || ': ' || p_name WHEN 2 THEN {_ROMAN} WHEN 3 THEN '  chap.   ' || p_size || '.1 -  ' || p_name || '. ' WHEN 4 THEN 'Prologue'
+WHEN 5 THEN 'About the Author' WHEN 6 THEN p_name WHEN 7 THEN 'Contents' ELSE ['One', 'Two', 'Three'][p_size % 3 + 1] || ': ' || p_name END AS h FROM (SELECT *, p_partkey % 9 AS k FROM part))""")
 def heading_parse(d: Domain) -> DataFrame:
-    rows = d.spark.createDataFrame([(h[0],) for h in HEADINGS], "heading string").withColumn("h", T.parse_heading(F.col("heading")))
-    return rows.select("heading", "h.is_chapter", "h.number", "h.title")
+    """Headings of nine forms, chapters and others, one a part."""
+    size, name, k = F.col("p_size"), F.col("p_name"), F.col("p_partkey") % 9
+    tens, ones = ("", "X", "XX", "XXX", "XL", "L"), ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")
+    roman = F.concat(F.get(F.array(*map(F.lit, tens)), F.floor(size / 10).cast("int")), F.get(F.array(*map(F.lit, ones)), (size % 10).cast("int")))
+    word = F.get(F.array(*map(F.lit, ("One", "Two", "Three"))), (size % 3).cast("int"))
+    forms = [F.concat(F.lit("Chapter "), size.cast("string")), F.concat(F.lit("CHAPTER "), roman, F.lit(": "), name), roman, F.concat(F.lit("  chap.   "), size.cast("string"), F.lit(".1 -  "), name, F.lit(". ")), F.lit("Prologue"), F.lit("About the Author"), name, F.lit("Contents"), F.concat(word, F.lit(": "), name)]
+    rows = d["part"].select("p_partkey", F.get(F.array(*forms), k.cast("int")).alias("text")).withColumn("h", T.parse_heading(F.col("text")))
+    return rows.select("p_partkey", "h.is_chapter", "h.number", "h.title", F.md5(F.col("text").cast("binary")).alias("heading"))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')) AS heading, false AS is_chapter FROM pages")
@@ -201,13 +205,14 @@ def roster_merge(d: Domain) -> DataFrame:
     return characters.merge_roster(found, ["project"], "at").select("project", "key", "name", F.size("aliases").cast("long").alias("n_aliases"), F.col("aliases")[0].alias("first_alias"), "has_appeared_earlier", "roster_no")
 
 
-NAMES = (("Mr. Darcy", "darcy", "darcy"), ("Lizzy Bennet", "bennet lizzy", "bennet elizabeth"), ("Bennet, Elizabeth", "bennet elizabeth", "bennet elizabeth"), ("Kazu-san", "kazu", "kazu"), ("DR  Watson!", "watson", "watson"), ("Captain Tom Hale", "hale tom", "hale thomas"))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, n)) + ")" for n in NAMES) + ") AS t(name, bare, formal)")
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 1 THEN digits || ' customer lizzy' ELSE digits || ' customer' END AS bare, CASE c_custkey % 5 WHEN 1 THEN digits || ' customer elizabeth' ELSE digits || ' customer' END AS formal
+FROM (SELECT c_custkey, regexp_extract(c_name, '[0-9]+') AS digits FROM customer)""")
 def name_keys(d: Domain) -> DataFrame:
-    rows = d.spark.createDataFrame([(n[0],) for n in NAMES], "name string")
-    return rows.select("name", T.bare_name(F.col("name")).alias("bare"), T.formal_name(F.col("name")).alias("formal"))
+    """Names with honorifics, a nickname, a suffix, in capitals and in other order."""
+    n, digits = F.col("c_name"), F.regexp_extract("c_name", "[0-9]+", 0)
+    forms = F.array(F.concat(F.lit("Mr. "), n), F.concat(F.lit("Lizzy "), n), F.concat(n, F.lit("-san")), F.concat(F.lit("DR  "), F.upper(n), F.lit("!")), F.concat(digits, F.lit(", Customer")))
+    rows = d["customer"].select("c_custkey", F.get(forms, (F.col("c_custkey") % 5).cast("int")).alias("name"))
+    return rows.select("c_custkey", T.bare_name(F.col("name")).alias("bare"), T.formal_name(F.col("name")).alias("formal"))
 
 
 @query("""WITH n AS (SELECT c_custkey AS node, lower(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g')) AS k, c_nationkey FROM customer)
@@ -420,9 +425,11 @@ def evidence_checks(d: Domain) -> DataFrame:
     return good.agg(F.lit(True).alias("valid"), F.count("*").alias("n")).unionByName(bad.agg(F.lit(False).alias("valid"), F.count("*").alias("n"))).filter("n > 0")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, p[:4])) + ")" for p in ontology.PREDICATES) + ") AS t(predicate, family, inverse, \"symmetric\")")
+@query("WITH o AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, p[:4])) + ")" for p in ontology.PREDICATES) + ") AS t(predicate, family, inverse, \"symmetric\")) SELECT predicate, family, inverse, \"symmetric\", count(*) AS n_assertions FROM assertion JOIN o USING (predicate) GROUP BY ALL")
 def ontology_table(d: Domain) -> DataFrame:
-    return ontology.predicates(d.spark).select("predicate", "family", "inverse", "symmetric")
+    """Assertions by predicate, with what the ontology says of it."""
+    known = ontology.predicates(d.spark).select("predicate", "family", "inverse", "symmetric")
+    return d["assertion"].join(F.broadcast(known), "predicate").groupBy("predicate", "family", "inverse", "symmetric").agg(F.count("*").alias("n_assertions"))
 
 
 @query("SELECT r_regionkey AS project_id, r_name AS name, count(DISTINCT n_nationkey) AS book_count, count(DISTINCT c_custkey) AS character_count FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
@@ -498,10 +505,13 @@ def answer_context(d: Domain) -> DataFrame:
 QUESTIONS = (("Who is Kei?", "character_lookup"), ("How did their relationship change over time?", "series_arc"), ("Is Kei married to Nagare?", "relationship_lookup"), ("How are Kei and Fumiko connected?", "path"), ("How many people visit the cafe?", "aggregation"), ("Why does she go back?", "narrative"), ("Kei", "ambiguous"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{r}')" for q, r in QUESTIONS) + ") AS t(question, route)")
+@query("SELECT n_nationkey, c_custkey, [" + ", ".join(f"'{r}'" for _, r in QUESTIONS) + f"][c_custkey % {len(QUESTIONS)} + 1] AS route FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def question_routes(d: Domain) -> DataFrame:
-    rows = d.spark.createDataFrame([(q,) for q, _ in QUESTIONS], "question string")
-    return rows.select("question", asking.route(F.col("question")).alias("route"))
+    """A question a customer, of each kind in turn."""
+    asked = F.get(F.array(*[F.lit(q) for q, _ in QUESTIONS]), (F.col("c_custkey") % len(QUESTIONS)).cast("int"))
+    named = F.regexp_replace(asked, "Kei", F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")))
+    rows = d["customer"].join(d["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select("n_nationkey", "c_custkey", asking.route(named).alias("route"))
 
 
 @query(f"""{EDGES_AT}, pages AS (SELECT subject, predicate, object, list_sort(list(DISTINCT page)) AS page_refs FROM canonical GROUP BY ALL),
