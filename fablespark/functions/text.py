@@ -9,14 +9,9 @@ from pyspark.sql import functions as F
 
 # Roman digits.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
-# A heading is the word "chapter", a number, and a title that a separator may set off.
-_WORD = r"chap(?:ter|\.)?"
-_NUMBER = r"([ivxlcdm]+|[0-9]+(?:\.[0-9]+)*)"
-_MARK = r"\s*[-–—:.]\s*"
-#: The separator is optional, as the results must be those of headings like "Chapter Discovery" too.
-HEADING = rf"(?i)^\s*{_WORD}\s+{_NUMBER}(?:{_MARK}|\s+)?(.*?)\s*$"
-#: The number ends at a separator, a space or the end.
-HEADING_STRICT = rf"(?i)^\s*{_WORD}\s+{_NUMBER}(?:{_MARK}|\s+|$)(.*?)\s*$"
+# The words that announce a chapter, and what may stand between its number and its title.
+CHAPTER_WORDS = ("chapter", "chap", "chap.")
+SEPARATORS = r":.\-–—"
 CANONICAL_ROMAN = r"^M*(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 # Number words and headings that open or never open a chapter.
 NUMBER_WORDS = ("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty").split()
@@ -47,28 +42,37 @@ def chapter_number(number: Column, strict: bool = False) -> Column:
 
 
 def strip_title(title: Column) -> Column:
-    # What is cut off at both ends of a title.
-    edge = r"[ :.\-–—]"
-    out = F.regexp_replace(title, f"^{edge}+|{edge}+$", "")
+    """Without separators and spaces at both ends; null if nothing is left."""
+    out = F.regexp_replace(title, f"^[ {SEPARATORS}]+|[ {SEPARATORS}]+$", "")
     return F.when(out != "", out)
 
 
+def number_token(text: Column) -> Column:
+    """The digits and dots, or else the Roman digits, that a text begins with; may be empty."""
+    digits = F.regexp_extract(text, r"^\d+(?:\.\d+)*", 0)
+    return F.when(digits != "", digits).otherwise(F.regexp_extract(text, rf"^(?i:[{''.join(ROMAN)}])*", 0))
+
+
 def parse_heading(text: Column, strict: bool = False) -> Column:
     """struct(is_chapter, number, title, text, detection_method) of a raw heading.
 
-    The pattern comes first, rules for headings without "Chapter" second. By
-    default the separator after the number is optional, so that "Chapter
-    Discovery" reads as number Di; ``strict`` asks for a boundary.
+    Read from the left: a word that announces a chapter, a number, the title. Headings that
+    don't begin so go by rules. By default the number ends where it can be read no further, so
+    that "Chapter Discovery" is number Di; ``strict`` asks for a separator, a space or the end there.
     """
     t = collapse(text)
-    pattern = HEADING_STRICT if strict else HEADING
-    hit = t.rlike(pattern)
-    number = F.regexp_extract(t, pattern, 1)
+    word = F.substring_index(t, " ", 1)
+    behind = F.ltrim(F.substring(t, F.length(word) + 1, F.length(t)))
+    number = number_token(behind)
+    title = F.substring(behind, F.length(number) + 1, F.length(behind))
+    hit = F.lower(word).isin(*CHAPTER_WORDS) & (number != "")
+    if strict:
+        hit = hit & title.rlike(rf"^(?:[ {SEPARATORS}]|$)")
     by_rule = classify_heading(t)
     return F.struct(
         F.coalesce(hit | by_rule["is_chapter"], F.lit(False)).alias("is_chapter"),
         F.when(hit, chapter_number(number, strict)).otherwise(by_rule["number"]).alias("number"),
-        F.when(hit, strip_title(F.regexp_extract(t, pattern, 2))).otherwise(by_rule["title"]).alias("title"),
+        F.when(hit, strip_title(title)).otherwise(by_rule["title"]).alias("title"),
         F.when(hit | by_rule["is_chapter"], t).alias("text"),
         F.when(hit, "regex").when(by_rule["is_chapter"], "rule").alias("detection_method"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Tables and columns of the data contract.
 TABLES = {
     "project": "id string, name string, slug string, kind string, roster_version int",
     "book": "id string, project_id string, series_order int, title string, author string, translator string, content_hash string, storage_key string, page_count int, chapter_count int, status string",
