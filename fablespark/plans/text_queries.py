@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fablespark.functions import text as T
-from fablespark.operators import chapters, characters, context_links, quotes, relations, retrieval
+from fablespark.operators import chapters, characters, context_links, phrases, quotes, relations, retrieval
 from fablespark.operators.components import cut_lineage
 from fablespark.plans import ask as asking
 from fablespark.plans.domain import Domain, query
@@ -191,6 +191,17 @@ def mention_discovery(d: Domain) -> DataFrame:
     return characters.mentions(d["documents"], "doc_id")
 
 
+_FLAT = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT array_to_string(string_split({_FLAT.format("text")}, ' ')[2:4], ' ') AS phrase FROM benchmark), d AS (SELECT doc_id, ' ' || {_FLAT.format("text")} || ' ' AS said FROM documents)
+SELECT doc_id, phrase, 'epithet' AS kind, CAST(len(string_split(said, ' ' || phrase || ' ')) - 1 AS BIGINT) AS n FROM d JOIN w ON contains(said, ' ' || phrase || ' ')""")
+def phrase_mentions(d: Domain) -> DataFrame:
+    """Mentions of a dictionary, here three words of each benchmark item, in all documents."""
+    known = d["benchmark"].select(F.array_join(F.slice(F.split(T.normal_name(F.col("text")), " "), 2, 3), " ").alias("phrase"), F.lit("epithet").alias("kind"))
+    return phrases.phrase_mentions(d["documents"], known, "doc_id")
+
+
 @query("SELECT coalesce(reason, 'kept') AS outcome, count(*) AS n FROM (SELECT CASE WHEN p_name IN ('red widget', 'blue bolt') THEN 'known_thing' WHEN p_size < 10 THEN 'too_few_mentions' END AS reason FROM part) GROUP BY 1")
 def rejected_candidates(d: Domain) -> DataFrame:
     things = d.spark.createDataFrame([("Red Widget",), ("blue bolt",)], "word string")
