@@ -3,10 +3,10 @@
 Fingerprints of 64 bits are eight positional bytes. Two that differ in at most
 ``max_bits`` = 2 bits share at least six of the eight, the guaranteed minimum. The
 index posts each distinct fingerprint under every choice of six positions and the
-bytes there, so a posting list holds those that share these six, and the count
-filter is part of its key: of two fingerprints that share s bytes, the tally of
-lists they meet in is the number of choices of six out of s, which is one or more
-from the minimum on and none below. Pairs of a list are verified by their differing
+bytes there, so a posting list holds those that share these six. The meetings of a pair
+are tallied: two that share s bytes meet in as many lists as there are choices of six
+out of s (1, 7 or 28), so the count of lists tells the count of shared bytes. Pairs that
+reach the minimum are retained and verified by their differing
 bits. Members of a list differ in two bytes only, so it has 65,536 at most, however
 many documents there are; on the check tables with a group of thousands of near
 copies the longest list had 16.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -88,13 +89,25 @@ def _postings(nodes: DataFrame, least_shared: int) -> DataFrame:
     return nodes.select("rep", "fp", F.explode(F.array(*keys)).alias("k")).select("k.positions", "k.bytes", "rep", "fp")
 
 
-def near_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (u, v) between nodes (rep, fp) within ``max_bits`` of each other."""
-    posts = _postings(nodes, 8 - max_bits)
+def shared_bytes(nodes: DataFrame, least_shared: int) -> DataFrame:
+    """(u, v, left, right, shared): the pairs of nodes (rep, fp) that meet in the index, and how many positional bytes they share."""
+    posts = _postings(nodes, least_shared)
     a, b = posts.alias("a"), posts.alias("b")
     same = (F.col("a.positions") == F.col("b.positions")) & (F.col("a.bytes") == F.col("b.bytes")) & (F.col("a.fp") < F.col("b.fp"))
-    near = a.join(b, same).filter(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
-    return near.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct()
+    met = a.join(b, same).groupBy(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"), F.col("a.fp").alias("left"), F.col("b.fp").alias("right")).agg(F.count("*").alias("lists"))
+    of_lists = F.create_map(*[F.lit(x).cast("long") for s in range(least_shared, 9) for x in (comb(s, least_shared), s)])
+    return met.select("u", "v", "left", "right", F.element_at(of_lists, F.col("lists")).alias("shared"))
+
+
+def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, least_shared: int | None = None) -> DataFrame:
+    """Links (u, v) between nodes (rep, fp) within ``max_bits`` of each other.
+
+    Such a pair differs in ``max_bits`` bytes at most; ``least_shared`` may name a smaller
+    number of bytes for the index, the minimum for a pair stays.
+    """
+    minimum = 8 - max_bits
+    retained = shared_bytes(nodes, least_shared or minimum).filter(F.col("shared") >= minimum)
+    return retained.filter(F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= max_bits).select("u", "v")
 
 
 def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +134,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
     A group is connected by fingerprints within ``MAX_BITS`` and by five-word
     shingle similarity of 0.8 or more (``shingle_links``). Of rows that repeat a
-    kept doc_id, one stays. Rows with a null doc_id all stay.
+    kept doc_id, that with the least hash stays. Rows with a null doc_id all stay.
     """
     kept_id, times = (free_prefix(docs) + c for c in ("kept", "times"))
     fps, nodes = _nodes(docs.select("doc_id", "text"))
@@ -131,5 +144,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     kept = ids.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").withColumnRenamed("doc_id", kept_id)
     joined = docs.join(kept, docs["doc_id"].cast("long") == kept[kept_id])
     single = joined.filter(F.col(times) == 1).select(*quoted(docs.columns))
-    repeated = joined.filter(F.col(times) > 1).select(*quoted(docs.columns)).dropDuplicates(["doc_id"])
+    rows = joined.filter(F.col(times) > 1)
+    rule = F.struct(F.sha2(F.col("text").cast("binary"), 256), F.xxhash64(*quoted(docs.columns)))
+    repeated = rows.groupBy(kept_id).agg(F.min_by(F.struct(*quoted(docs.columns)), rule).alias(times)).select(*[F.col(times).getField(c).alias(c) for c in docs.columns])
     return single.unionByName(repeated).unionByName(docs.filter("doc_id is null"))

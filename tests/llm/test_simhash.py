@@ -111,3 +111,26 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in star_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 50)}
+
+
+def test_tally_of_shared_bytes(spark):
+    """The lists that a pair meets in tell its shared bytes; pairs under the minimum are not retained."""
+    rng = random.Random(12)
+    base = [rng.randrange(1 << 64) for _ in range(30)]
+    fps = {f for x in base for f in (x, x ^ 1, x ^ (1 << 9), x ^ 1 ^ (1 << 63), x ^ 7, x ^ 0x010101, x ^ 0x0101010101)}
+    signed = {f: f - (1 << 64) if f >= 1 << 63 else f for f in fps}
+    nodes = spark.createDataFrame(list(enumerate(signed.values())), "rep long, fp long")
+    of = {v: k for k, v in signed.items()}
+    shared = lambda a, b: sum(x == y for x, y in zip(a.to_bytes(8, "big"), b.to_bytes(8, "big"), strict=True))
+    for least in (6, 5):
+        found = {(of[r["left"]], of[r["right"]]): r["shared"] for r in simhash.shared_bytes(nodes, least).collect()}
+        want = {(a, b): shared(a, b) for a in fps for b in fps if signed[a] < signed[b] and shared(a, b) >= least}
+        assert found == want
+    # With five bytes in the index the count filter takes the pairs under six away, and the links are the same.
+    assert set(want.values()) == {5, 6, 7} and sorted(simhash.near_links(nodes, least_shared=5).collect()) == sorted(simhash.near_links(nodes).collect())
+
+
+def test_the_row_that_stays_is_chosen_by_a_rule(spark):
+    rows = [(1, "one two three", "a", 1), (1, "four five six", "b", 2), (1, "four five six", "c", 3), (2, "seven eight nine ten", "d", 4)]
+    kept = {tuple(simhash.one_of_each_group(spark.createDataFrame(rows[i:] + rows[:i], "doc_id long, text string, lang string, n int").repartition(1 + i)).filter("doc_id = 1").first()) for i in range(4)}
+    assert len(kept) == 1
