@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fablespark.functions.position import at_or_before_sql
-from fablespark.operators import characters, graph, relations
+from fablespark.operators import characters, graph, intervals, relations
 from fablespark.plans.domain import Domain, query
 from fablespark.sources import ontology
 from fablespark.sources.stores import checksum
@@ -135,6 +135,16 @@ arcs AS (SELECT subject, object, family, CAST(state_no AS BIGINT) AS state_no, p
 marked AS (SELECT *, CASE WHEN predicate || '>' || next_predicate IN ({", ".join(f"'{a}>{b}'" for a, b in ontology.TRANSITIONS)}) THEN 'superseded' WHEN next_predicate IS NULL THEN 'active' ELSE 'ended' END AS status FROM arcs)"""
 
 
+@query("""WITH a AS (SELECT subject, object, predicate, book_order * 100 + chapter AS pos FROM assertion), w AS (SELECT subject, object, predicate, min(pos) AS first_at, max(pos) AS last_at, count(*) AS evidence_count FROM a GROUP BY ALL),
+p AS (SELECT DISTINCT subject, object, pos FROM a) SELECT p.subject, p.object, p.pos, w.predicate, w.evidence_count FROM p JOIN w ON p.subject = w.subject AND p.object = w.object AND p.pos BETWEEN w.first_at AND w.last_at""")
+def states_at(d: Domain) -> DataFrame:
+    """The relations of a pair that hold at each position of the pair; their windows overlap."""
+    a = d["assertion"].select("subject", "object", "predicate", (F.col("book_order") * 100 + F.col("chapter")).alias("pos"))
+    windows = a.groupBy("subject", "object", "predicate").agg(F.min("pos").alias("first_at"), F.max("pos").alias("last_at"), F.count("*").alias("evidence_count"))
+    found = intervals.inside_windows(a.select("subject", "object", "pos").distinct(), windows, ["subject", "object"], "pos")
+    return found.select("subject", "object", "pos", "predicate", "evidence_count")
+
+
 @query(f"{ARCS} SELECT * FROM marked")
 def arc_states(d: Domain) -> DataFrame:
     return relations.arcs(d["assertion"])
