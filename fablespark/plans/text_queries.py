@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fablespark.functions import text as T
-from fablespark.operators import chapters, characters, context_links, phrases, quotes, relations, retrieval
+from fablespark.operators import chapters, characters, context_links, phrases, quotes, relations, retrieval, substrings
 from fablespark.operators.components import cut_lineage
 from fablespark.plans import ask as asking
 from fablespark.plans.domain import Domain, query
@@ -191,6 +191,15 @@ def mention_discovery(d: Domain) -> DataFrame:
     return characters.mentions(d["documents"], "doc_id")
 
 
+@query("""WITH n AS (SELECT s_suppkey AS needle_id, right(s_name, 4) AS needle FROM supplier UNION ALL SELECT -1 - n_nationkey, CAST(n_nationkey AS VARCHAR) FROM nation)
+SELECT needle_id, c_custkey AS name_id FROM n JOIN customer ON contains(c_name, needle)""")
+def name_substrings(d: Domain) -> DataFrame:
+    """All customers whose name holds the end of a supplier's name, or a nation's number."""
+    ends = d["supplier"].select(F.col("s_suppkey").cast("long").alias("needle_id"), F.expr("right(s_name, 4)").alias("needle"))
+    short = d["nation"].select((-1 - F.col("n_nationkey")).cast("long").alias("needle_id"), F.col("n_nationkey").cast("string").alias("needle"))
+    return substrings.search_names(ends.unionByName(short), d["customer"].select(F.col("c_custkey").alias("name_id"), F.col("c_name").alias("name")))
+
+
 _FLAT = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
