@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from fablespark.functions.position import position
 from fablespark.functions.text import HONORIFICS, bare_name, cosine, family_name_key, formal_name, generation, normal_name
 from fablespark.operators.components import connected_components
+from fablespark.operators.pairs import pairs_within
 
 # Words that begin sentences or stand for persons but name none.
 NOT_NAMES = ("the", "a", "an", "he", "she", "it", "they", "we", "you", "i", "his", "her", "this", "that", "of", "and", "but", "in", "on", "at", "to", "as", "by", "for", "with", "from", "is", "was")
@@ -252,10 +253,7 @@ def cannot_links(mention_rows: DataFrame, kinship: DataFrame, lifespans: DataFra
     ``kinship`` (u, v), ``lifespans`` (node, key, first_at, last_at), ``names``
     (node, name).
     """
-    seen = mention_rows.select("scene_id", "key", "node").distinct()
-    a, b = seen.alias("a"), seen.alias("b")
-    together = a.join(b, (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")))
-    together = together.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.lit("co_presence").alias("reason"))
+    together = pairs_within(mention_rows, ["scene_id", "key"], "node").select("u", "v", F.lit("co_presence").alias("reason"))
     kin = kinship.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.lit("kinship").alias("reason"))
     x, y = lifespans.alias("x"), lifespans.alias("y")
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).filter("x.last_at < y.first_at or y.last_at < x.first_at")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fablespark.functions.position import position
+from fablespark.operators.pairs import pairs_within
 from fablespark.sources import ontology
 from fablespark.sources.schema import QUOTE_MAX
 
@@ -139,12 +140,8 @@ def scene_participants(mention_rows: DataFrame, scene: list[str]) -> DataFrame:
 
 
 def co_occurrence(participants: DataFrame, scene: list[str]) -> DataFrame:
-    """(u, v, weight): scenes that two characters share. Scenes are small; pairs meet by scene key."""
-    p = participants.select(*scene, "character_id").distinct()
-    a, b = p.alias("a"), p.alias("b")
-    on = [F.col(f"a.{s}") == F.col(f"b.{s}") for s in scene]
-    joined = a.join(b, on + [F.col("a.character_id") < F.col("b.character_id")])
-    return joined.groupBy(F.col("a.character_id").alias("u"), F.col("b.character_id").alias("v")).agg(F.count("*").alias("weight"))
+    """(u, v, weight): scenes that two characters share. Pairs meet by scene, those of large scenes block by block."""
+    return pairs_within(participants, scene, "character_id").groupBy("u", "v").agg(F.count("*").alias("weight"))
 
 
 def pass_two_candidates(chunks: DataFrame, min_roster_mentions: int = 2) -> DataFrame:

@@ -111,5 +111,6 @@ class ObjectStore:
 
 
 def checksum(df: DataFrame) -> DataFrame:
-    """(n, checksum): the same for the same rows in any order."""
-    return df.select(F.xxhash64(*sorted(df.columns)).alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("checksum"))
+    """(n, checksum): the same for the same rows in any order; a sum beside the xor, in which equal rows would cancel out."""
+    sums = F.concat_ws(":", F.bit_xor("h").cast("string"), F.sum(F.col("h").cast("decimal(20,0)")).cast("string"))
+    return df.select(F.xxhash64(*sorted(df.columns)).alias("h")).agg(F.count("*").alias("n"), sums.alias("checksum"))
