@@ -211,8 +211,8 @@ def stream_spend(d: Domain) -> DataFrame:
 
     from fablespark.operators.components import checkpoint_folder
 
-    name = f"spend_{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(d.spark)}/spend_{uuid.uuid4().hex}"
     raw = d.spark.readStream.schema(d["events"].schema).option("pathGlobFilter", "events.parquet").parquet(d.sf_dir)
     stream = raw.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.col("value").alias("cost"))
-    streams.run_available(streams.tumbling_spend(stream), name, f"{checkpoint_folder(d.spark)}/{name}")
-    return d.spark.table(name).select(F.to_date("start").alias("day"), "stage", F.round("spend", 4).alias("spend"), "n")
+    spent = streams.run_available(streams.tumbling_spend(stream), f"{folder}/table", f"{folder}/progress")
+    return spent.select(F.to_date("start").alias("day"), "stage", F.round("spend", 4).alias("spend"), "n")

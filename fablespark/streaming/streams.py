@@ -26,11 +26,11 @@ def sessions(events: DataFrame, user: str = "user_id", gap: str = "30 minutes",
     return grouped.groupBy(user, F.session_window("ts", gap)).agg(F.count("*").alias("turns"), F.max("value").alias("peak")).select(user, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "turns", "peak")
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Drive what is there into a memory table and stop."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Drive what is there into a Parquet table that executors write, each row once even if a run is repeated, and read that table."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
 
 
 def on_late_books(stream: DataFrame, recompute: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:

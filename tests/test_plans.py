@@ -222,6 +222,15 @@ def test_stream_matches_batch_and_late_books_recompute(spark, sf, tmp_path):
     assert sum(seen) == 1
 
 
+def test_a_repeated_run_of_a_stream_adds_nothing(spark, tmp_path):
+    events = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, id) AS ts, 'x' AS stage, 1.0D AS cost FROM range(9)")
+    events.write.parquet(f"file://{tmp_path}/in")
+    for _ in range(2):
+        stream = spark.readStream.schema(events.schema).parquet(f"file://{tmp_path}/in")
+        out = streams.run_available(streams.tumbling_spend(stream), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
+        assert sorted((str(r["start"])[:10], r["n"]) for r in out.collect()) == [(f"2024-01-0{i}", 1) for i in range(1, 7)]
+
+
 def test_pending_and_expired_threads(spark):
     tasks = spark.createDataFrame([(1,), (2,)], "task_id int")
     assert [r[0] for r in streams.pending_threads(tasks, tasks.filter("task_id = 1")).collect()] == [2]
