@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fablespark.functions import text as T
-from fablespark.operators import chapters, characters, context_links, phrases, quotes, relations, retrieval, substrings
+from fablespark.operators import chapters, characters, context_links, encoding, phrases, quotes, relations, retrieval, substrings
 from fablespark.operators.components import cut_lineage
 from fablespark.plans import ask as asking
 from fablespark.plans.domain import Domain, query
@@ -191,6 +191,14 @@ def mention_discovery(d: Domain) -> DataFrame:
     return characters.mentions(d["documents"], "doc_id")
 
 
+@query("""WITH c AS (SELECT doc_id, [length(text) - length(replace(text, x, '')) FOR x IN ['a', 'e', 'i', 'o', 'u']] AS n FROM documents)
+SELECT doc_id, """ + ", ".join(f"round(CASE WHEN t > 0 THEN n[{i + 1}] / sqrt(t) ELSE 0 END, 9) AS {v}" for i, v in enumerate("aeiou")) + " FROM (SELECT *, CAST(list_sum([x * x FOR x IN n]) AS DOUBLE) AS t FROM c)")
+def encoded_documents(d: Domain) -> DataFrame:
+    """Vectors of all documents from an encoder that counts vowels, in batches bounded by texts and tokens."""
+    found = encoding.encode_missing(d["documents"].select("doc_id", "text"), lambda texts: [[t.count(v) for v in "aeiou"] for t in texts])
+    return found.select("doc_id", *[F.round(F.col("embedding")[i], 9).alias(v) for i, v in enumerate("aeiou")])
+
+
 @query("""WITH n AS (SELECT s_suppkey AS needle_id, right(s_name, 4) AS needle FROM supplier UNION ALL SELECT -1 - n_nationkey, CAST(n_nationkey AS VARCHAR) FROM nation)
 SELECT needle_id, c_custkey AS name_id FROM n JOIN customer ON contains(c_name, needle)""")
 def name_substrings(d: Domain) -> DataFrame:
@@ -303,6 +311,18 @@ def name_resolution(d: Domain) -> DataFrame:
     return _name_resolution(d, d["customer"].select(query.alias("query")))
 
 
+@query("""SELECT ['exact ', 'alias ', 'nickname ', 'order '][c_custkey % 4 + 1] || digits AS query, c_custkey AS character_id, ['exact', 'alias', 'nickname', 'nickname'][c_custkey % 4 + 1] AS method, 1 AS rank
+FROM (SELECT c_custkey, regexp_extract(c_name, '[0-9]+') AS digits FROM customer)""")
+def name_stages(d: Domain) -> DataFrame:
+    """A name in other letters, by its alias, by a nickname with an honorific, and family name first: the first stage that hits."""
+    digits, k = F.regexp_extract("c_name", "[0-9]+", 0), F.col("c_custkey") % 4
+    forms = F.array(F.concat(F.lit("ELIZABETH  "), digits, F.lit("!")), F.concat(F.lit("shade "), digits), F.concat(F.lit("Miss Lizzy "), digits), F.concat(digits, F.lit(", Elizabeth")))
+    asked = d["customer"].select(F.get(forms, k.cast("int")).alias("query"), F.concat_ws(" ", F.get(F.array(*map(F.lit, ("exact", "alias", "nickname", "order"))), k.cast("int")), digits).alias("name"))
+    people = d["customer"].select(F.col("c_custkey").alias("character_id"), F.concat(F.lit("Elizabeth "), digits).alias("canonical_name"), F.array(F.concat(F.lit("Shade "), digits)).alias("aliases"))
+    found = characters.resolve_names(asked.select("query"), people)
+    return found.join(asked, "query").select(F.col("name").alias("query"), "character_id", "method", "rank")
+
+
 def _name_resolution(d: Domain, q: DataFrame) -> DataFrame:
     people = d["customer"].select(F.col("c_custkey").alias("character_id"), F.col("c_name").alias("canonical_name"), F.array("c_mktsegment").alias("aliases"))
     return characters.resolve_names(q, people)
