@@ -65,9 +65,14 @@ def outcome_mix(tasks: DataFrame, statuses: list[str]) -> DataFrame:
     return tasks.groupBy("task_type").pivot("status", statuses).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def review_queue(tasks: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """queue_no: greatest blast radius first, then oldest."""
-    return tasks.withColumn("queue_no", F.row_number().over(Window.partitionBy(*(by or ["project_id"])).orderBy(F.desc("priority"), "created_at", "task_id")))
+#: Orders of the review queue: what comes first.
+QUEUE_ORDERS = {"priority": lambda: F.desc("priority"), "age": lambda: F.asc("created_at"), "confidence": lambda: F.asc_nulls_first("confidence"), "importance": lambda: F.desc_nulls_last("importance")}
+
+
+def review_queue(tasks: DataFrame, by: list[str] | None = None, order: str = "priority") -> DataFrame:
+    """queue_no: greatest blast radius first (or oldest, least confidence, greatest importance), then oldest."""
+    first = QUEUE_ORDERS[order]()
+    return tasks.withColumn("queue_no", F.row_number().over(Window.partitionBy(*(by or ["project_id"])).orderBy(first, "created_at", "task_id")))
 
 
 def policy_at(queries: DataFrame, policies: DataFrame, purpose: str, at: str, unit: str = "day", span: int = 1_000_000) -> DataFrame:

@@ -72,6 +72,15 @@ def review_queue(d: Domain) -> DataFrame:
     return ops.review_queue(_tasks(d).filter("status = 'open'")).select("task_id", "queue_no")
 
 
+@query("""SELECT p_partkey AS task_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 7, p_name, p_partkey) AS by_confidence, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_name, p_partkey) AS by_importance, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS by_age FROM part""")
+def review_orders(d: Domain) -> DataFrame:
+    """The queue by confidence, importance and age."""
+    out = d["part"].select(F.col("p_partkey").alias("task_id"), F.col("p_brand").alias("project_id"), F.col("p_name").alias("created_at"), (F.col("p_size") % 7).alias("confidence"), F.col("p_size").alias("importance"))
+    for order in ("confidence", "importance", "age"):
+        out = ops.review_queue(out, order=order).withColumnRenamed("queue_no", f"by_{order}")
+    return out.select("task_id", "by_confidence", "by_importance", "by_age")
+
+
 @query("SELECT user_id AS task_id, min(event_id) AS resolution_id, arg_min(event_type, event_id) AS outcome FROM events GROUP BY user_id")
 def first_resolution(d: Domain) -> DataFrame:
     rows = d["events"].select(F.col("user_id").alias("task_id"), F.col("ts").alias("resolved_at"), F.col("event_id").alias("resolution_id"), F.col("event_type").alias("outcome"))
