@@ -23,3 +23,11 @@ def test_empty(spark):
     names = spark.createDataFrame([(1, "abc")], "name_id int, name string")
     needles = spark.createDataFrame([(1, "b")], "needle_id int, needle string")
     assert search_names(needles.limit(0), names).count() == search_names(needles, names.limit(0)).count() == 0
+
+
+def test_postings_are_never_broadcast(spark):
+    names = spark.range(50).selectExpr("id name_id", "concat('Customer#', 1000 + id) name")
+    needles = spark.range(20).selectExpr("id needle_id", "cast(1000 + id % 10 as string) needle")
+    found = search_names(needles, names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [gram" in plan and sorted(map(tuple, found.collect())) == [(i, n) for i in range(20) for n in range(50) if n == i % 10]
