@@ -191,21 +191,24 @@ def resolve_names(queries: DataFrame, characters: DataFrame, max_edits: int = 2,
     normalised names that have a deletion variant in common, which loses none.
     With an ``encoder`` (text to vector) what is still left is compared by cosine
     with the names that have a word in common; the nearest count.
+    Names, and what they are exploded into, are merged: Spark rates an exploded
+    table by the size of its source, and would send all variants through the driver.
     """
     q = queries.select("query", normal_name(F.col("query")).alias("k"), formal_name(F.col("query")).alias("f"))
     names = characters.select("character_id", normal_name(F.col("canonical_name")).alias("k"), formal_name(F.col("canonical_name")).alias("f"))
     aliases = characters.select("character_id", F.explode("aliases").alias("alias")).select("character_id", normal_name(F.col("alias")).alias("k"))
     stage = lambda df, m, p: df.select("query", "character_id", F.lit(m).alias("method"), F.lit(p).alias("priority"))
-    hits = stage(q.join(names, "k"), "exact", 1).unionByName(stage(q.join(aliases, "k"), "alias", 2)).unionByName(stage(q.join(names, "f"), "nickname", 3))
-    rest = q.join(hits.select("query").distinct(), "query", "left_anti").select("query", "k").distinct()
+    merged = lambda a, b, *on: a.hint("merge").join(b, *on)
+    hits = stage(merged(q, names, "k"), "exact", 1).unionByName(stage(merged(q, aliases, "k"), "alias", 2)).unionByName(stage(merged(q, names, "f"), "nickname", 3))
+    rest = merged(q, hits.select("query").distinct(), "query", "left_anti").select("query", "k").distinct()
     variants = lambda df, k: df.withColumn("variant", F.explode(deletion_variants(F.col(k), max_edits)))
     named = names.select("character_id", F.col("k").alias("nk"))
-    fuzzy = variants(rest, "k").join(variants(named, "nk"), "variant").filter(F.levenshtein("k", "nk") <= max_edits)
+    fuzzy = merged(variants(rest, "k"), variants(named, "nk"), "variant").filter(F.levenshtein("k", "nk") <= max_edits)
     hits = hits.unionByName(stage(fuzzy, "fuzzy", 4))
     if encoder is not None:
-        left = rest.join(fuzzy.select("query").distinct(), "query", "left_anti")
+        left = merged(rest, fuzzy.select("query").distinct(), "query", "left_anti")
         words = lambda df, k: df.withColumn("word", F.explode(F.array_distinct(F.split(F.col(k), " ")))).filter("word <> ''")
-        met = words(left, "k").join(words(named, "nk"), "word").select("query", "k", "character_id", "nk").distinct()
+        met = merged(words(left, "k"), words(named, "nk"), "word").select("query", "k", "character_id", "nk").distinct()
         near = met.withColumn("cosine", F.round(cosine(encoder(F.col("k")), encoder(F.col("nk"))), 9)).filter(F.col("cosine") >= least_cosine)
         most = near.groupBy("query").agg(F.max("cosine").alias("cosine"))
         hits = hits.unionByName(stage(near.join(most, ["query", "cosine"]), "embedding", 5))

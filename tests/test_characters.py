@@ -148,3 +148,11 @@ def test_death_blocks_a_match(spark):
     found = spark.createDataFrame([(1, "a", "Tom Hale", 5, 5, 1), (1, "b", "Tom Hale", 5, 2, 1)], "project_id int, cluster_key string, name string, mention_count int, first_book_order int, first_chapter int")
     people = spark.createDataFrame([(1, 7, "Captain Tom Hale", "major", 2, 9)], "project_id int, character_id int, canonical_name string, importance_tier string, died_book_order int, died_chapter int")
     assert [tuple(r) for r in ch.cross_book_blocks(found, people).collect()] == [("a", 7, "death")]
+
+
+def test_exploded_names_are_never_broadcast(spark):
+    people = spark.range(9).selectExpr("id character_id", "concat('Person ', 100 + id * 11) canonical_name", "array('Shade') aliases")
+    found = ch.resolve_names(spark.sql("SELECT 'Prson 100' query"), people)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [variant" in plan and "BroadcastHashJoin" not in plan
+    assert [tuple(r) for r in found.collect()] == [("Prson 100", 0, "fuzzy", 1)]
