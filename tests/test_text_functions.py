@@ -76,3 +76,8 @@ def test_auto_numbers_count_chapters_only_when_asked(spark):
     every = [r["auto_number"] for r in chapters.auto_number(rows, ["book"], "at").orderBy("at").collect()]
     some = [r["auto_number"] for r in chapters.auto_number(rows, ["book"], "at", only=F.col("ch")).orderBy("at").collect()]
     assert every == [1, 2, 3, 9, 10] and some == [1, None, 2, 9, 10]
+
+
+@pytest.mark.parametrize("text,yes", [("20.118.157.107 Betz +1 (726) 555-7857", False), ("12:30 at the station", False), ("20. The Station", True), ("4: 1066", True), ("IV - Home", True), ("20", True)])
+def test_longer_numbers_are_no_chapter_headings(spark, text, yes):
+    assert one(spark, T.parse_heading(F.lit(text))["is_chapter"]) is yes
