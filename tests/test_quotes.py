@@ -132,3 +132,21 @@ def test_empty_tables(spark):
     asked = spark.createDataFrame([(1, "abc")], "quote_id int, quote string")
     assert locate_quotes(none, asked).count() == 0
     assert locate_quotes(spark.createDataFrame([(1, "abc")], "chunk_id int, text string"), asked.limit(0)).count() == 0
+
+
+def test_drift_in_documents_that_hold_the_quote_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    quote = "The cafe keeper poured another cup of coffee before the clock struck seven in the evening"
+    lost = quote.replace("of ", "").replace("coffee ", "", 1)
+    texts = [f"So: {quote}.", f"Near {quote.replace('clock', 'cloak')}.", quote.upper(), f"{quote.upper()} {quote.replace('coffee ', '').upper()}", f"{quote} {lost}", "nothing"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, quote), (1, "by twos")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = db.execute(entry.oracle_sql()["quote_drift"]).fetchall()
+    found = [tuple(r) for r in entry.queries()["quote_drift"](spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(want) and {r[0] for r in want} == {0, 2, 3, 4}
