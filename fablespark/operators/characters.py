@@ -258,9 +258,10 @@ def cannot_links(mention_rows: DataFrame, kinship: DataFrame, lifespans: DataFra
     """
     together = pairs_within(mention_rows, ["scene_id", "key"], "node").select("u", "v", F.lit("co_presence").alias("reason"))
     kin = kinship.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.lit("kinship").alias("reason"))
-    x, y = lifespans.alias("x"), lifespans.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).filter("x.last_at < y.first_at or y.last_at < x.first_at")
-    apart = apart.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.lit("lifespan").alias("reason"))
+    # Spans go along with their nodes, so that the pairs of a key are made block by block.
+    spans = lifespans.filter("node is not null").select("key", F.struct("node", "first_at", "last_at").alias("span"))
+    apart = pairs_within(spans, ["key"], "span").filter("u.node < v.node and (u.last_at < v.first_at or v.last_at < u.first_at)")
+    apart = apart.select("u.node", F.col("v.node").alias("v"), F.lit("lifespan").alias("reason")).withColumnRenamed("node", "u")
     found = together.unionByName(kin).unionByName(apart)
     if names is not None:
         found = found.unionByName(generation_links(names))
