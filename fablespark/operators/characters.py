@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -217,19 +218,26 @@ def resolve_names(queries: DataFrame, characters: DataFrame, max_edits: int = 2,
     return top.filter("rank = 1")
 
 
+def _key_links(names: DataFrame) -> list[DataFrame]:
+    """Links (u, v, method) of each stage: from a name to the least of those with its key."""
+    stages = [("normalised", normal_name(F.col("name"))), ("honorific", bare_name(F.col("name"))), ("nickname", formal_name(F.col("name")))]
+    out = []
+    for method, key in stages:
+        keyed = names.select("project_id", "node", key.alias("k")).filter("k <> '' and project_id is not null")
+        least = F.min("node").over(Window.partitionBy("project_id", "k"))
+        out.append(keyed.select(F.col("node").alias("u"), least.alias("v"), F.lit(method).alias("method")).filter("u <> v"))
+    return out
+
+
 def match_links(names: DataFrame, cannot_link: DataFrame | None = None) -> DataFrame:
     """Links (u, v, method) between names of one project by equal keys, cheapest stage first.
 
     Each key group is linked to its least member, so a group of n names gives
     n - 1 links. Pairs that must stay apart are left out.
     """
-    stages = [("normalised", normal_name(F.col("name"))), ("honorific", bare_name(F.col("name"))), ("nickname", formal_name(F.col("name")))]
-    out = None
-    for method, key in stages:
-        keyed = names.select("project_id", "node", key.alias("k")).filter("k <> ''")
-        least = keyed.groupBy("project_id", "k").agg(F.min("node").alias("v"))
-        links = keyed.join(least, ["project_id", "k"]).filter("node <> v").select(F.col("node").alias("u"), "v", F.lit(method).alias("method"))
-        out = links if out is None else out.unionByName(links.join(out, ["u", "v"], "left_anti"))
+    out, *later = _key_links(names)
+    for links in later:
+        out = out.unionByName(links.join(out, ["u", "v"], "left_anti"))
     if cannot_link is not None:
         both = cannot_link.select("u", "v").unionByName(cannot_link.select(F.col("v").alias("u"), F.col("u").alias("v")))
         out = out.join(both, ["u", "v"], "left_anti")
@@ -238,7 +246,8 @@ def match_links(names: DataFrame, cannot_link: DataFrame | None = None) -> DataF
 
 def cluster_aliases(names: DataFrame, cannot_link: DataFrame | None = None) -> DataFrame:
     """(node, cluster). A cluster that holds a pair that must stay apart falls back to exact names."""
-    links = match_links(names, cannot_link)
+    # How a link was found is of no use here, so it may come from several stages.
+    links = reduce(DataFrame.unionByName, _key_links(names)) if cannot_link is None else match_links(names, cannot_link)
     nodes = names.select("node").distinct()
     clusters = connected_components(nodes, links)
     if cannot_link is None:

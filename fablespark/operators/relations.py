@@ -57,15 +57,17 @@ def validate(assertions: DataFrame, roster: DataFrame | None = None, texts: Data
     return df.withColumn("rejected_because", reason).drop("_subject", "_object", "_text")
 
 
-def aggregate_edges(assertions: DataFrame, keys: tuple[str, ...] = ("subject", "predicate", "object"), keep_evidence: bool = False) -> DataFrame:
+def aggregate_edges(assertions: DataFrame, keys: tuple[str, ...] = ("subject", "predicate", "object"), keep_evidence: bool = False, settled: bool = False) -> DataFrame:
     """One edge for all assertions of a fact: evidence count, confidence, hearsay, first and last position, pages.
 
     Confidence is agreement times one minus the product of what each item
     leaves open; agreement is the predicate's share of the pair's evidence
     within its family. ``keep_evidence`` collects the items as well; without it
-    the edge stays small whatever its evidence.
+    the edge stays small whatever its evidence. ``settled`` says that the
+    assertions are in canonical form already; if they are also dealt by some of
+    ``keys`` without the predicate, they stay where they are.
     """
-    rows = canonical(assertions).filter("subject <> object").withColumn("family", family(F.col("predicate")))
+    rows = (assertions if settled else canonical(assertions)).filter("subject <> object").withColumn("family", family(F.col("predicate")))
     where = position(F.col("book_order"), F.col("chapter"))
     parts = [
         F.count("*").alias("evidence_count"),
