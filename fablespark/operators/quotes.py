@@ -28,6 +28,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ PIECE, WANTED = 6, 3
 #: Lengths of seeds: each piece takes the greatest that it holds.
 SEED_SIZES = (12, 8, 6, 5, 4, 3, 2, 1)
 MAX_BITS = 27
+#: Characters of texts that a task works on at once (a single text may have more): what it holds doesn't go by the rows of a batch.
+SLICE_CHARS = 500_000
 _BUCKET = 32768  # bits of one bitmap row of bitmap_construct_agg
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -62,6 +65,19 @@ def cut(quote: str, max_share: float = MAX_SHARE) -> tuple[list[tuple[int, str]]
     return [(a, quote[a:b]) for a, b in zip(ends, ends[1:], strict=False)], wanted
 
 
+def slices(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about ``SLICE_CHARS`` bytes of the given text columns; nothing is copied."""
+    for b in batches:
+        size = sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy().astype(np.int64) for c in columns)
+        ends = np.cumsum(size)
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SLICE_CHARS, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def gram_hashes(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """For each size the hashes of so many code points at each place, 64 bits, mixed; one pass for all sizes."""
     h = np.zeros(len(codes), np.uint64)
@@ -116,7 +132,7 @@ def postings(chunks: DataFrame, sizes: list[int], bits: int, bitmap: bytes) -> D
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(shared.value, np.uint8)
-        for b in batches:
+        for b in slices(batches, 1):
             texts = [flat(t.as_py()) for t in b.column(1)]
             ends = np.cumsum([len(t) + 1 for t in texts])
             codes = _codes("\n".join(texts))  # no normalised text holds a line end, so no seed runs over one
@@ -228,7 +244,7 @@ _FOUND = "method string, first_char int, last_char int, distance int"
 
 def _locating(batches: Iterator[pa.RecordBatch], max_share: float) -> Iterator[pa.RecordBatch]:
     """Batches whose last columns are text, quote and, perhaps null, starts."""
-    for b in batches:
+    for b in slices(batches, -3, -2):
         rows = [locate(t, q, s, max_share) if t is not None and q is not None else (None,) * 4 for t, q, s in zip(*[c.to_pylist() for c in b.columns[-3:]], strict=True)]
         cols = list(zip(*rows, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(cols[0], pa.string()), *[pa.array(c, pa.int32()) for c in cols[1:]]], names=[*b.schema.names[:-3], "method", "first_char", "last_char", "distance"])
