@@ -9,7 +9,9 @@ what merging the nearest pair first gives.
 
 A label of at most ``ONE_TASK`` clusters is finished in one task. A larger one is cut in
 chunks of ``CHUNK`` clusters; a task holds two chunks, those that look for a neighbour and
-those they look at, and returns one neighbour for each. After a round only merged clusters
+those they look at, and returns one neighbour for each. A label is cut in at most ``GRID`` chunks, so what is
+shuffled in a round grows with the clusters and not with their square; clusters are copied
+for as many chunks as those that ask fill. After a round only merged clusters
 and those whose neighbour merged look again. Merges are written down as links; the
 clusters are what these connect.
 
@@ -32,8 +34,12 @@ from fablespark.operators.components import connected_components, written
 
 #: Labels with at most so many clusters left are finished in one task.
 ONE_TASK = 2000
-#: Clusters that a task compares with as many others.
-CHUNK = 1000
+#: Clusters that a task compares with as many others; more, where a label would fill over GRID such chunks.
+CHUNK = 4000
+#: A cluster goes to so many tasks of a round at most on either side, however large its label.
+GRID = 16
+#: Similarities that a task holds at once.
+HELD = 4_000_000
 DIGITS = 12
 
 
@@ -86,11 +92,17 @@ def _finish(clusters: DataFrame, threshold: float, kind: str) -> DataFrame:
     return clusters.groupBy("label").applyInPandas(run, f"u {kind}, v {kind}")
 
 
+def _chunks(n: Column) -> Column:
+    return F.least(F.ceil(n / CHUNK), F.lit(GRID)).cast("int")
+
+
 def _neighbours(asking: DataFrame, clusters: DataFrame, threshold: float, kind: str, label_kind: str) -> DataFrame:
     """(label, id, near, sim) for those ``asking`` that have a neighbour at the threshold. Both frames have (label, id, total, n, chunk, chunks)."""
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias(name)
-    left = asking.select("label", "id", "total", "n", F.col("chunk").alias("row"), every("col"))
-    right = clusters.select("label", "id", "total", "n", F.col("chunk").alias("col"), every("row"))
+    asked = written(asking.groupBy("label").agg(_chunks(F.count("*")).alias("rows")))  # a row a label
+    both = lambda df: df.join(asked.select(F.col("label").alias("l"), "rows"), F.col("label").eqNullSafe(F.col("l"))).drop("l")
+    left = both(asking).select("label", "id", "total", "n", F.pmod(F.xxhash64("id"), F.col("rows")).cast("int").alias("row"), every("col"))
+    right = both(clusters).select(*[F.col(c).alias(c) for c in ("label", "id", "total", "n")], F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.col("chunk").alias("col"))
     keys = ["label", "row", "col"]
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -99,10 +111,14 @@ def _neighbours(asking: DataFrame, clusters: DataFrame, threshold: float, kind:
             return none
         b = b.sort_values("id")
         ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        sim = np.round(_matrix(a["total"]) @ _matrix(b["total"]).T / np.outer(a["n"].to_numpy(float), b["n"].to_numpy(float)), DIGITS)
-        sim[ids[:, None] == others[None, :]] = -np.inf
-        best = sim.argmax(axis=1)  # the first of equal ones has the smaller id
-        found = sim[np.arange(len(ids)), best]
+        x, y, m, n = _matrix(a["total"]), _matrix(b["total"]).T, a["n"].to_numpy(float), b["n"].to_numpy(float)
+        best, found = np.empty(len(ids), np.int64), np.empty(len(ids))
+        step = max(1, HELD // len(others))
+        for i in range(0, len(ids), step):
+            sim = np.round(x[i : i + step] @ y / np.outer(m[i : i + step], n), DIGITS)
+            sim[ids[i : i + step, None] == others[None, :]] = -np.inf
+            best[i : i + step] = sim.argmax(axis=1)  # the first of equal ones has the smaller id
+            found[i : i + step] = sim.max(axis=1)
         ok = found >= threshold
         return pd.DataFrame({"label": a["label"][ok].to_numpy(), "id": ids[ok], "near": others[best[ok]], "sim": found[ok]})
 
@@ -133,7 +149,7 @@ def cluster_contexts(contexts: DataFrame, block: str, node: str, vector: str, th
         joined = now.join(sizes.select(F.col("label").alias("l"), "left"), F.col("label").eqNullSafe(F.col("l"))).drop("l")
         small = joined.filter(F.col("left") <= ONE_TASK).select("label", "id", "total", "n")
         links.append(written(_finish(small, threshold, kind)))
-        chunks = F.ceil(F.col("left") / CHUNK).cast("int")
+        chunks = _chunks(F.col("left"))
         large = written(joined.filter(F.col("left") > ONE_TASK).select("label", "id", "total", "n", "near", "sim", chunks.alias("chunks"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk")))
         if large.isEmpty():
             break
