@@ -81,3 +81,21 @@ def test_auto_numbers_count_chapters_only_when_asked(spark):
 @pytest.mark.parametrize("text,yes", [("20.118.157.107 Betz +1 (726) 555-7857", False), ("12:30 at the station", False), ("20. The Station", True), ("4: 1066", True), ("IV - Home", True), ("20", True)])
 def test_longer_numbers_are_no_chapter_headings(spark, text, yes):
     assert one(spark, T.parse_heading(F.lit(text))["is_chapter"]) is yes
+
+
+@pytest.mark.parametrize("text,yes", [("Vi. Et pa dans le reste", False), ("Ci.", False), ("Mix: How to", False), ("CI.!! DIE!! ENTE!!", False), ("VI. THE RETURN", True), ("iv: the return", True), ("VI", True), ("tWo - Home", True), ("3: A Day", True)])
+def test_words_of_roman_letters_are_no_numerals(spark, text, yes):
+    assert one(spark, T.parse_heading(F.lit(text))["is_chapter"]) is yes
+
+
+def test_heading_pages_as_in_its_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    pages = [(1, "<h1>Vi. Et\x0bpa \n dans</h1>"), (2, "<h1> CI.!! DIE </h1>"), (3, "no heading"), (4, None), (5, "<h1>\x0bA b\r\n</h1><h1>c</h1>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = db.execute(entry.oracle_sql()["heading_pages"]).fetchall()
+    assert sorted(tuple(r) for r in entry.queries()["heading_pages"](spark, str(tmp_path)).collect()) == sorted(want)
