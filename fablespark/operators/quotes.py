@@ -9,9 +9,13 @@ with the quotes turns these into diagonals, and only where s different pieces li
 band of diagonals is the edit distance worked out, over that band. No pair of texts
 is compared without that proof, and none that is near enough is lost.
 
+A text holds all its places, so where the seeds are few (``NEAR_SEEDS``; their number goes by the quotes
+alone) they are sent to the texts: bands are counted and quotes located where a text is read, once, and
+nothing is shuffled. Beyond that, postings and quotes meet by a join, as follows.
+
 Only places whose hash is in a bitmap of all seed hashes become postings. The bitmap is
 built by an aggregate and has 2**27 bits at most (16 MB), however many quotes there are:
-more seeds make it less selective, never wrong. Texts are read twice, once for the
+more seeds make it less selective, never wrong. Texts are then read twice, once for the
 postings and once for the bands, and never copied a word or a place.
 
 Normalised: lower case, runs of anything but letters and digits one space. Cases: a quote
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -42,6 +47,10 @@ SEED_SIZES = (12, 8, 6, 5, 4, 3, 2, 1)
 MAX_BITS = 27
 #: Characters of texts that a task works on at once (a single text may have more): what it holds doesn't go by the rows of a batch.
 SLICE_CHARS = 500_000
+#: Up to so many seeds and characters of quotes (some 20 MB in all), quotes are sent to the texts.
+NEAR_SEEDS, NEAR_CHARS = 1 << 18, 1 << 24
+#: Pairs of a place and a seed that a task holds at once (a single text may have more).
+NEAR_HITS = 2_000_000
 _BUCKET = 32768  # bits of one bitmap row of bitmap_construct_agg
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -214,15 +223,15 @@ def original_span(text: str, begin: int, end: int) -> tuple[int, int]:
     return first + 1, last
 
 
-def locate(text: str, quote: str, starts: list[int] | None = None, max_share: float = MAX_SHARE) -> tuple[str | None, int | None, int | None, int | None]:
-    """(method, first, last, distance); without ``starts`` the pieces are looked for here."""
+def locate(text: str, quote: str, starts: list[int] | None = None, max_share: float = MAX_SHARE, plain: str | None = None) -> tuple[str | None, int | None, int | None, int | None]:
+    """(method, first, last, distance); without ``starts`` the pieces are looked for here. ``plain``: the text normalised, if that is known."""
     wanted = flat(quote)
     if not wanted:
         return None, None, None, None
     at = text.find(quote)
     if at >= 0:
         return "exact", at + 1, at + len(quote), 0
-    plain = flat(text)
+    plain = flat(text) if plain is None else plain
     at = plain.find(wanted)
     if at >= 0:
         return "normalised", *original_span(text, at, at + len(wanted)), 0
@@ -257,14 +266,121 @@ def locate_pairs(pairs: DataFrame, keys: list[str], text: str = "text", quote: s
     return rows.mapInArrow(partial(_locating, max_share=max_share), ", ".join([f"{c} {kinds[c]}" for c in keys] + [_FOUND]))
 
 
+@dataclass
+class SeedIndex:
+    """Few quotes with all their seeds, sorted by hash: what a task needs to locate them."""
+
+    ids: pa.Array  # of the quotes, each once
+    quotes: list[list[str]]  # the quotes of each id
+    sizes: list[int]
+    bits: int
+    bitmap: np.ndarray
+    hashes: np.ndarray  # each once
+    first: np.ndarray  # where the seeds of a hash begin
+    owner: np.ndarray  # of each seed: its place in ids, piece and offset
+    piece: np.ndarray
+    offset: np.ndarray
+    wanted: np.ndarray  # of each id
+    width: np.ndarray
+
+
+def seed_index(quotes: DataFrame, max_share: float = MAX_SHARE) -> SeedIndex | None:
+    """The index of quotes (quote_id, quote), if there are few enough of them to send it around."""
+    n, chars = quotes.agg(F.count("*"), F.coalesce(F.sum(F.length("quote")), F.lit(0))).first()
+    if n * WANTED + chars * max(max_share, 0) > NEAR_SEEDS or chars > NEAR_CHARS:
+        return None
+    asked, found = quotes.select("quote_id", "quote").toArrow(), seeds(quotes, max_share).toArrow()
+    ids = asked.column(0).combine_chunks().unique()
+    place = {v: i for i, v in enumerate(ids.to_pylist())}
+    texts: list[list[str]] = [[] for _ in place]
+    for i, q in zip(asked.column(0).to_pylist(), asked.column(1).to_pylist(), strict=True):
+        texts[place[i]].append(q)
+    hashes = found.column("hash").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    each, first = np.unique(hashes[order], return_index=True)
+    owner = np.array([place[v] for v in found.column("quote_id").to_pylist()], np.int64)[order]
+    piece, offset, size, wanted = (found.column(c).to_numpy().astype(np.int64)[order] for c in ("piece", "offset", "n", "wanted"))
+    # Quotes of one id: the least that one of them wants, the widest of their bands.
+    least, width = np.full(len(place), WANTED, np.int64), np.ones(len(place), np.int64)
+    np.minimum.at(least, owner, wanted)
+    np.maximum.at(width, owner, np.floor(size * max_share + 1e-9).astype(np.int64) + 1)
+    bits = max(15, min(MAX_BITS, (256 * max(1, len(each))).bit_length()))
+    at = (each >> np.uint64(64 - bits)).astype(np.int64)
+    bitmap = np.zeros((1 << bits) // 8, np.uint8)
+    np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return SeedIndex(ids, texts, sorted(set(found.column("size").to_pylist())), bits, bitmap, each, np.append(first, len(hashes)), owner, piece, offset, least, width)
+
+
+def near_quotes(plain: list[str], index: SeedIndex) -> Iterator[tuple[int, int, list[int]]]:
+    """(text, id, starts), by their places: what ``bands`` finds, in normalised texts at hand."""
+    ends = np.cumsum([len(t) + 1 for t in plain])
+    codes = _codes("\n".join(plain))  # no normalised text holds a line end, so no seed runs over one
+    places, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, h in gram_hashes(codes, index.sizes):
+        at = (h >> np.uint64(64 - index.bits)).astype(np.int64)
+        hit = np.flatnonzero((index.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+        seed = np.minimum(np.searchsorted(index.hashes, h[hit]), len(index.hashes) - 1)
+        same = index.hashes[seed] == h[hit]
+        places.append(hit[same])
+        which.append(seed[same])
+    at, seed = np.concatenate(places), np.concatenate(which)
+    times = index.first[seed + 1] - index.first[seed]
+    total = int(times.sum())
+    if total > NEAR_HITS and len(plain) > 1:
+        half = len(plain) // 2
+        yield from near_quotes(plain[:half], index)
+        for text, q, starts in near_quotes(plain[half:], index):
+            yield half + text, q, starts
+        return
+    row = np.repeat(index.first[seed] - np.cumsum(times) + times, times) + np.arange(total)
+    place = np.repeat(at, times)
+    text, q = np.searchsorted(ends, place, side="right"), index.owner[row]
+    pair, pairs, n = np.unique(text * len(index.ids) + q, return_inverse=True, return_counts=True)
+    keep = np.flatnonzero(n[pairs] >= index.wanted[q])
+    if not len(keep):
+        return
+    pairs, place, text, q, row = pairs[keep], place[keep], text[keep], q[keep], row[keep]
+    band = (place - np.where(text > 0, ends[text - 1], 0) - index.offset[row]) // index.width[q]
+    low = int(band.min()) - 1  # two neighbouring bands together hold an occurrence: each place counts in its own and the one before
+    count, pieces = int(band.max()) - low + 1, int(index.piece.max()) + 1
+    key = (pairs * count + band - low) * pieces + index.piece[row]
+    found, n = np.unique(np.unique(np.concatenate([key, key - pieces])) // pieces, return_counts=True)
+    owner = pair[found // count]
+    text, q = owner // len(index.ids), owner % len(index.ids)
+    keep = np.flatnonzero(n >= index.wanted[q])
+    starts = (found[keep] % count + low) * index.width[q[keep]]
+    cuts = [*np.flatnonzero(np.diff(owner[keep], prepend=-1)).tolist(), len(keep)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(text[keep[a]]), int(q[keep[a]]), starts[a:b].tolist()
+
+
+def locate_near(chunks: DataFrame, index: SeedIndex, kind: str, max_share: float = MAX_SHARE) -> DataFrame:
+    """``locate_quotes`` with few quotes (ids of type ``kind``): one pass over the texts."""
+    shared = chunks.sparkSession.sparkContext.broadcast(vars(index))  # bounded, see NEAR_SEEDS; executors needn't have this module
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = SeedIndex(**shared.value)
+        for b in slices(batches, 1):
+            texts = b.column(1).to_pylist()
+            plain = [flat(t) for t in texts]
+            rows = [(i, q, *locate(texts[i], quote, starts, max_share, plain[i])) for i, q, starts in near_quotes(plain, index) for quote in index.quotes[q]]
+            cols = list(zip(*(r for r in rows if r[2] is not None), strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int32())), index.ids.take(pa.array(cols[1], pa.int32())), pa.array(cols[2], pa.string()), *[pa.array(c, pa.int32()) for c in cols[3:]]], names=["chunk_id", "quote_id", "method", "first_char", "last_char", "distance"])
+
+    return chunks.mapInArrow(work, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, quote_id {kind}, {_FOUND}")
+
+
 def locate_quotes(chunks: DataFrame, quotes: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:
     """(chunk_id, quote_id, method, first_char, last_char, distance) of all quotes (quote_id, quote) in all chunks (chunk_id, text)."""
     chunks = chunks.select("chunk_id", "text").filter("chunk_id is not null and text is not null")
     quotes = quotes.select("quote_id", "quote").filter("quote_id is not null and quote is not null")
+    kinds = {c: dict(df.dtypes)[c] for c, df in (("chunk_id", chunks), ("quote_id", quotes))}
+    index = seed_index(quotes, max_share)
+    if index is not None:
+        return locate_near(chunks, index, kinds["quote_id"], max_share)
     found = cut_lineage(seeds(quotes, max_share))
     sizes = [r["size"] for r in found.select("size").distinct().collect()]  # eight at most
     hits = postings(chunks, sizes, *seed_bitmap(found))
     near = bands(hits, found.drop("size"), max_share)
-    kinds = {c: dict(df.dtypes)[c] for c, df in (("chunk_id", chunks), ("quote_id", quotes))}
     rows = chunks.join(near, "chunk_id").join(quotes, "quote_id").select("chunk_id", "quote_id", "text", "quote", "starts")
     return rows.mapInArrow(partial(_locating, max_share=max_share), ", ".join([f"{c} {k}" for c, k in kinds.items()] + [_FOUND])).filter("method is not null")
