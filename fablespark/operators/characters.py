@@ -244,10 +244,20 @@ def match_links(names: DataFrame, cannot_link: DataFrame | None = None) -> DataF
     return out
 
 
-def cluster_aliases(names: DataFrame, cannot_link: DataFrame | None = None) -> DataFrame:
-    """(node, cluster). A cluster that holds a pair that must stay apart falls back to exact names."""
-    # How a link was found is of no use here, so it may come from several stages.
-    links = reduce(DataFrame.unionByName, _key_links(names)) if cannot_link is None else match_links(names, cannot_link)
+def cluster_aliases(names: DataFrame, cannot_link: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """(node, cluster). A cluster that holds a pair that must stay apart falls back to exact names.
+
+    Names with equal keys of one stage have equal keys of all later ones, as each key is made from the one
+    before; so, if nothing must stay apart, the last stage's links join all. ``once`` says that each node
+    has one name and project: then its cluster is the least node of its key, and no links are followed.
+    """
+    if cannot_link is None and once:
+        key = formal_name(F.col("name"))
+        keyed = names.select("node", "project_id", F.when((key != "") & F.col("project_id").isNotNull(), key).alias("k"))
+        least = F.min("node").over(Window.partitionBy("project_id", "k"))
+        return keyed.select("node", F.when(F.col("k").isNotNull(), least).otherwise(F.col("node")).alias("cluster"))
+    # How a link was found is of no use here.
+    links = _key_links(names)[-1] if cannot_link is None else match_links(names, cannot_link)
     nodes = names.select("node").distinct()
     clusters = connected_components(nodes, links)
     if cannot_link is None:

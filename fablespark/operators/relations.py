@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,6 +93,59 @@ def aggregate_edges(assertions: DataFrame, keys: tuple[str, ...] = ("subject", "
     )
 
 
+_NO_BOOK = -(1 << 40)  # sorts before every book, as a null does
+
+
+def _met(t: pa.Table, confidence: float) -> pa.Table:
+    """The pairs of rows (book_order, chapter, page, subject, objects), each once: see ``meeting_edges``."""
+    t = t.take(pc.array_sort_indices(t.column("page")))  # the pages of a pair are in order after a stable sort
+    column = lambda c, missing=0: pc.fill_null(t.column(c).cast(pa.int64()), missing).to_numpy()
+    book, chapter, page, subject = column("book_order", _NO_BOOK), column("chapter"), column("page"), column("subject")
+    # A row's place among the positions, and one row for each place.
+    order = np.lexsort((chapter, book))
+    new = np.append(True, (np.diff(book[order]) != 0) | (np.diff(chapter[order]) != 0))
+    at, shown = np.empty(len(order), np.int64), order[new]
+    at[order] = np.cumsum(new) - 1
+    objects = t.column("objects").combine_chunks()
+    row = np.repeat(np.arange(len(t)), pc.list_value_length(objects).to_numpy())
+    obj = objects.flatten().to_numpy()
+    subjects, place = np.unique(subject, return_inverse=True)
+    low, span = int(obj.min()), int(obj.max()) - int(obj.min()) + 1
+    if len(subjects) * span < 1 << 62:
+        key = place[row] * span + (obj - low)
+        order = np.argsort(key, kind="stable")
+        same = np.diff(key[order]) == 0
+    else:
+        order = np.lexsort((obj, place[row]))
+        same = (np.diff(obj[order]) == 0) & (np.diff(place[row[order]]) == 0)
+    starts = np.flatnonzero(np.append(True, ~same))
+    n = np.diff(starts, append=len(order))
+    row, obj = row[order], obj[order]
+    shows = np.append(True, ~same | (np.diff(page[row]) != 0))
+    ends = np.append(0, np.cumsum(np.add.reduceat(shows.astype(np.int64), starts)))
+    left = np.cumsum(np.full(n.max(), np.log(1 - min(confidence, 0.99))))  # one by one, as a sum adds it up
+    first, last = shown[np.minimum.reduceat(at[row], starts)], shown[np.maximum.reduceat(at[row], starts)]
+    books = lambda x: pa.array(book[x], pa.int32(), mask=book[x] == _NO_BOOK, safe=False)
+    cols = [subject[row[starts]], obj[starts], n, left[n - 1], books(first), chapter[first].astype(np.int32), books(last), chapter[last].astype(np.int32), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(page[row[shows]], pa.int32()))]
+    return pa.table([pa.array(c) for c in cols], names=["subject", "object", "evidence_count", "_open", "first_book_order", "first_chapter", "last_book_order", "last_chapter", "page_refs"])
+
+
+def meeting_edges(meetings: DataFrame, predicate: str, assertion_type: str, confidence: float) -> DataFrame:
+    """``aggregate_edges`` of assertions that still lie together: a row (book_order, chapter, page, subject, objects) holds
+    one of each object, all of one predicate, type and confidence, settled. All rows of a pair must be in one partition,
+    which a task works on as a whole, without a row an assertion.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            yield from _met(pa.Table.from_batches(rows), confidence).to_batches(max_chunksize=20_000)
+
+    kinds = "subject long, object long, evidence_count long, _open double, first_book_order int, first_chapter int, last_book_order int, last_chapter int, page_refs array<int>"
+    found = meetings.filter("size(objects) > 0").select("book_order", "chapter", "page", "subject", "objects").mapInArrow(work, kinds)
+    return found.select("subject", F.lit(predicate).alias("predicate"), "object", family(F.lit(predicate)).alias("family"), "evidence_count", (1 - F.exp("_open")).alias("confidence"), F.lit(assertion_type == "dialogue").alias("hearsay"), "first_book_order", "first_chapter", "last_book_order", "last_chapter", "page_refs")
+
+
 def require_evidence(edges: DataFrame) -> DataFrame:
     """Fails the job on an edge without evidence rather than skipping it."""
     return edges.withColumn("evidence_count", F.when(F.col("evidence_count") >= 1, F.col("evidence_count")).otherwise(F.raise_error(F.lit("edge without evidence"))))
