@@ -24,7 +24,8 @@ def mentions(chunks: DataFrame, chunk: str = "chunk_id", text: str = "text") ->
     titles = "|".join(h.capitalize() for h in HONORIFICS)
     pattern = rf"(?:^|[^\p{{L}}])((?:(?:{titles})\.? )?\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*)"
     forms = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    rows = chunks.select(chunk, F.explode(forms).alias("surface_form")).filter(~F.lower("surface_form").isin(*NOT_NAMES))
+    # Outer, as a filter for texts without any would read each text once more; the nulls go with the words that are no names.
+    rows = chunks.select(chunk, F.explode_outer(forms).alias("surface_form")).filter(~F.lower("surface_form").isin(*NOT_NAMES))
     return rows.groupBy(chunk, "surface_form").agg(F.count("*").alias("n"))
 
 
@@ -64,7 +65,7 @@ def appearances(mention_rows: DataFrame) -> DataFrame:
         F.max("page").alias("last_page"),
         F.max("chapter").alias("last_chapter"),
         F.count("*").alias("mention_count"),
-        F.array_sort(F.collect_set("surface_form")).alias("surface_forms"),
+        F.sort_array(F.collect_set("surface_form")).alias("surface_forms"),
     )
 
 
@@ -244,18 +245,23 @@ def match_links(names: DataFrame, cannot_link: DataFrame | None = None) -> DataF
     return out
 
 
-def cluster_aliases(names: DataFrame, cannot_link: DataFrame | None = None, once: bool = False) -> DataFrame:
+def with_clusters(rows: DataFrame, node: str, project: str, name: str, key: str, out: str) -> DataFrame:
+    """Adds the cluster of each row's node as ``cluster_aliases`` finds it, and the key that its nodes share (null: none).
+
+    A node may have many rows, but all in one project and with names that differ in case only. Then its cluster
+    is the least node of its last key, and no links are followed.
+    """
+    keyed = rows.withColumn(key, formal_name(F.col(name))).withColumn(key, F.when((F.col(key) != "") & F.col(project).isNotNull(), F.col(key)))
+    least = F.min(node).over(Window.partitionBy(project, key))
+    return keyed.withColumn(out, F.when(F.col(key).isNotNull(), least).otherwise(F.col(node)))
+
+
+def cluster_aliases(names: DataFrame, cannot_link: DataFrame | None = None) -> DataFrame:
     """(node, cluster). A cluster that holds a pair that must stay apart falls back to exact names.
 
     Names with equal keys of one stage have equal keys of all later ones, as each key is made from the one
-    before; so, if nothing must stay apart, the last stage's links join all. ``once`` says that each node
-    has one name and project: then its cluster is the least node of its key, and no links are followed.
+    before; so, if nothing must stay apart, the last stage's links join all.
     """
-    if cannot_link is None and once:
-        key = formal_name(F.col("name"))
-        keyed = names.select("node", "project_id", F.when((key != "") & F.col("project_id").isNotNull(), key).alias("k"))
-        least = F.min("node").over(Window.partitionBy("project_id", "k"))
-        return keyed.select("node", F.when(F.col("k").isNotNull(), least).otherwise(F.col("node")).alias("cluster"))
     # How a link was found is of no use here.
     links = _key_links(names)[-1] if cannot_link is None else match_links(names, cannot_link)
     nodes = names.select("node").distinct()
